@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from driftmap.functions.keywords import steps_in_diff
 from driftmap.functions.text import truncate
@@ -125,6 +126,14 @@ def change_rows(changesets: DataFrame) -> DataFrame:
     )
 
 
+def epoch_seconds(df: DataFrame, column: str) -> Column:
+    """Whole seconds since 1970, in the order of the column for both kinds of timestamp."""
+    at = F.col(column)
+    if isinstance(df.schema[column].dataType, TimestampNTZType):
+        return F.unix_date(at.cast("date")) * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60 + F.second(at)
+    return F.unix_seconds(at)
+
+
 def value_changes(
     history: DataFrame, keys: list[str], ts: str = "ts", tie: str = "event_id",
     value: str = "value", bucket_seconds: int = 60,
@@ -136,7 +145,7 @@ def value_changes(
     the last value of each bucket is carried to the next: no task sees more
     than one bucket of rows, or one row per bucket.
     """
-    h = history.withColumn("bucket", F.floor(F.unix_micros(ts) / (bucket_seconds * 1_000_000)))
+    h = history.withColumn("bucket", F.floor(epoch_seconds(history, ts) / bucket_seconds))
     slot = [*keys, "bucket"]
     order = [F.col(ts), F.col(tie)]
     within = Window.partitionBy(*slot).orderBy(*order)

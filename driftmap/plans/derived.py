@@ -115,7 +115,7 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     owner = parts(spark, sf).select("k", "diagram_id", "brand_no")
     return events.join(owner, "k").select(
         "diagram_id", "brand_no", "event_id", "ts", "k", "value", "user_id",
-        F.concat("diagram_id", F.lit("@"), F.date_format("ts", "yyyy-MM-dd")).alias("change_id"),
+        F.concat("diagram_id", F.lit("@"), F.col("ts").cast("date").cast("string")).alias("change_id"),
         F.dayofmonth("ts").alias("day"),
         lookup(F.col("event_type"), FIELDS).alias("field"),
         lookup(F.col("event_type"), COMPONENTS).alias("component"),

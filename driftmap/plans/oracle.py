@@ -127,7 +127,7 @@ CTES: dict[str, str] = {
         FROM diff_rows GROUP BY change_id, diagram_id""",
     "diff_set": """
         SELECT change_id, step FROM (
-          SELECT change_id, CASE WHEN field = 'chunk_size' THEN 'chunking'
+          SELECT change_id, CASE WHEN field = 'chunk_size' AND (event_id % 7 <> 0 OR old_value <> 'N/A') THEN 'chunking'
             WHEN field = 'model' AND event_id % 7 = 0 THEN 'embedding'
             WHEN field = 'namespace' AND event_id % 7 = 0 THEN 'vectordb'
             WHEN field = 'bucket' AND event_id % 7 = 0 THEN 'storage' END AS step FROM ch)

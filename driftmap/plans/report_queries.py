@@ -1 +1,139 @@
-"""Queries."""
+"""Queries of the structure, token and evaluation reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftmap.functions.text import count_numbered_steps
+from driftmap.operators import facts as A
+from driftmap.operators import reports as R
+from driftmap.plans import derived
+from driftmap.plans.oracle import sql
+from driftmap.plans.registry import query
+
+# Directories of the derived trees, each with its parents.
+DIRS = """
+    SELECT DISTINCT repo_id, unnest(CASE WHEN position('/' IN d) = 0 THEN [d]
+      WHEN len(string_split(d, '/')) = 2 THEN [string_split(d, '/')[1], d]
+      ELSE [string_split(d, '/')[1], string_split(d, '/')[1] || '/' || string_split(d, '/')[2], d] END) AS dir
+    FROM (SELECT repo_id, rtrim(dir, '/') AS d FROM files WHERE NOT hidden AND dir <> '')"""
+TYPES = "SELECT repo_id, ext, count(*) AS files FROM files WHERE NOT hidden AND ext <> '' GROUP BY repo_id, ext"
+SHAPE = f"""
+    SELECT t.repo_id, total_files, coalesce(total_dirs, 0) AS total_dirs FROM
+      (SELECT repo_id, count(*) AS total_files FROM files WHERE NOT hidden GROUP BY repo_id) t
+      LEFT JOIN (SELECT repo_id, count(*) AS total_dirs FROM ({DIRS}) GROUP BY repo_id) d ON d.repo_id = t.repo_id"""
+TOP = f"""
+    SELECT repo_id, dir, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY dir) AS rank FROM ({DIRS})) WHERE rank <= 20"""
+LANGUAGE = "CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' ELSE 'java' END"
+ENTRIES = f"SELECT repo_id, path, {LANGUAGE} AS language FROM files WHERE doc_id % 11 = 0"
+
+
+@query("agg1_structure", sql(SHAPE))
+def agg1(spark, sf):
+    return R.structure(derived.files(spark, sf))
+
+
+@query("agg1_file_types", sql(TYPES))
+def agg1_types(spark, sf):
+    return R.file_types(derived.files(spark, sf))
+
+
+@query("agg2_top_directories", sql(TOP))
+def agg2(spark, sf):
+    return R.top_dirs(derived.files(spark, sf))
+
+
+@query("agg3_entry_points", sql(ENTRIES))
+def agg3(spark, sf):
+    return R.entry_points(derived.files(spark, sf))
+
+
+@query("agg4_new_mode_report", sql(f"""
+    SELECT repo_id, '1 totals' AS part, 1 AS rank, 'files' AS item, CAST(total_files AS VARCHAR) AS text FROM ({SHAPE})
+    UNION ALL SELECT repo_id, '1 totals', 2, 'directories', CAST(total_dirs AS VARCHAR) FROM ({SHAPE})
+    UNION ALL SELECT repo_id, '2 types', -files, ext, CAST(files AS VARCHAR) FROM ({TYPES})
+    UNION ALL SELECT repo_id, '3 directories', rank, dir, '' FROM ({TOP})
+    UNION ALL SELECT e.repo_id, '4 entry points', 0, e.path || ' (' || language || ')',
+      CASE WHEN e.path LIKE '%.py' THEN 'PARSED' ELSE substring(content, 1, 2000) END
+      FROM ({ENTRIES}) e JOIN files f ON f.repo_id = e.repo_id AND f.path = e.path
+    UNION ALL SELECT repo_id, '4 entry points', 0, 'No standard entry points detected.', ''
+      FROM (SELECT DISTINCT repo_id FROM files WHERE NOT hidden) WHERE repo_id NOT IN (SELECT repo_id FROM ({ENTRIES}))"""))
+def agg4(spark, sf):
+    files = derived.files(spark, sf)
+    starts = files.filter(F.col("path").endswith("/main.py")).select("repo_id", "path")
+    return R.new_mode_report(files, starts.withColumn("skeleton", F.lit("PARSED")))
+
+
+RAW = "SELECT repo_id, sum(length(content)) AS raw_chars FROM files WHERE ext = '.py' GROUP BY repo_id"
+TOOL = """SELECT repo_id, sum(length(chr(10) || '--- FILE: ' || path || ' ---' || chr(10)) + least(length(content), 2000) + 1) AS tool_chars
+    FROM files WHERE ext IN ('.js', '.ts', '.java') GROUP BY repo_id"""
+
+
+def previews(spark, sf):
+    return A.project_context(
+        derived.files(spark, sf).filter(F.col("ext") != ".py"),
+        A.parse_files(derived.files(spark, sf).filter(F.lit(False))),
+    )
+
+
+@query("agg5_raw_tokens", sql(f"SELECT repo_id, CAST(raw_chars AS BIGINT) AS raw_chars, CAST(raw_chars // 4 AS BIGINT) AS raw_tokens FROM ({RAW})"))
+def agg5(spark, sf):
+    return R.raw_tokens(derived.files(spark, sf))
+
+
+@query("agg6_tool_tokens", sql(f"SELECT repo_id, CAST(tool_chars AS BIGINT) AS tool_chars, CAST(tool_chars // 4 AS BIGINT) AS tool_tokens FROM ({TOOL})"))
+def agg6(spark, sf):
+    return R.tool_tokens(previews(spark, sf))
+
+
+@query("agg7_savings", sql(f"""
+    SELECT t.repo_id, CASE WHEN coalesce(r.raw_chars, 0) > 0 THEN (1 - (t.tool_chars / 4.0::DOUBLE) / (r.raw_chars / 4.0::DOUBLE)) * 100 ELSE 0.0 END AS saved_pct
+    FROM ({TOOL}) t LEFT JOIN ({RAW}) r ON r.repo_id = t.repo_id"""))
+def agg7(spark, sf):
+    raw, tool = R.raw_tokens(derived.files(spark, sf)), R.tool_tokens(previews(spark, sf))
+    return tool.join(raw, "repo_id", "left").select(
+        "repo_id", R.savings(F.coalesce("raw_chars", F.lit(0)), F.col("tool_chars")).alias("saved_pct")
+    )
+
+
+def readmes(spark, sf):
+    """Documents as read-me texts, some with a numbered list."""
+    listed = F.concat(F.lit("1. first\n  2. second\nno 3. inside\n"), "text")
+    return derived.table(spark, sf, "documents").select(
+        F.col("source").alias("repo_id"), "doc_id",
+        F.when(F.col("doc_id") % 5 == 0, listed).otherwise(F.col("text")).alias("content"),
+    )
+
+
+STEPS = r"""SELECT source AS repo_id, doc_id, len(regexp_extract_all(text, '(?m)^\s*\d+\.\s+')) + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS steps
+    FROM documents"""
+
+
+@query("agg8_readme_steps", sql(f"SELECT repo_id, CAST(sum(steps) AS BIGINT) AS readme_steps FROM ({STEPS}) GROUP BY repo_id"))
+def agg8(spark, sf):
+    return R.readme_steps(readmes(spark, sf))
+
+
+@query("agg8_steps_per_document", sql(f"SELECT doc_id, CAST(steps AS INTEGER) AS steps FROM ({STEPS})"))
+def agg8_each(spark, sf):
+    return readmes(spark, sf).select("doc_id", count_numbered_steps(F.col("content")).alias("steps"))
+
+
+@query("agg10_evaluation", sql(rf"""
+    SELECT p.repo_id, CAST(coalesce(r.raw_chars, 0) // 4 AS BIGINT) AS raw_tokens, CAST(coalesce(t.tool_chars, 0) // 4 AS BIGINT) AS tool_tokens,
+      CASE WHEN coalesce(r.raw_chars, 0) > 0 THEN (1 - (coalesce(t.tool_chars, 0) / 4.0::DOUBLE) / (r.raw_chars / 4.0::DOUBLE)) * 100 ELSE 0.0 END AS saved_pct,
+      CAST(coalesce(s.steps, 0) AS BIGINT) AS readme_steps,
+      coalesce(len(regexp_extract_all(d.code, '\w+\s*[\[\(\{{\<].*?[\]\)\}}\>]')), 0) AS diagram_steps
+    FROM (SELECT DISTINCT source AS repo_id, 'Brand#' || (CAST(replace(source, 'src', '') AS INTEGER) + 1) || '/0' AS diagram_id FROM documents) p
+    LEFT JOIN ({RAW}) r ON r.repo_id = p.repo_id
+    LEFT JOIN ({TOOL}) t ON t.repo_id = p.repo_id
+    LEFT JOIN (SELECT repo_id, sum(steps) AS steps FROM ({STEPS}) GROUP BY repo_id) s ON s.repo_id = p.repo_id
+    LEFT JOIN diags d ON d.diagram_id = p.diagram_id"""))
+def agg10(spark, sf):
+    repos = derived.table(spark, sf, "documents").select(F.col("source").alias("repo_id")).distinct().withColumn(
+        "diagram_id",
+        F.concat(F.lit("Brand#"), (F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int") + 1).cast("string"), F.lit("/0")),
+    )
+    return R.evaluation(
+        repos, derived.files(spark, sf), previews(spark, sf), readmes(spark, sf), derived.diagrams(spark, sf)
+    )
