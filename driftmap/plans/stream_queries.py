@@ -1 +1,53 @@
-"""Queries."""
+"""Queries of the streams: each runs its stream to the end and reads what it wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftmap.functions.keywords import steps_named_in
+from driftmap.plans import derived
+from driftmap.plans.oracle import sql
+from driftmap.plans.registry import query
+from driftmap.session import shared_dir
+from driftmap.sources.tree import base_name
+from driftmap.streaming import updates as U
+
+
+@query("str1_pushed_changes", sql("""
+    SELECT event_id, path, step FROM (
+      SELECT DISTINCT event_id, path, step FROM (
+        SELECT event_id, event_type || '/' || (CASE event_id % 4 WHEN 0 THEN 'load_split' WHEN 1 THEN 'upload' WHEN 2 THEN 'other' ELSE 'reader' END)
+          || (CASE WHEN event_id % 6 = 0 THEN '.md' ELSE '.py' END) AS path FROM events)
+      JOIN kw ON contains(string_split(path, '/')[-1], word) WHERE path LIKE '%.py')"""))
+def str1(spark, sf):
+    base = shared_dir(spark, "pushed")
+    e = F.col("event_id")
+    name = F.when(e % 4 == 0, "load_split").when(e % 4 == 1, "upload").when(e % 4 == 2, "other").otherwise("reader")
+    pushed = derived.table(spark, sf, "events").select(
+        "event_id", F.concat("event_type", F.lit("/"), name, F.when(e % 6 == 0, ".md").otherwise(".py")).alias("path")
+    )
+    pushed.write.parquet(f"{base}/in")
+
+    def step(batch):
+        return batch.select("event_id", "path", F.explode(steps_named_in(base_name(F.col("path")))).alias("step"))
+
+    U.stream_updates(spark, f"{base}/in", pushed.schema, f"{base}/out", f"{base}/state", step).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@query("str2_continuous_ingest", sql("""
+    SELECT sha256(text) AS content_key, text AS content, arg_max(doc_id, doc_id) AS doc_id FROM documents
+    WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id WHERE d.doc_id % 2 = 0)
+    GROUP BY text"""))
+def str2(spark, sf):
+    base = shared_dir(spark, "ingest")
+    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
+    known = docs.filter(F.col("doc_id") % 2 == 0).join(
+        derived.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")
+    )
+    U.cache_of(known, "text", "embedding", "vec_id").write.parquet(f"{base}/cache")
+    docs.write.parquet(f"{base}/in")
+    U.stream_ingest(
+        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text"
+    ).awaitTermination()
+    return U.merged_batches(spark, f"{base}/out")
