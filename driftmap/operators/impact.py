@@ -1,8 +1,11 @@
 """Changes to the diagram nodes they touch, and what follows from the share touched.
 
-A diagram is condensed to one profile row (its node ids, tags and step lists).
-Changes join that row on ``diagram_id`` and every matching rule is an array
-filter inside the row: only matches are emitted, never node x change pairs.
+A diagram is condensed to one profile row, a change set to one row of what it
+points at: steps, words and node names. The two meet in one join on
+``diagram_id`` and every rule is a test inside the joined row, so only touched
+nodes are emitted, never node x change pairs, and no further shuffle is needed
+to make them distinct. Nothing after the join asks for its partitioning, which
+leaves Spark free to split a hot diagram.
 """
 
 from __future__ import annotations
@@ -17,185 +20,196 @@ from driftmap.functions.keywords import (
     steps_named_in,
     steps_of_component,
 )
+from driftmap.operators.changes import DIFF_FILE, DIFF_FUNCTION, DIFF_NUMBER, DIFF_STRING
+from driftmap.operators.diagram import diagram_items
 from driftmap.sources.tree import base_name
 
+CHANGE_RULES = ("suggested", "component", "field")
+DIFF_RULES = ("files", "functions", "configs", "text")
 
-def diagram_profile(
-    nodes: DataFrame, members: DataFrame, steps: dict[str, list[str]] = STEP_KEYWORDS
-) -> DataFrame:
-    """(diagram_id, total, nodes, step_nodes): one row per diagram.
 
-    ``step_nodes`` maps each step to the nodes tagged with it or standing in a
-    subgraph named after it. The group is bounded by the diagram text it was
-    read from.
-    """
-    tagged = nodes.groupBy("diagram_id").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.array_sort(
-            F.collect_list(F.struct("node_id", keyword_tags(F.col("content"), steps).alias("tags")))
-        ).alias("nodes"),
-    )
-    placed = members.groupBy("diagram_id").agg(
-        F.collect_set(F.struct(F.lower("subgraph").alias("subgraph"), "node_id")).alias("members")
-    )
-    joined = tagged.join(placed, "diagram_id", "left")
-
-    def of_step(step: str) -> Column:
-        by_tag = F.transform(
-            F.filter("nodes", lambda n: F.array_contains(n["tags"], step)), lambda n: n["node_id"]
-        )
-        by_name = F.transform(
-            F.filter("members", lambda m: m["subgraph"].contains(step.lower())), lambda m: m["node_id"]
-        )
-        return F.array_union(by_tag, F.coalesce(by_name, F.array().cast("array<string>")))
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
-    pairs = [x for step in steps for x in (F.lit(step), of_step(step))]
-    return joined.select("diagram_id", "total", "nodes", F.create_map(*pairs).alias("step_nodes"))
 
+def _or_none(c: Column) -> Column:
+    return F.coalesce(c, _none())
 
-def _nodes_of(step_list: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(step_list, lambda s: F.col("step_nodes")[s])))
 
+def diagram_profile(diagrams: DataFrame, steps: dict[str, list[str]] = STEP_KEYWORDS) -> DataFrame:
+    """(diagram_id, total, nodes): one row per diagram that has nodes.
 
-def _ids(found: Column) -> Column:
-    return F.transform(found, lambda n: n["node_id"])
+    A node carries its tags and its steps: those it is tagged with, and those
+    the name of a subgraph it stands in contains. The group is bounded by the
+    diagram text it was read from.
+    """
+    tags = keyword_tags(F.col("value.content"), steps)
+    placed = F.array_distinct(F.transform("members", lambda m: F.lower(m["subgraph"])))
 
+    def belongs(step: str) -> Column:
+        return F.array_contains("tags", step) | F.exists("placed", lambda name: name.contains(step.lower()))
 
-def suggested_hits(suggestions: Column) -> Column:
-    """Nodes whose id is inside a suggestion or has one inside it, case ignored."""
-    names = F.transform(F.coalesce(suggestions, F.array().cast("array<string>")), F.lower)
-    return _ids(
-        F.filter(
-            "nodes",
-            lambda n: F.exists(
-                names, lambda s: F.lower(n["node_id"]).contains(s) | s.contains(F.lower(n["node_id"]))
-            ),
+    own_steps = F.array_compact(F.array(*[F.when(belongs(step), F.lit(step)) for step in steps]))
+    return (
+        diagram_items(diagrams)
+        .filter(F.col("part") == "node")
+        .select("diagram_id", F.col("key").alias("node_id"), tags.alias("tags"), placed.alias("placed"))
+        .select("diagram_id", "node_id", "tags", own_steps.alias("steps"))
+        .groupBy("diagram_id")
+        .agg(
+            F.count(F.lit(1)).alias("total"),
+            F.array_sort(F.collect_list(F.struct("node_id", "tags", "steps"))).alias("nodes"),
         )
     )
 
 
-def component_hits(component: Column) -> Column:
-    return _nodes_of(steps_of_component(component))
+def change_wants(changes: DataFrame, rules: tuple[str, ...] = CHANGE_RULES) -> DataFrame:
+    """(change_id, diagram_id, steps, words, names): what the rows of a change set point at.
 
+    ``changes`` has one row per change, with component, field and
+    affected_nodes. Rows of a change set are merged as sets before the shuffle.
+    """
+    steps = steps_of_component(F.coalesce("component", F.lit(""))) if "component" in rules else _none()
+    word = F.lower(F.coalesce("field", F.lit(""))) if "field" in rules else F.lit(None).cast("string")
+    names = _or_none(F.transform("affected_nodes", F.lower)) if "suggested" in rules else _none()
+    return (
+        changes.select("change_id", "diagram_id", steps.alias("steps"), word.alias("word"), names.alias("names"))
+        .groupBy("change_id", "diagram_id")
+        .agg(
+            F.array_distinct(F.flatten(F.collect_set("steps"))).alias("steps"),
+            F.collect_set("word").alias("words"),
+            F.array_compact(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names"),
+        )
+    )
 
-def field_hits(field: Column) -> Column:
-    """Nodes with a tag inside the field name; an empty field touches none."""
-    low = F.lower(field)
-    return _ids(F.filter("nodes", lambda n: F.exists(n["tags"], lambda t: low.contains(t))))
 
+def changeset_wants(changesets: DataFrame) -> DataFrame:
+    """The same for change sets that still hold their changes as one array."""
+    each = F.col("changes")
+    return changesets.select(
+        "change_id",
+        "diagram_id",
+        F.array_distinct(
+            F.flatten(F.transform(each, lambda c: steps_of_component(F.coalesce(c["component"], F.lit("")))))
+        ).alias("steps"),
+        F.array_distinct(F.transform(each, lambda c: F.lower(F.coalesce(c["field"], F.lit(""))))).alias("words"),
+        F.array_compact(F.array_distinct(
+            F.flatten(F.transform(each, lambda c: _or_none(F.transform(c["affected_nodes"], F.lower))))
+        )).alias("names"),
+    )
 
-def named_hits(names: Column) -> Column:
-    """Nodes of the steps named in any of the given file or function names."""
-    return _nodes_of(F.array_distinct(F.flatten(F.transform(names, lambda x: steps_named_in(x)))))
 
+def with_diff_facts(diffs: DataFrame) -> DataFrame:
+    """Add changed_files, changed_functions and changed_keys, read out of the diff text."""
 
-def file_hits(paths: Column) -> Column:
-    return named_hits(F.transform(paths, lambda p: base_name(p)))
+    def every(pattern: str) -> Column:
+        return F.regexp_extract_all("diff_text", F.lit(pattern), F.lit(1))
 
+    return (
+        diffs.withColumn("changed_files", every(DIFF_FILE))
+        .withColumn("changed_functions", F.array_distinct(every(DIFF_FUNCTION)))
+        .withColumn("changed_keys", F.array_union(every(DIFF_NUMBER), every(DIFF_STRING)))
+    )
 
-def config_hits(keys: Column) -> Column:
-    """Nodes with a tag inside any changed setting name."""
-    low = F.transform(keys, F.lower)
-    return _ids(F.filter("nodes", lambda n: F.exists(n["tags"], lambda t: F.exists(low, lambda k: k.contains(t)))))
 
+def diff_wants(diffs: DataFrame, rules: tuple[str, ...] = DIFF_RULES) -> DataFrame:
+    """What raw diffs point at: one row each, with the facts of ``with_diff_facts``."""
 
-def text_hits(diff_text: Column) -> Column:
-    return _nodes_of(steps_in_diff(diff_text))
+    def named(names: Column) -> Column:
+        return F.flatten(F.transform(names, lambda x: steps_named_in(x)))
 
+    found = []
+    if "files" in rules:
+        found.append(named(F.array_distinct(F.transform("changed_files", lambda p: base_name(p)))))
+    if "functions" in rules:
+        found.append(named(F.col("changed_functions")))
+    if "text" in rules:
+        found.append(steps_in_diff(F.col("diff_text")))
+    words = F.transform("changed_keys", F.lower) if "configs" in rules else _none()
+    return diffs.select(
+        "change_id", "diagram_id", F.array_distinct(F.concat(_none(), *found)).alias("steps"), words.alias("words"),
+        _none().alias("names"),
+    )
 
-def _map(changes: DataFrame, profile: DataFrame, hits: Column) -> DataFrame:
-    return (
-        changes.join(profile, "diagram_id")
-        .select("change_id", "diagram_id", F.explode(hits).alias("node_id"))
-        .distinct()
+
+def touched(wants: DataFrame, profile: DataFrame) -> DataFrame:
+    """(change_id, diagram_id, touched, total): the node ids each change set touches.
+
+    A node is touched if one of the names is inside its id or the other way
+    round, if it belongs to a wanted step, or if one of its tags is inside a
+    wanted word. Change sets of diagrams without nodes keep total 0.
+    """
+    hit = F.filter(
+        "nodes",
+        lambda n: F.arrays_overlap(n["steps"], F.col("steps"))
+        | F.exists("names", lambda s: F.lower(n["node_id"]).contains(s) | s.contains(F.lower(n["node_id"])))
+        | F.exists(n["tags"], lambda t: F.exists("words", lambda w: w.contains(t))),
+    )
+    return wants.join(profile, "diagram_id", "left").select(
+        "change_id", "diagram_id",
+        _or_none(F.transform(hit, lambda n: n["node_id"])).alias("touched"),
+        F.coalesce("total", F.lit(0)).alias("total"),
     )
 
 
+def affected_nodes(wants: DataFrame, profile: DataFrame) -> DataFrame:
+    """(change_id, diagram_id, node_id), each once."""
+    return touched(wants, profile).select("change_id", "diagram_id", F.explode("touched").alias("node_id"))
+
+
 def map_suggested(changes: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(changes, profile, suggested_hits(F.col("affected_nodes")))
+    """Nodes whose id is inside a suggestion or has one inside it, case ignored."""
+    return affected_nodes(change_wants(changes, ("suggested",)), profile)
 
 
 def map_component(changes: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(changes, profile, component_hits(F.col("component")))
+    """Nodes of the steps a component names."""
+    return affected_nodes(change_wants(changes, ("component",)), profile)
 
 
 def map_field(changes: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(changes, profile, field_hits(F.col("field")))
+    """Nodes with a tag inside the field name; an empty field touches none."""
+    return affected_nodes(change_wants(changes, ("field",)), profile)
 
 
 def map_files(diffs: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(diffs, profile, file_hits(F.col("changed_files")))
+    """Nodes of the steps named in changed file names."""
+    return affected_nodes(diff_wants(diffs, ("files",)), profile)
 
 
 def map_functions(diffs: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(diffs, profile, named_hits(F.col("changed_functions")))
+    """Nodes of the steps named in changed function names."""
+    return affected_nodes(diff_wants(diffs, ("functions",)), profile)
 
 
 def map_configs(diffs: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(diffs, profile, config_hits(F.col("changed_keys")))
+    """Nodes with a tag inside a changed setting name."""
+    return affected_nodes(diff_wants(diffs, ("configs",)), profile)
 
 
 def map_text(diffs: DataFrame, profile: DataFrame) -> DataFrame:
-    return _map(diffs, profile, text_hits(F.col("diff_text")))
+    """Nodes of the steps whose settings appear in the diff text."""
+    return affected_nodes(diff_wants(diffs, ("text",)), profile)
 
 
 def nodes_for_steps(wanted: DataFrame, profile: DataFrame) -> DataFrame:
-    """(diagram_id, step, node_id) for wanted (diagram_id, step) rows."""
-    return (
-        wanted.join(profile, "diagram_id")
-        .select("diagram_id", "step", F.explode(F.col("step_nodes")[F.col("step")]).alias("node_id"))
-        .distinct()
-    )
-
-
-def affected_by_changes(changes: DataFrame, profile: DataFrame) -> DataFrame:
-    """Affected nodes of semantic changes: all three rules in one pass over one join."""
-    hits = F.array_union(
-        F.array_union(suggested_hits(F.col("affected_nodes")), component_hits(F.col("component"))),
-        field_hits(F.col("field")),
+    """(diagram_id, step, node_id) for distinct wanted (diagram_id, step) rows."""
+    own = F.filter("nodes", lambda n: F.array_contains(n["steps"], F.col("step")))
+    return wanted.join(profile, "diagram_id").select(
+        "diagram_id", "step", F.explode(F.transform(own, lambda n: n["node_id"])).alias("node_id")
     )
-    return _map(changes, profile, hits)
 
 
-def affected_by_diffs(diffs: DataFrame, profile: DataFrame) -> DataFrame:
-    """Affected nodes of raw diffs: all four rules in one pass over one join."""
-    hits = file_hits(F.col("changed_files"))
-    for more in (
-        named_hits(F.col("changed_functions")), config_hits(F.col("changed_keys")), text_hits(F.col("diff_text"))
-    ):
-        hits = F.array_union(hits, more)
-    return _map(diffs, profile, hits)
-
-
-def with_diff_facts(diffs: DataFrame) -> DataFrame:
-    """Add changed_files, changed_functions and changed_keys, read out of the diff text."""
-    from driftmap.operators.changes import DIFF_FILE, DIFF_FUNCTION, DIFF_NUMBER, DIFF_STRING
-
-    def every(pattern: str) -> Column:
-        return F.regexp_extract_all("diff_text", F.lit(pattern), F.lit(1))
-
-    return (
-        diffs.withColumn("changed_files", every(DIFF_FILE))
-        .withColumn("changed_functions", F.array_distinct(every(DIFF_FUNCTION)))
-        .withColumn("changed_keys", F.array_union(every(DIFF_NUMBER), every(DIFF_STRING)))
-    )
+def dispatch_wants(inputs: DataFrame) -> DataFrame:
+    """Wants of mixed inputs (change_id, diagram_id, changes, diff_text): change lists where present, else diff text."""
+    listed = changeset_wants(inputs.filter(F.col("changes").isNotNull()))
+    raw = diff_wants(with_diff_facts(inputs.filter(F.col("changes").isNull())))
+    return listed.unionByName(raw)
 
 
 def dispatch(inputs: DataFrame, profile: DataFrame) -> DataFrame:
-    """Affected nodes of mixed inputs: change lists where present, else diff text.
-
-    ``inputs`` is (change_id, diagram_id, changes, diff_text).
-    """
-    listed = inputs.filter(F.col("changes").isNotNull()).select(
-        "change_id", "diagram_id", F.explode("changes").alias("c")
-    ).select(
-        "change_id", "diagram_id",
-        F.coalesce("c.component", F.lit("")).alias("component"),
-        F.coalesce("c.field", F.lit("")).alias("field"),
-        F.col("c.affected_nodes").alias("affected_nodes"),
-    )
-    raw = with_diff_facts(inputs.filter(F.col("changes").isNull()))
-    return affected_by_changes(listed, profile).unionByName(affected_by_diffs(raw, profile))
+    """Affected nodes of mixed inputs."""
+    return affected_nodes(dispatch_wants(inputs), profile)
 
 
 def affected_union(*parts: DataFrame) -> DataFrame:
@@ -217,8 +231,19 @@ def impact_level(total: Column, pct: Column) -> Column:
     )
 
 
-def impact(change_ids: DataFrame, affected: DataFrame, totals: DataFrame) -> DataFrame:
-    """(change_id, diagram_id, affected, total, impact_pct, impact_level) for every change.
+def impact(wants: DataFrame, profile: DataFrame) -> DataFrame:
+    """(change_id, diagram_id, affected, total, impact_pct, impact_level) for every change set."""
+    n, total = F.size("touched").cast("long"), F.col("total")
+    pct = F.when(total == 0, 100.0).otherwise(n / total * 100)
+    return (
+        touched(wants, profile)
+        .select("change_id", "diagram_id", n.alias("affected"), "total", pct.alias("impact_pct"))
+        .withColumn("impact_level", impact_level(F.col("total"), F.col("impact_pct")))
+    )
+
+
+def impact_of_affected(change_ids: DataFrame, affected: DataFrame, totals: DataFrame) -> DataFrame:
+    """The same from an affected set that is already a table.
 
     ``change_ids`` is (change_id, diagram_id), ``totals`` (diagram_id, total).
     """

@@ -187,13 +187,16 @@ def evaluation(
     )
 
 
-def stage_counts(docs: DataFrame, chunks: DataFrame, kept: DataFrame, fresh: DataFrame) -> DataFrame:
-    """(stage, n): how many rows each ingestion stage has."""
+def stage_counts(docs: DataFrame, chunks: DataFrame, keeps: Column, fresh: DataFrame) -> DataFrame:
+    """(stage, n): how many rows each ingestion stage has. Chunks are read once for both of their counts."""
 
     def one(df: DataFrame, stage: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), "n")
 
-    return one(docs, "docs").unionByName(one(chunks, "chunks")).unionByName(one(kept, "kept")).unionByName(one(fresh, "new"))
+    both = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(keeps).alias("kept")).selectExpr(
+        "stack(2, 'chunks', chunks, 'kept', kept) AS (stage, n)"
+    )
+    return one(docs, "docs").unionByName(both).unionByName(one(fresh, "new"))
 
 
 def observed(df: DataFrame, stage: str) -> tuple[DataFrame, object]:

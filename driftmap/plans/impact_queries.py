@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftmap.operators import diagram as D
 from driftmap.operators import impact as I
 from driftmap.plans import derived
 from driftmap.plans.oracle import sql
@@ -14,13 +13,8 @@ from driftmap.sources import pages as P
 from driftmap.sources import reports as R
 
 
-def parsed_nodes(spark, sf):
-    return D.diagram_nodes(D.node_definitions(D.diagram_lines(derived.diagrams(spark, sf))))
-
-
 def profile(spark, sf):
-    lines = D.diagram_lines(derived.diagrams(spark, sf))
-    return I.diagram_profile(D.diagram_nodes(D.node_definitions(lines)), D.subgraph_members(lines))
+    return I.diagram_profile(derived.diagrams(spark, sf))
 
 
 def diff_facts(spark, sf):
@@ -28,8 +22,7 @@ def diff_facts(spark, sf):
 
 
 def impacts(spark, sf):
-    changes, p = derived.changes(spark, sf), profile(spark, sf)
-    return I.impact(changes, I.affected_by_changes(changes, p), p)
+    return I.impact(I.change_wants(derived.changes(spark, sf)), profile(spark, sf))
 
 
 @query("map2_nodes_for_steps", sql("SELECT diagram_id, step, node_id FROM step_nodes"))
@@ -100,7 +93,7 @@ def map11(spark, sf):
 
 @query("map11_affected_one_pass", sql("SELECT * FROM affected"))
 def map11_one(spark, sf):
-    return I.affected_by_changes(derived.changes(spark, sf), profile(spark, sf))
+    return I.affected_nodes(I.change_wants(derived.changes(spark, sf)), profile(spark, sf))
 
 
 @query("map12_impact", sql("SELECT * FROM impacts"))
@@ -108,6 +101,12 @@ def map12(spark, sf):
     return impacts(spark, sf)
 
 
+@query("map12_impact_of_table", sql("SELECT * FROM impacts"))
+def map12_table(spark, sf):
+    changes, p = derived.changes(spark, sf), profile(spark, sf)
+    return I.impact_of_affected(changes, I.affected_nodes(I.change_wants(changes), p), p)
+
+
 # How a derived repository is set up, from its brand number and day.
 REPO_FLAGS = {
     "force_full": "brand_no % 11 = 0", "has_diagram": "brand_no % 7 <> 0", "is_git": "brand_no % 9 <> 0",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftmap.functions.text import HTML_RULES
+from driftmap.functions.text import HTML_RULES, passes_quality
 from driftmap.operators import ingest as G
 from driftmap.operators import reports as R
 from driftmap.plans import derived
@@ -274,4 +274,5 @@ def ing15(spark, sf):
     UNION ALL SELECT 'new', count(DISTINCT text) FROM documents WHERE sha256(text) NOT IN (SELECT content_key FROM ({CACHE}))"""))
 def agg11(spark, sf):
     fresh = G.to_embed(contents(spark, sf), cache(spark, sf))
-    return R.stage_counts(derived.table(spark, sf, "documents"), chunks(spark, sf), kept(spark, sf), fresh)
+    keeps = passes_quality(F.col("content"))
+    return R.stage_counts(derived.table(spark, sf, "documents"), chunks(spark, sf), keeps, fresh)

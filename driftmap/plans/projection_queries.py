@@ -120,8 +120,7 @@ def prj11(spark, sf):
     d = derived.diagrams(spark, sf)
     lines = D.diagram_lines(d)
     nodes = D.diagram_nodes(D.node_definitions(lines))
-    profile = I.diagram_profile(nodes, D.subgraph_members(lines))
-    affected = I.affected_by_changes(derived.changes(spark, sf), profile)
+    affected = I.affected_nodes(I.change_wants(derived.changes(spark, sf)), I.diagram_profile(d))
     runs = derived.diffs(spark, sf).withColumn("metadata", F.lit(""))
     out = Q.build_requests(runs, affected, D.node_context(nodes, D.diagram_edges(lines)), d)
     return out.select(
