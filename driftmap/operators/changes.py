@@ -141,25 +141,27 @@ def value_changes(
     """Rows whose value differs from the previous one of the same key, with that old value.
 
     The first value of a key has old value ``N/A``. A key may own a large part
-    of all rows, so "previous row" is found within (key, time bucket) and only
-    the last value of each bucket is carried to the next: no task sees more
-    than one bucket of rows, or one row per bucket.
+    of all rows, so "previous row" is found within (key, time bucket), and only
+    the first row of each bucket looks further, at the last value of the bucket
+    before: no task sees more than one bucket of rows, or one row per bucket.
     """
-    h = history.withColumn("bucket", F.floor(epoch_seconds(history, ts) / bucket_seconds))
     slot = [*keys, "bucket"]
-    order = [F.col(ts), F.col(tie)]
-    within = Window.partitionBy(*slot).orderBy(*order)
-    near = h.withColumn("near", F.lag(value).over(within)).withColumn("rn", F.row_number().over(within))
-    lasts = h.groupBy(*slot).agg(F.max_by(value, F.struct(ts, tie)).alias("last"))
-    carried = lasts.withColumn("carried", F.lag("last").over(Window.partitionBy(*keys).orderBy("bucket")))
-    old = F.when(F.col("rn") == 1, F.col("carried")).otherwise(F.col("near"))
+    within = Window.partitionBy(*slot).orderBy(ts, tie)
+    whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = history.withColumn("bucket", F.floor(epoch_seconds(history, ts) / bucket_seconds)).withColumns({
+        "rn": F.row_number().over(within),
+        "old_raw": F.lag(value).over(within),
+        "slot_last": F.last(value).over(whole),
+    })
+    before = F.lag("slot_last").over(Window.partitionBy(*keys).orderBy("bucket"))
+    later = h.filter(F.col("rn") > 1)
+    firsts = h.filter(F.col("rn") == 1).withColumn("old_raw", before)
     return (
-        near.join(carried.select(*slot, "carried"), slot)
-        .withColumn("old_raw", old)
+        later.unionByName(firsts)
         .filter(~F.col("old_raw").eqNullSafe(F.col(value)))
         .withColumn("old_value", F.coalesce(F.col("old_raw").cast("string"), F.lit("N/A")))
         .withColumn("new_value", F.col(value).cast("string"))
-        .drop("bucket", "near", "rn", "carried", "old_raw")
+        .drop("bucket", "rn", "old_raw", "slot_last")
     )
 
 

@@ -87,6 +87,7 @@ def _comments(source: str) -> Iterator[dict]:
 
 
 def _file_rows(source: str | None) -> Iterator[dict]:
+    yield {"node": "file"}
     if source is None:
         yield {"node": "error", "value": "unreadable text"}
         return
@@ -112,7 +113,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Syntax rows of each Python file: statements in visiting order, comments, faults.
+    """Syntax rows of each Python file: the file, its comments, its statements in visiting order, or its fault.
 
     ``files`` is (repo_id, path, content), already filtered: this is the only
     Python stage, and it is a map, so it keeps the partitions of its input.
@@ -173,12 +174,8 @@ def _arg_text() -> Column:
     ).otherwise(F.array_join("args", ", "))
 
 
-def statement_facts(parsed: DataFrame) -> DataFrame:
-    """(repo_id, path, seq, line, indent, kind, target, callee, args, value, text).
-
-    ``kind`` SILENT marks statements that print nothing themselves but still
-    count for comment attachment.
-    """
+def _told(parsed: DataFrame) -> DataFrame:
+    """Syntax rows with the kind, arguments and text of statements."""
     node, vk, arg = F.col("node"), F.col("value_kind"), F.col("arg_text")
     kind = (
         F.when(node == "if", "IF CHECK")
@@ -205,14 +202,21 @@ def statement_facts(parsed: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     return (
-        parsed.filter(F.col("seq").isNotNull())
-        .withColumns({"args": F.coalesce("args", none), "kwargs": F.coalesce("kwargs", none)})
+        parsed.withColumns({"args": F.coalesce("args", none), "kwargs": F.coalesce("kwargs", none)})
         .withColumn("arg_text", _arg_text())
         .withColumn("kind", kind)
-        .select(
-            "repo_id", "path", "seq", "line", "indent", "node", "kind", "target", "callee", "args", "value", "arg_text",
-            F.concat(F.repeat(F.lit("  "), F.col("indent")), said).alias("text"),
-        )
+        .withColumn("text", F.concat(F.repeat(F.lit("  "), F.col("indent")), said))
+    )
+
+
+def statement_facts(parsed: DataFrame) -> DataFrame:
+    """(repo_id, path, seq, line, indent, node, kind, target, callee, args, value, arg_text, text).
+
+    ``kind`` SILENT marks statements that print nothing themselves but still
+    count for comment attachment.
+    """
+    return _told(parsed.filter(F.col("seq").isNotNull())).select(
+        "repo_id", "path", "seq", "line", "indent", "node", "kind", "target", "callee", "args", "value", "arg_text", "text"
     )
 
 
@@ -226,28 +230,28 @@ def _by_line(parsed: DataFrame) -> DataFrame:
 
     A comment reaches its own line and the two after it, so attachment is a
     grouping by line. The bound "after the previous branch or assignment" is a
-    running value over the file. One shuffle by file serves all steps.
+    running value over the file. One shuffle by file serves all steps. Files
+    and faults take part as line 0.
     """
     file = ["repo_id", "path"]
-    stated = statement_facts(parsed).select(
-        *file, "seq", "line", "node", "text", F.lit(None).cast("int").alias("cline"),
-        F.lit(None).cast("string").alias("ctext"), F.lit(None).cast("string").alias("ctype"),
-    )
-    noted = parsed_comments(parsed).filter(F.col("type") != "todo").select(
-        *file, F.lit(None).cast("int").alias("seq"), "line", F.lit("comment").alias("node"),
-        F.lit(None).cast("string").alias("text"), F.col("line").alias("cline"),
-        F.col("text").alias("ctext"), F.col("type").alias("ctype"),
-    )
+    note, fault = F.col("node") == "comment", F.col("node") == "error"
+    said = comment_text(F.col("value"))
     before = (
         Window.partitionBy(*file).orderBy(F.col("seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     )
     bound = F.last(F.when(F.col("node").isin("if", "assign"), F.col("line")), ignorenulls=True).over(before)
-    reach = F.when(F.col("node") == "comment", F.sequence(F.col("line"), F.col("line") + 2)).otherwise(
-        F.array(F.col("line"))
+    reach = F.when(note, F.sequence(F.col("line"), F.col("line") + 2)).otherwise(
+        F.array(F.coalesce("line", F.lit(0)))
     )
     return (
-        stated.unionByName(noted)
+        _told(parsed)
+        .withColumn("ctext", F.when(note, said))
+        .withColumn("ctype", F.when(note, comment_class(F.col("ctext"))))
+        .filter(~note | ((F.col("ctext") != "") & (F.col("ctype") != "todo")))
+        .withColumn("text", F.when(fault, F.concat(F.lit("Error parsing script: "), "value")).otherwise(F.col("text")))
+        .select(*file, "seq", "line", "node", "text", "ctext", "ctype")
         .withColumn("after", F.coalesce(bound, F.lit(0)))
+        .withColumn("cline", F.col("line"))
         .withColumn("line", F.explode(reach))
         .groupBy(*file, "line")
         .agg(
@@ -258,7 +262,7 @@ def _by_line(parsed: DataFrame) -> DataFrame:
 
 
 def _takes(s: Column, c: Column) -> Column:
-    return (s["node"] != "def") & (c["cline"] > s["after"])
+    return s["node"].isin("if", "assign", "call") & (c["cline"] > s["after"])
 
 
 def attach_comments(parsed: DataFrame) -> DataFrame:
@@ -286,39 +290,24 @@ def format_comment(text: Column, kind: Column) -> Column:
 
 
 def render_skeleton(parsed: DataFrame, include_comments: bool = True) -> DataFrame:
-    """(repo_id, path, skeleton): one file's statements and comments as text.
+    """(repo_id, path, skeleton): each file's statements and comments as text, or its fault.
 
     The group is one file, so it is no larger than what that file holds.
     """
-    if not include_comments:
-        pieces = statement_facts(parsed).filter(F.col("text").isNotNull()).select(
-            "repo_id", "path", F.struct("seq", F.lit(0).alias("at"), "text").alias("p")
-        )
-    else:
-        pieces = (
-            _by_line(parsed)
-            .select("repo_id", "path", "noted", F.explode("stated").alias("s"))
-            .select(
-                "repo_id", "path",
-                F.explode(
-                    F.concat(
-                        F.transform(
-                            F.filter("noted", lambda c: _takes(F.col("s"), c)),
-                            lambda c: F.struct(
-                                F.col("s.seq").alias("seq"), c["cline"].alias("at"),
-                                format_comment(c["ctext"], c["ctype"]).alias("text"),
-                            ),
-                        ),
-                        F.array(
-                            F.struct(F.col("s.seq").alias("seq"), F.lit(2**31 - 1).alias("at"), F.col("s.text").alias("text"))
-                        ),
-                    )
-                ).alias("p"),
-            )
-            .filter(F.col("p.text").isNotNull())
-        )
-    return pieces.groupBy("repo_id", "path").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "\n").alias("skeleton")
+    s = F.col("s")
+    own = F.struct(s["seq"].alias("seq"), F.lit(2**31 - 1).alias("at"), s["text"].alias("text"))
+    comments_first = F.transform(
+        F.filter("noted", lambda c: _takes(s, c)),
+        lambda c: F.struct(s["seq"].alias("seq"), c["cline"].alias("at"), format_comment(c["ctext"], c["ctype"]).alias("text")),
+    )
+    rows = F.concat(comments_first, F.array(own)) if include_comments else F.array(own)
+    return (
+        _by_line(parsed)
+        .select("repo_id", "path", "noted", F.explode("stated").alias("s"))
+        .select("repo_id", "path", F.explode(rows).alias("p"))
+        .groupBy("repo_id", "path")
+        .agg(F.array_sort(F.collect_list(F.when(F.col("p.text").isNotNull(), F.col("p")))).alias("rows"))
+        .select("repo_id", "path", F.array_join(F.transform("rows", lambda p: p["text"]), "\n").alias("skeleton"))
     )
 
 
@@ -391,17 +380,9 @@ def project_context(files: DataFrame, parsed: DataFrame, include_comments: bool
             F.lit("\n--- FILE: "), "path", F.lit(" ---\n"), F.substring("content", 1, PREVIEW_CHARS), F.lit("\n")
         ).alias("block"),
     )
-    faults = fact_errors(parsed).withColumn("skeleton", F.concat(F.lit("Error parsing script: "), "error")).drop("error")
-    told = render_skeleton(parsed, include_comments).unionByName(faults)
-    scripts = (
-        files.filter(F.col("ext") == ".py").select("repo_id", "path")
-        .join(told, ["repo_id", "path"], "left")
-        .select(
-            "repo_id", "path",
-            F.concat(
-                F.lit("\n--- PIPELINE: "), "path", F.lit(" ---\n"), F.coalesce("skeleton", F.lit("")), F.lit("\n")
-            ).alias("block"),
-        )
+    scripts = render_skeleton(parsed, include_comments).select(
+        "repo_id", "path",
+        F.concat(F.lit("\n--- PIPELINE: "), "path", F.lit(" ---\n"), "skeleton", F.lit("\n")).alias("block"),
     )
     return preview.unionByName(scripts).withColumn("block_chars", F.length("block"))
 

@@ -37,8 +37,7 @@ def fct1_documents(spark, sf):
 
 @query("fct1_parsed_comments", sql("SELECT repo_id, path, line, text, type FROM noted"))
 def fct1_parsed(spark, sf):
-    good = derived.scripts(spark, sf).filter(F.col("k") % 97 != 5)
-    return A.parsed_comments(A.parse_files(good)).drop("raw")
+    return A.parsed_comments(parsed(spark, sf)).drop("raw")
 
 
 @query("fct2_statement_facts", sql("SELECT repo_id, path, seq, line, indent, kind, text FROM stmts"))
@@ -94,31 +93,48 @@ def fct6_events(spark, sf):
     return A.config_values(facts)
 
 
-@query("fct7_skeletons", sql("SELECT repo_id, path, skeleton FROM skeletons"))
+# The fault of a broken script is worded by the Python release, so the checks leave its text out.
+FAULT = "Error parsing script"
+FAULTS = f"SELECT diagram_id AS repo_id, 'src/p' || k || '.py' AS path, '{FAULT}' AS skeleton FROM parts WHERE k % 97 = 5"
+
+
+def without_fault_text(c):
+    return F.regexp_replace(c, f"{FAULT}: [^\n]*", FAULT)
+
+
+@query("fct7_skeletons", sql(f"SELECT repo_id, path, skeleton FROM skeletons UNION ALL {FAULTS}"))
 def fct7(spark, sf):
-    return A.render_skeleton(parsed(spark, sf))
+    return A.render_skeleton(parsed(spark, sf)).withColumn("skeleton", without_fault_text(F.col("skeleton")))
 
 
-@query("fct7_skeletons_plain", sql("""
-    SELECT repo_id, path, string_agg(text, chr(10) ORDER BY seq) AS skeleton FROM stmts WHERE text IS NOT NULL GROUP BY repo_id, path"""))
+@query("fct7_skeletons_plain", sql(f"""
+    SELECT repo_id, path, string_agg(text, chr(10) ORDER BY seq) AS skeleton FROM stmts WHERE text IS NOT NULL GROUP BY repo_id, path
+    UNION ALL {FAULTS}"""))
 def fct7_plain(spark, sf):
-    return A.render_skeleton(parsed(spark, sf), include_comments=False)
+    plain = A.render_skeleton(parsed(spark, sf), include_comments=False)
+    return plain.withColumn("skeleton", without_fault_text(F.col("skeleton")))
+
+
+def fleet(spark, sf):
+    """Files of both kinds of derived repository: trees of documents, and Python scripts of parts."""
+    docs = derived.files(spark, sf).filter(F.col("ext") != ".py").drop("doc_id")
+    return docs.unionByName(derived.scripts(spark, sf).drop("k"))
 
 
 def context(spark, sf):
-    """Scripts of parts and previews of documents' files, as context blocks."""
-    docs = derived.files(spark, sf).filter(F.col("ext").isin(".js", ".ts", ".java"))
-    scripts = derived.scripts(spark, sf).filter(F.col("k") % 97 != 5)
-    both = docs.drop("doc_id").unionByName(scripts.drop("k"))
-    return A.project_context(both, A.parse_files(scripts))
+    files = fleet(spark, sf)
+    blocks = A.project_context(files, A.parse_files(files.filter(F.col("ext") == ".py")))
+    told = without_fault_text(F.col("block"))
+    return blocks.withColumn("block", told).withColumn("block_chars", F.length(told))
 
 
-CONTEXT = """
+CONTEXT = f"""
     SELECT repo_id, path, block, length(block) AS block_chars FROM (
       SELECT repo_id, path, chr(10) || '--- FILE: ' || path || ' ---' || chr(10) || substring(content, 1, 2000) || chr(10) AS block
       FROM files WHERE ext IN ('.js', '.ts', '.java')
       UNION ALL
-      SELECT repo_id, path, chr(10) || '--- PIPELINE: ' || path || ' ---' || chr(10) || skeleton || chr(10) FROM skeletons)"""
+      SELECT repo_id, path, chr(10) || '--- PIPELINE: ' || path || ' ---' || chr(10) || skeleton || chr(10) FROM (
+        SELECT * FROM skeletons UNION ALL {FAULTS}))"""
 
 
 @query("fct8_project_context", sql(CONTEXT))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import count_numbered_steps
-from driftmap.operators import facts as A
 from driftmap.operators import reports as R
 from driftmap.plans import derived
+from driftmap.plans.fact_queries import CONTEXT, context, fleet
 from driftmap.plans.oracle import sql
 from driftmap.plans.registry import query
 
@@ -64,33 +64,42 @@ def agg4(spark, sf):
     return R.new_mode_report(files, starts.withColumn("skeleton", F.lit("PARSED")))
 
 
-RAW = "SELECT repo_id, sum(length(content)) AS raw_chars FROM files WHERE ext = '.py' GROUP BY repo_id"
-TOOL = """SELECT repo_id, sum(length(chr(10) || '--- FILE: ' || path || ' ---' || chr(10)) + least(length(content), 2000) + 1) AS tool_chars
-    FROM files WHERE ext IN ('.js', '.ts', '.java') GROUP BY repo_id"""
-
-
-def previews(spark, sf):
-    return A.project_context(
-        derived.files(spark, sf).filter(F.col("ext") != ".py"),
-        A.parse_files(derived.files(spark, sf).filter(F.lit(False))),
-    )
+RAW = """SELECT repo_id, sum(chars) AS raw_chars FROM (
+    SELECT repo_id, length('# STEP 1: load ' || p_name || '# ===== ' || p_type || ' =====' || 'bucket = os.getenv("BUCKET_' || k || '")'
+        || 'limit = ' || p_size || '# keeps ' || p_name || ' sizes' || 'splitter = Splitter(chunk_size=' || p_size || ', chunk_overlap=2)'
+        || '# TODO tune ' || k || 'meta = {"type": "' || p_type || '", "size": ' || p_size || '}' || 'label = "' || p_name || '"  # tail note ' || k
+        || '    logging.info("part ' || k || ' ready")' || '    upload(bucket, label, "' || p_name || '", "0123456789012345678901234567890123456789")'
+        || '    # long: ' || repeat('why ', 30) || p_name || 'pool = Pool(' || k || ', "' || p_name || '", "0123456789012345678901234567890123456789")'
+        || 'import osif limit > 10:def run(x):    return helper(x)print(label)') + 17 AS chars FROM good_scripts
+    UNION ALL SELECT diagram_id, length('def broken(:    pass') + 1 FROM parts WHERE k % 97 = 5) GROUP BY repo_id"""
+TOOL = f"SELECT repo_id, sum(block_chars) AS tool_chars FROM ({CONTEXT}) GROUP BY repo_id"
 
 
 @query("agg5_raw_tokens", sql(f"SELECT repo_id, CAST(raw_chars AS BIGINT) AS raw_chars, CAST(raw_chars // 4 AS BIGINT) AS raw_tokens FROM ({RAW})"))
 def agg5(spark, sf):
-    return R.raw_tokens(derived.files(spark, sf))
+    return R.raw_tokens(fleet(spark, sf))
+
+
+@query("agg5_document_tokens", sql("""
+    SELECT source AS repo_id, CAST(sum(length(text)) AS BIGINT) AS raw_chars, CAST(sum(length(text)) // 4 AS BIGINT) AS raw_tokens
+    FROM documents GROUP BY source"""))
+def agg5_documents(spark, sf):
+    docs = derived.table(spark, sf, "documents").select(
+        F.col("source").alias("repo_id"), F.lit("text").alias("path"), F.col("text").alias("content")
+    )
+    return R.raw_tokens(docs, "text")
 
 
 @query("agg6_tool_tokens", sql(f"SELECT repo_id, CAST(tool_chars AS BIGINT) AS tool_chars, CAST(tool_chars // 4 AS BIGINT) AS tool_tokens FROM ({TOOL})"))
 def agg6(spark, sf):
-    return R.tool_tokens(previews(spark, sf))
+    return R.tool_tokens(context(spark, sf))
 
 
 @query("agg7_savings", sql(f"""
     SELECT t.repo_id, CASE WHEN coalesce(r.raw_chars, 0) > 0 THEN (1 - (t.tool_chars / 4.0::DOUBLE) / (r.raw_chars / 4.0::DOUBLE)) * 100 ELSE 0.0 END AS saved_pct
     FROM ({TOOL}) t LEFT JOIN ({RAW}) r ON r.repo_id = t.repo_id"""))
 def agg7(spark, sf):
-    raw, tool = R.raw_tokens(derived.files(spark, sf)), R.tool_tokens(previews(spark, sf))
+    raw, tool = R.raw_tokens(fleet(spark, sf)), R.tool_tokens(context(spark, sf))
     return tool.join(raw, "repo_id", "left").select(
         "repo_id", R.savings(F.coalesce("raw_chars", F.lit(0)), F.col("tool_chars")).alias("saved_pct")
     )
@@ -124,16 +133,13 @@ def agg8_each(spark, sf):
       CASE WHEN coalesce(r.raw_chars, 0) > 0 THEN (1 - (coalesce(t.tool_chars, 0) / 4.0::DOUBLE) / (r.raw_chars / 4.0::DOUBLE)) * 100 ELSE 0.0 END AS saved_pct,
       CAST(coalesce(s.steps, 0) AS BIGINT) AS readme_steps,
       coalesce(len(regexp_extract_all(d.code, '\w+\s*[\[\(\{{\<].*?[\]\)\}}\>]')), 0) AS diagram_steps
-    FROM (SELECT DISTINCT source AS repo_id, 'Brand#' || (CAST(replace(source, 'src', '') AS INTEGER) + 1) || '/0' AS diagram_id FROM documents) p
+    FROM (SELECT DISTINCT repo_id, repo_id AS diagram_id FROM files WHERE ext <> '.py' UNION SELECT diagram_id, diagram_id FROM parts) p
     LEFT JOIN ({RAW}) r ON r.repo_id = p.repo_id
     LEFT JOIN ({TOOL}) t ON t.repo_id = p.repo_id
     LEFT JOIN (SELECT repo_id, sum(steps) AS steps FROM ({STEPS}) GROUP BY repo_id) s ON s.repo_id = p.repo_id
     LEFT JOIN diags d ON d.diagram_id = p.diagram_id"""))
 def agg10(spark, sf):
-    repos = derived.table(spark, sf, "documents").select(F.col("source").alias("repo_id")).distinct().withColumn(
-        "diagram_id",
-        F.concat(F.lit("Brand#"), (F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int") + 1).cast("string"), F.lit("/0")),
-    )
-    return R.evaluation(
-        repos, derived.files(spark, sf), previews(spark, sf), readmes(spark, sf), derived.diagrams(spark, sf)
-    )
+    """Repositories of scripts have a diagram of their own name, those of documents a read-me."""
+    files = fleet(spark, sf)
+    repos = files.select("repo_id").distinct().withColumn("diagram_id", F.col("repo_id"))
+    return R.evaluation(repos, files, context(spark, sf), readmes(spark, sf), derived.diagrams(spark, sf))
