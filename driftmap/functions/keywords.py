@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Step -> words that point at it. Pass another mapping to extend it.
@@ -52,13 +52,24 @@ def _present(options: list[Column]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*options))))
 
 
-def keyword_tags(text: Column, steps: dict[str, list[str]] = STEP_KEYWORDS) -> Column:
-    """Every word found in the text, and the steps those words belong to."""
-    low = F.lower(text)
+def with_keyword_tags(
+    df: DataFrame, text: str, out: str = "tags", steps: dict[str, list[str]] = STEP_KEYWORDS
+) -> DataFrame:
+    """Add every word found in a text column, and the steps those words belong to.
+
+    The text is lowered once and searched once per word; steps follow from the
+    words found.
+    """
     words = sorted({w for ws in steps.values() for w in ws})
-    return _present(
-        [F.when(low.contains(w), F.lit(w)) for w in words]
-        + [F.when(contains_any(low, ws), F.lit(step)) for step, ws in steps.items()]
+    low, found = F.col("_low"), F.col("_found")
+    of_steps = [
+        F.when(F.arrays_overlap(found, F.array(*[F.lit(w) for w in ws])), F.lit(step)) for step, ws in steps.items()
+    ]
+    return (
+        df.withColumn("_low", F.lower(text))
+        .withColumn("_found", F.array_compact(F.array(*[F.when(low.contains(w), F.lit(w)) for w in words])))
+        .withColumn(out, F.array_sort(F.array_union(found, F.array_compact(F.array(*of_steps)))))
+        .drop("_low", "_found")
     )
 
 

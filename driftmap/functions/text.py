@@ -48,8 +48,13 @@ def passes_quality(c: Column, min_chars: int = 10, min_distinct: int = 2) -> Col
     return (F.length(c) > min_chars) & (F.size(F.array_distinct(F.split(c, ""))) > min_distinct)
 
 
-def lines_of(c: Column) -> Column:
-    return F.split(c, "\n")
+def computed(items: Column | str) -> Column:
+    """An array column that was computed earlier, ready to explode.
+
+    Exploding the bare column lets Spark test its size first, in a filter that
+    it pushes below the projection: the array would be computed twice.
+    """
+    return F.array_compact(items)
 
 
 def count_numbered_steps(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from driftmap.functions.keywords import steps_in_diff
-from driftmap.functions.text import truncate
+from driftmap.functions.text import computed, truncate
 from driftmap.sources.tree import CHANGED_EXTENSIONS, filter_ext
 
 # Extensions a diff keeps while it has any such section.
@@ -114,7 +114,7 @@ def cut_diff(diff_text: Column) -> Column:
 
 def change_rows(changesets: DataFrame) -> DataFrame:
     """One row per change of a change set, missing texts as empty strings."""
-    return changesets.select("change_id", F.posexplode("changes").alias("pos", "c")).select(
+    return changesets.select("change_id", F.posexplode(computed("changes")).alias("pos", "c")).select(
         "change_id",
         "pos",
         F.lower(F.coalesce("c.component", F.lit(""))).alias("component"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmap.functions.keywords import keyword_tags
+from driftmap.functions.keywords import with_keyword_tags
 from driftmap.functions.text import is_blank, strip
 
 # Node shapes in the order they are tried; group 1 id, group 2 label.
@@ -22,6 +22,7 @@ NODE_PATTERNS = [
     r"(?dU)(\w+)\[(.*?)\]",
     r"(?dU)(\w+)\((.*?)\)",
 ]
+ANY_SQUARE, ANY_ROUND = NODE_PATTERNS[3], NODE_PATTERNS[4]  # the widest shapes: some shape fits if one of them does
 EDGE_PATTERN = r"(?dU)(\w+)(?:\[.*?\])?\s*(?:-->|---)\s*(\w+)"
 SUBGRAPH_PATTERN = r"(?U)^subgraph\s+(\w+)"
 METADATA_STARTS = ["title(", "purpose[", "note["]
@@ -158,9 +159,8 @@ def _may_hold_edge() -> Column:
 def node_definitions(lines: DataFrame) -> DataFrame:
     """Every node definition: the first node of a body line."""
     return (
-        lines.filter(_may_hold_node())
+        lines.filter(_may_hold_node() & (F.col("line").rlike(ANY_SQUARE) | F.col("line").rlike(ANY_ROUND)))
         .withColumn("found", _first_node())
-        .filter(F.col("found").isNotNull())
         .select(
             "diagram_id", "n", F.col("found.node_id").alias("node_id"), _shape().alias("type"),
             F.col("found.content").alias("content"), F.col("scope").alias("subgraph"), "live",
@@ -239,7 +239,7 @@ def find_nodes(nodes: DataFrame, keyword: str) -> DataFrame:
 
 
 def node_tags(nodes: DataFrame) -> DataFrame:
-    return nodes.select("diagram_id", "node_id", keyword_tags(F.col("content")).alias("tags"))
+    return with_keyword_tags(nodes, "content").select("diagram_id", "node_id", "tags")
 
 
 def diagram_items(diagrams: DataFrame) -> DataFrame:
@@ -454,11 +454,11 @@ def node_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .agg(side(True, "incoming"), side(False, "outgoing"))
     )
     none = F.array().cast("array<string>")
-    return nodes.join(around, ["diagram_id", "node_id"], "left").select(
+    return with_keyword_tags(nodes, "content").join(around, ["diagram_id", "node_id"], "left").select(
         "diagram_id", "node_id", "content", "type", "subgraph",
         F.coalesce("incoming", none).alias("incoming"),
         F.coalesce("outgoing", none).alias("outgoing"),
-        keyword_tags(F.col("content")).alias("tags"),
+        "tags",
     )
 
 

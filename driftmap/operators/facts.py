@@ -32,11 +32,16 @@ _BATCH_ROWS = 10_000
 _KEEP_COMMENT = 100
 
 
+def _source(node: ast.expr) -> str:
+    """Source text of an expression; names, the most common case, need no unparser."""
+    return node.id if isinstance(node, ast.Name) else ast.unparse(node)
+
+
 def _call_parts(call: ast.Call) -> dict:
     return {
-        "callee": ast.unparse(call.func),
-        "args": [ast.unparse(a) for a in call.args],
-        "kwargs": [f"{k.arg}={ast.unparse(k.value)}" for k in call.keywords],
+        "callee": _source(call.func),
+        "args": [_source(a) for a in call.args],
+        "kwargs": [f"{k.arg}={_source(k.value)}" for k in call.keywords],
     }
 
 
@@ -45,7 +50,7 @@ def _value_parts(value: ast.expr) -> dict:
         case ast.Call():
             return {"value_kind": "call", **_call_parts(value)}
         case ast.Dict():
-            return {"value_kind": "dict", "args": [ast.unparse(k) for k in value.keys if k]}
+            return {"value_kind": "dict", "args": [_source(k) for k in value.keys if k]}
         case ast.Constant(value=str() as text):
             return {"value_kind": "str", "value": text}
     return {"value_kind": "other"}
@@ -62,7 +67,7 @@ def _statements(tree: ast.AST, indent: int = 0) -> Iterator[dict]:
             case ast.Import() | ast.ImportFrom():
                 continue
             case ast.Assign():
-                yield here | {"node": "assign", "target": "=".join(map(ast.unparse, child.targets))} | _value_parts(child.value)
+                yield here | {"node": "assign", "target": "=".join(map(_source, child.targets))} | _value_parts(child.value)
             case ast.Call():
                 first = child.args[0] if child.args else None
                 told = str(first.value) if isinstance(first, ast.Constant) else None
@@ -116,9 +121,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     """Syntax rows of each Python file: the file, its comments, its statements in visiting order, or its fault.
 
     ``files`` is (repo_id, path, content), already filtered: this is the only
-    Python stage, and it is a map, so it keeps the partitions of its input.
+    Python stage. Parsing costs far more than moving a file, so files are
+    spread by path first: sizes differ, and one repository may hold a large
+    part of all files.
     """
-    return files.select("repo_id", "path", "content").mapInArrow(_parse_batches, PARSED_SCHEMA)
+    spread = files.select("repo_id", "path", "content").repartition("repo_id", "path")
+    return spread.mapInArrow(_parse_batches, PARSED_SCHEMA)
 
 
 def comment_class(text: Column) -> Column:

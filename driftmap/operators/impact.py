@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from driftmap.functions.keywords import (
     STEP_KEYWORDS,
-    keyword_tags,
     steps_in_diff,
     steps_named_in,
     steps_of_component,
+    with_keyword_tags,
 )
+from driftmap.functions.text import computed
 from driftmap.operators.changes import DIFF_FILE, DIFF_FUNCTION, DIFF_NUMBER, DIFF_STRING
 from driftmap.operators.diagram import diagram_items
 from driftmap.sources.tree import base_name
@@ -43,17 +44,19 @@ def diagram_profile(diagrams: DataFrame, steps: dict[str, list[str]] = STEP_KEYW
     the name of a subgraph it stands in contains. The group is bounded by the
     diagram text it was read from.
     """
-    tags = keyword_tags(F.col("value.content"), steps)
     placed = F.array_distinct(F.transform("members", lambda m: F.lower(m["subgraph"])))
 
     def belongs(step: str) -> Column:
         return F.array_contains("tags", step) | F.exists("placed", lambda name: name.contains(step.lower()))
 
     own_steps = F.array_compact(F.array(*[F.when(belongs(step), F.lit(step)) for step in steps]))
-    return (
+    nodes = (
         diagram_items(diagrams)
         .filter(F.col("part") == "node")
-        .select("diagram_id", F.col("key").alias("node_id"), tags.alias("tags"), placed.alias("placed"))
+        .select("diagram_id", F.col("key").alias("node_id"), F.col("value.content").alias("content"), placed.alias("placed"))
+    )
+    return (
+        with_keyword_tags(nodes, "content", "tags", steps)
         .select("diagram_id", "node_id", "tags", own_steps.alias("steps"))
         .groupBy("diagram_id")
         .agg(
@@ -154,7 +157,7 @@ def touched(wants: DataFrame, profile: DataFrame) -> DataFrame:
 
 def affected_nodes(wants: DataFrame, profile: DataFrame) -> DataFrame:
     """(change_id, diagram_id, node_id), each once."""
-    return touched(wants, profile).select("change_id", "diagram_id", F.explode("touched").alias("node_id"))
+    return touched(wants, profile).select("change_id", "diagram_id", F.explode(computed("touched")).alias("node_id"))
 
 
 def map_suggested(changes: DataFrame, profile: DataFrame) -> DataFrame:

@@ -90,8 +90,8 @@ def chunk(docs: DataFrame, column: str, size: int = CHUNK_SIZE, overlap: int = C
     windows = F.transform(starts, lambda s: F.array_join(F.slice("words", s + 1, size), " "))
     return (
         docs.withColumn("words", words)
-        .filter(F.size("words") > 0)
         .select(*[c for c in docs.columns if c != column], F.posexplode(windows).alias("chunk_no", "content"))
+        .filter(F.col("content") != "")
     )
 
 

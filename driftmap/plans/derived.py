@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmap.operators.changes import value_changes
+from driftmap.session import spread
 
 BLOCK = 1_600
 
@@ -26,8 +27,13 @@ FIELDS = {"view": "chunk_size", "signup": "model", "error": "bucket", "click": "
 COMPONENTS = {"view": "Chunking", "signup": "Embedding", "error": "Storage", "click": "Vector DB", "purchase": "Cache"}
 
 
+# Tables of long texts, whose work per row is worth spreading over all cores.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def lookup(c: Column, values: dict[str, str]) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftmap.functions.keywords import keyword_tags
+from driftmap.functions.keywords import with_keyword_tags
+from driftmap.functions.text import computed
 from driftmap.operators import diagram as D
 from driftmap.operators.reports import heuristic_nodes
 from driftmap.plans import derived
@@ -240,10 +241,10 @@ def agg9(spark, sf):
 
 @query("map1_node_tags", sql("SELECT diagram_id, node_id, tag FROM tags"))
 def map1(spark, sf):
-    return D.node_tags(nodes(spark, sf)).select("diagram_id", "node_id", F.explode("tags").alias("tag"))
+    return D.node_tags(nodes(spark, sf)).select("diagram_id", "node_id", F.explode(computed("tags")).alias("tag"))
 
 
 @query("map1_document_tags", sql("""
     SELECT DISTINCT doc_id, unnest([word, step]) AS tag FROM documents JOIN kw ON contains(lower(text), word)"""))
 def map1_documents(spark, sf):
-    return derived.table(spark, sf, "documents").select("doc_id", F.explode(keyword_tags(F.col("text"))).alias("tag"))
+    return with_keyword_tags(derived.table(spark, sf, "documents"), "text").select("doc_id", F.explode(computed("tags")).alias("tag"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from driftmap.functions.text import computed
+
 ARTICLE = "struct<title:string,content:string,status:string,url:string,tags:array<string>>"
 
 
@@ -25,7 +27,7 @@ def read_articles(pages: DataFrame, item: str = ARTICLE, field: str = "result")
     return (
         parsed.join(ends, "feed", "left")
         .filter(F.col("end").isNull() | (F.col("page") < F.col("end")))
-        .select("feed", "page", F.posexplode("items").alias("pos", "item"))
+        .select("feed", "page", F.posexplode(computed("items")).alias("pos", "item"))
         .select("feed", "page", "pos", "item.*")
     )
 
