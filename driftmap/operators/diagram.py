@@ -478,7 +478,7 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def bullet_lint(nodes: DataFrame, limit: int = 3) -> DataFrame:
     """Nodes with more than ``limit`` label lines."""
-    bullets = F.size(F.split("content", "<br/>"))
+    bullets = F.size(F.split("content", "<br/>")).cast("long")
     return nodes.select("diagram_id", "node_id", bullets.alias("bullets")).filter(F.col("bullets") > limit)
 
 

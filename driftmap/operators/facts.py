@@ -392,7 +392,7 @@ def project_context(files: DataFrame, parsed: DataFrame, include_comments: bool
         "repo_id", "path",
         F.concat(F.lit("\n--- PIPELINE: "), "path", F.lit(" ---\n"), "skeleton", F.lit("\n")).alias("block"),
     )
-    return preview.unionByName(scripts).withColumn("block_chars", F.length("block"))
+    return preview.unionByName(scripts).withColumn("block_chars", F.length("block").cast("long"))
 
 
 def context_size(context: DataFrame) -> DataFrame:

@@ -61,7 +61,9 @@ def diagram_profile(diagrams: DataFrame, steps: dict[str, list[str]] = STEP_KEYW
         .groupBy("diagram_id")
         .agg(
             F.count(F.lit(1)).alias("total"),
-            F.array_sort(F.collect_list(F.struct("node_id", "tags", "steps"))).alias("nodes"),
+            F.array_sort(
+                F.collect_list(F.struct("node_id", "tags", "steps", F.lower("node_id").alias("low_id")))
+            ).alias("nodes"),
         )
     )
 
@@ -145,7 +147,7 @@ def touched(wants: DataFrame, profile: DataFrame) -> DataFrame:
     hit = F.filter(
         "nodes",
         lambda n: F.arrays_overlap(n["steps"], F.col("steps"))
-        | F.exists("names", lambda s: F.lower(n["node_id"]).contains(s) | s.contains(F.lower(n["node_id"])))
+        | F.exists("names", lambda s: n["low_id"].contains(s) | s.contains(n["low_id"]))
         | F.exists(n["tags"], lambda t: F.exists("words", lambda w: w.contains(t))),
     )
     return wants.join(profile, "diagram_id", "left").select(

@@ -25,21 +25,19 @@ def file_types(files: DataFrame) -> DataFrame:
 
 
 def all_directories(files: DataFrame) -> DataFrame:
-    """Distinct (repo_id, dir), each directory with its parents."""
+    """Distinct (repo_id, dir): each directory with its parents, down to the first hidden one."""
+    hidden = F.array_position(F.transform("parts", lambda p: p.startswith(".")), True).cast("int")
+    depth = F.when(hidden > 0, hidden - 1).otherwise(F.size("parts"))
+    prefixes = F.transform(
+        F.slice("parts", 1, F.col("depth")), lambda _, i: F.array_join(F.slice("parts", 1, i + 1), "/")
+    )
     return (
-        prune_hidden(files)
-        .filter(directory(F.col("path")) != "")
-        .select("repo_id", directory(F.col("path")).alias("dir"))
+        files.select("repo_id", directory(F.col("path")).alias("dir"))
+        .filter(F.col("dir") != "")
         .distinct()
         .select("repo_id", F.split("dir", "/").alias("parts"))
-        .select(
-            "repo_id",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/")
-                )
-            ).alias("dir"),
-        )
+        .withColumn("depth", depth)
+        .select("repo_id", F.explode(prefixes).alias("dir"))
         .distinct()
     )
 
@@ -64,6 +62,7 @@ def top_dirs(files: DataFrame, limit: int = TOP_DIRECTORIES) -> DataFrame:
         all_directories(files)
         .withColumn("rank", F.row_number().over(by_name))
         .filter(F.col("rank") <= limit)
+        .withColumn("rank", F.col("rank").cast("long"))
     )
 
 
@@ -96,7 +95,7 @@ def new_mode_report(files: DataFrame, skeletons: DataFrame, preview_chars: int =
         F.col("files").cast("string").alias("text"),
     )
     dirs = top_dirs(files).select(
-        "repo_id", F.lit("3 directories").alias("part"), F.col("rank").cast("long").alias("rank"),
+        "repo_id", F.lit("3 directories").alias("part"), "rank",
         F.col("dir").alias("item"), F.lit("").alias("text"),
     )
     found = entry_points(files.select("repo_id", "path"))

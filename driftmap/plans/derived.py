@@ -248,7 +248,7 @@ SCRIPT_ROWS = [
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
     """(repo_id, path, ext, content, k): one Python source per part, some of them broken."""
     rows = ", ".join(SCRIPT_ROWS)
-    return parts(spark, sf).selectExpr(
+    return spread(parts(spark, sf)).selectExpr(
         "diagram_id AS repo_id",
         "concat('src/p', k, '.py') AS path",
         "'.py' AS ext",

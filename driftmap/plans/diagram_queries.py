@@ -230,7 +230,7 @@ def dia16(spark, sf):
 def src6(spark, sf):
     made = derived.diagrams(spark, sf).select("diagram_id", P.page_of(F.col("code")).alias("html"))
     other = derived.table(spark, sf, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("diagram_id"), "html")
-    return P.extract_diagrams(made.unionByName(other)).withColumn("chars", F.length("code"))
+    return P.extract_diagrams(made.unionByName(other)).withColumn("chars", F.length("code").cast("long"))
 
 
 @query("agg9_heuristic_nodes", sql(r"""

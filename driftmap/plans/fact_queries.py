@@ -125,7 +125,7 @@ def context(spark, sf):
     files = fleet(spark, sf)
     blocks = A.project_context(files, A.parse_files(files.filter(F.col("ext") == ".py")))
     told = without_fault_text(F.col("block"))
-    return blocks.withColumn("block", told).withColumn("block_chars", F.length(told))
+    return blocks.withColumn("block", told).withColumn("block_chars", F.length(told).cast("long"))
 
 
 CONTEXT = f"""

@@ -179,7 +179,7 @@ CACHE = """
 def ing8(spark, sf):
     hit = F.col("embedding").isNotNull()
     return G.reuse(contents(spark, sf), cache(spark, sf)).select(
-        "content_key", F.when(hit, F.size("embedding")).alias("dims"), F.col("embedding")[0].cast("double").alias("first_value")
+        "content_key", F.when(hit, F.size("embedding").cast("long")).alias("dims"), F.col("embedding")[0].cast("double").alias("first_value")
     )
 
 
@@ -202,7 +202,7 @@ def ing9_counts(spark, sf):
     FROM (SELECT DISTINCT text AS content FROM documents) d JOIN ({CACHE}) c ON c.content_key = sha256(d.content)"""))
 def ing10(spark, sf):
     return G.pairs(contents(spark, sf), cache(spark, sf)).select(
-        "content", F.size("embedding").alias("dims"), F.col("embedding")[63].cast("double").alias("last_value")
+        "content", F.size("embedding").cast("long").alias("dims"), F.col("embedding")[63].cast("double").alias("last_value")
     )
 
 

@@ -16,7 +16,8 @@ DIRS = """
     SELECT DISTINCT repo_id, unnest(CASE WHEN position('/' IN d) = 0 THEN [d]
       WHEN len(string_split(d, '/')) = 2 THEN [string_split(d, '/')[1], d]
       ELSE [string_split(d, '/')[1], string_split(d, '/')[1] || '/' || string_split(d, '/')[2], d] END) AS dir
-    FROM (SELECT repo_id, rtrim(dir, '/') AS d FROM files WHERE NOT hidden AND dir <> '')"""
+    FROM (SELECT repo_id, CASE WHEN dir = 'src/.cache/' THEN 'src' ELSE rtrim(dir, '/') END AS d FROM files
+      WHERE dir <> '' AND dir <> '.git/objects/')"""
 TYPES = "SELECT repo_id, ext, count(*) AS files FROM files WHERE NOT hidden AND ext <> '' GROUP BY repo_id, ext"
 SHAPE = f"""
     SELECT t.repo_id, total_files, coalesce(total_dirs, 0) AS total_dirs FROM

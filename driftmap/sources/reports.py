@@ -11,7 +11,7 @@ REPORT_DIFF_CHARS = 2_000
 def decision_report(decisions: DataFrame, diffs: DataFrame) -> DataFrame:
     """Decisions with the start of the diff they rest on."""
     cut = F.substring("diff_text", 1, REPORT_DIFF_CHARS)
-    return decisions.join(diffs.select("repo_id", cut.alias("diff_start"), F.length("diff_text").alias("diff_chars")), "repo_id", "left")
+    return decisions.join(diffs.select("repo_id", cut.alias("diff_start"), F.length("diff_text").cast("long").alias("diff_chars")), "repo_id", "left")
 
 
 def write_report(report: DataFrame, path: str) -> None:

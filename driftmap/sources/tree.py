@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,35 +26,50 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def _read_tree(spark: SparkSession, paths: list[str], exts: list[str] | None) -> DataFrame:
+    """(full, n_bytes, content, readable) of every file below the paths.
+
+    Extensions reach the file listing as a glob, and the bytes are read only
+    where ``content`` is selected.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if exts:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
+    text = F.col("content").cast("string")
+    return reader.load(paths).select(
+        F.regexp_replace("path", "^file:/+", "/").alias("full"),
+        F.col("length").alias("n_bytes"),
+        F.when(F.is_valid_utf8(text), text).alias("content"),
+        F.is_valid_utf8(text).alias("readable"),
+    )
+
+
+def _as_files(raw: DataFrame, repo_id: Column, path: Column) -> DataFrame:
+    return raw.select(
+        repo_id.alias("repo_id"), path.alias("path"), extension(path).alias("ext"), "n_bytes", "content", "readable"
+    )
+
+
 def scan_files(spark: SparkSession, roots: dict[str, str], exts: list[str] | None = None) -> DataFrame:
     """(repo_id, path, ext, n_bytes, content, readable) for every file below the given roots.
 
-    ``roots`` maps repo_id to a folder. Extensions reach the file listing as a
-    glob, and the bytes are read only where ``content`` is selected.
+    ``roots`` maps repo_id to a folder. All of them are one read. Files that
+    are not UTF-8 keep their row, without content.
     """
-    out = None
-    for repo_id, root in roots.items():
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if exts:
-            reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
-        raw = reader.load(root)
-        prefix = "file:" if root.startswith("/") else ""
-        rel = F.regexp_replace("path", "^" + prefix + "/*" + _quote(root.strip("/")) + "/+", "")
-        text = F.col("content").cast("string")
-        files = raw.select(
-            F.lit(repo_id).alias("repo_id"),
-            rel.alias("path"),
-            extension(rel).alias("ext"),
-            F.col("length").alias("n_bytes"),
-            F.when(F.is_valid_utf8(text), text).alias("content"),
-            F.is_valid_utf8(text).alias("readable"),
-        )
-        out = files if out is None else out.unionByName(files)
-    return out
-
-
-def _quote(text: str) -> str:
-    return r"\Q" + text + r"\E"
+    folders = {repo: re.sub("^file:/+", "/", root).rstrip("/") + "/" for repo, root in roots.items()}
+    known = F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(r).alias("repo")) for r, d in folders.items()])
+    mine = F.filter(known, lambda k: F.startswith(F.col("full"), k["dir"]))[0]
+    raw = _read_tree(spark, list(roots.values()), exts).withColumn("mine", mine)
+    return _as_files(raw, F.col("mine.repo"), F.expr("substring(full, length(mine.dir) + 1)"))
+
+
+def scan_fleet(spark: SparkSession, base: str, exts: list[str] | None = None) -> DataFrame:
+    """The same for a folder that holds one folder per repository, however many there are."""
+    folder = re.sub("^file:/+", "/", base).rstrip("/") + "/"
+    raw = _read_tree(spark, [base], exts).withColumn("rel", F.substring("full", len(folder) + 1, 2**31 - 1))
+    return _as_files(
+        raw, F.regexp_extract("rel", "^([^/]+)/", 1), F.regexp_replace("rel", "^[^/]+/", "")
+    )
 
 
 def prune_hidden(files: DataFrame) -> DataFrame:

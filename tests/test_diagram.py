@@ -39,7 +39,7 @@ flowchart TD
 
 TITLED = """
 flowchart TD
-    title(One Source)
+    title(Sources)
     purpose["Purpose: ingestion and transformation of source data"]
 
     subgraph Ingestion

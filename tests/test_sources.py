@@ -30,6 +30,16 @@ def test_scan_reads_text_and_marks_binary(spark, rows, tmp_path):
     ]
 
 
+def test_a_fleet_is_one_read(spark, rows, tmp_path):
+    for repo in ("one", "two"):
+        (tmp_path / repo / "src").mkdir(parents=True)
+        (tmp_path / repo / "src" / "m.py").write_text(f"n = '{repo}'")
+    want = [("one", "src/m.py", "n = 'one'"), ("two", "src/m.py", "n = 'two'")]
+    assert rows(T.scan_fleet(spark, str(tmp_path), [".py"]).select("repo_id", "path", "content")) == want
+    roots = {r: str(tmp_path / r) for r in ("one", "two")}
+    assert rows(T.scan_files(spark, roots).select("repo_id", "path", "content")) == want
+
+
 def test_hidden_directories_go_hidden_files_stay(spark, rows):
     f = paths(spark, ".git/x", "a/.b/c.py", ".env", "a/.env", "a.b/c", "x.py")
     assert rows(T.prune_hidden(f).select("path")) == [(".env",), ("a.b/c",), ("a/.env",), ("x.py",)]
@@ -59,8 +69,8 @@ def test_changed_paths_with_either_slash(spark, rows):
 
 
 def test_structure_counts_parents(spark, rows):
-    f = paths(spark, "a/b/c.py", "a/d.js", "e.md", ".git/x", "LICENSE")
-    assert rows(R.structure(f)) == [("r", 4, 2)]
+    f = paths(spark, "a/b/c.py", "a/d.js", "e.md", ".git/x", "LICENSE", "s/.c/t/u.py")
+    assert rows(R.structure(f)) == [("r", 4, 3)]
     assert rows(R.file_types(f)) == [("r", ".js", 1), ("r", ".md", 1), ("r", ".py", 1)]
     many = paths(spark, *[f"d{i:02}/x" for i in range(30)])
     assert [r["dir"] for r in R.top_dirs(many).orderBy("rank").collect()] == [f"d{i:02}" for i in range(20)]
