@@ -33,8 +33,13 @@ _KEEP_COMMENT = 100
 
 
 def _source(node: ast.expr) -> str:
-    """Source text of an expression; names, the most common case, need no unparser."""
-    return node.id if isinstance(node, ast.Name) else ast.unparse(node)
+    """Source text of an expression; the common leaves need no unparser."""
+    match node:
+        case ast.Name():
+            return node.id
+        case ast.Constant(value=str() | int(), kind=None):
+            return repr(node.value)
+    return ast.unparse(node)
 
 
 def _call_parts(call: ast.Call) -> dict:
