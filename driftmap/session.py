@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,14 +37,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the one the cluster shares between its machines.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` names the shared folder. Only where a session has
-    none (local tests) a temporary folder is made and set.
+    Only a session that runs in one process may go without: it gets a temporary
+    folder. On a cluster a missing setting is an error, as each machine would
+    otherwise write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set on {master}: name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="driftmap-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/driftmap/{purpose}-{uuid.uuid4().hex}"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the shared one."""
+    return f"{checkpoint_root(spark)}/driftmap/{purpose}-{uuid.uuid4().hex}"
