@@ -27,64 +27,84 @@ from pyspark.sql import functions as F
 from driftmap.llm.cuts import components, cut
 from driftmap.llm.words import shingle_sets, slices, words
 
-#: The order of shingles knows this many frequent ones by their counts; the rest is ordered by hash.
+#: The order of shingles knows so many frequent shingles, and so many frequent words, by their counts.
 FREQUENT = 1 << 18
-#: A shingle is reported for that order if so many texts of one slice hold it.
+#: A shingle or word is reported for that order if it comes so often in one slice.
 LOCAL_COUNT = 3
 #: A class is written as a difference from a leader of at least this similarity.
 LEADER_SIMILARITY = 0.5
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of frequent shingles, ``FREQUENT`` at most.
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles and their counts, and the same of frequent words.
 
-    They only order shingles (rare ones first), so an approximate list is enough.
+    They only order shingles, so a bounded, approximate list is enough.
     """
 
     def local(batches):
         for batch in batches:
             for part in slices(batch):
-                sets = list(shingle_sets(words(part.column("text")), k))
-                found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                often = n >= LOCAL_COUNT
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["shingle", "n"])
-
-    counts = cut(docs.select("text").mapInArrow(local, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")))
+                w = words(part.column("text"))
+                if not len(w.codes):
+                    continue
+                shingles, n = np.unique(np.concatenate([s for s, _ in shingle_sets(w, k)]), return_counts=True)
+                uses = np.bincount(w.codes, minlength=len(w.vocabulary))
+                for kind, keys, counts in ((0, shingles, n), (1, w.hashes(), uses)):
+                    often = counts >= LOCAL_COUNT
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(often.sum(), kind, np.int32)), pa.array(keys[often].view(np.int64)), pa.array(counts[often].astype(np.int64)),
+                    ], names=["kind", "key", "n"])
+
+    counts = cut(docs.select("text").mapInArrow(local, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     level = F.floor(F.log2("n") * 4).cast("int")
-    room, least = FREQUENT, 0
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        room -= row["count"]
-        if room < 0:
-            least = row["level"] + 1
-            break
-    rows = counts.where(level >= least).toArrow()
-    hashes = rows["shingle"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows["n"].to_numpy()[order]
+    levels = counts.groupBy("kind", level.alias("level")).count().collect()
+    out = []
+    for kind in (0, 1):
+        room, least = FREQUENT, 0
+        for row in sorted((r for r in levels if r["kind"] == kind), key=lambda r: -r["level"]):
+            room -= row["count"]
+            if room < 0:
+                least = row["level"] + 1
+                break
+        rows = counts.where((F.col("kind") == kind) & (level >= least)).toArrow()
+        keys = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        out += [keys[order], rows["n"].to_numpy()[order]]
+    return tuple(out)
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key, 0 for keys that are not known."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return np.where(known[at] == keys, values[at], 0)
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(doc_id, n, cls, prefix) of every document: set size, digest of its set, rarest shingles.
 
     ``cls`` is null where the set is empty. Two sets with the threshold of
-    similarity share a shingle of their prefixes.
+    similarity share a shingle of their prefixes, whatever the order. Shingles that
+    are not frequent themselves are ordered by how frequent their words are, which
+    puts those in front that hardly any other text holds.
     """
-    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
+    order = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))
 
     def read(batches):
-        known, counts = order.value
+        shingles, held, known, uses = order.value
         for batch in batches:
             for part in slices(batch):
+                w = words(part.column("text"))
+                costs = np.log2(looked_up(w.hashes(), known, uses) + 1).astype(np.int64)
                 sizes, digests, heads = [], [], []
-                for s in shingle_sets(words(part.column("text")), k):
+                for s, cost in shingle_sets(w, k, costs):
                     n = len(s)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                     length = n - -(-num * n // den) + 1 if n else 0
-                    at = np.searchsorted(known, s)
-                    at[at == len(known)] = 0
-                    often = np.where(known[at] == s, counts[at], 0) if len(known) else np.zeros(n, np.int64)
-                    heads.append(s[np.argsort(often, kind="stable")[:length]].view(np.int64))
+                    heads.append(s[np.lexsort((cost, looked_up(s, shingles, held)))[:length]].view(np.int64))
                 ends = np.cumsum([0, *map(len, heads)])
                 values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
@@ -101,7 +121,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def read(batches):
         for batch in batches:
             for part in slices(batch):
-                sets = list(shingle_sets(words(part.column("text")), k))
+                sets = [s for s, _ in shingle_sets(words(part.column("text")), k)]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 same = [d == c for d, c in zip(digests, part.column("cls").to_pylist(), strict=True)]
                 sets = [s for s, x in zip(sets, same, strict=True) if x]

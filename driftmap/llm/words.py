@@ -81,11 +81,20 @@ def chained(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out + np.uint64(k))
 
 
-def shingle_sets(w: Words, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct k-word shingles of each text; a shorter text is one shingle, an empty one none."""
+def shingle_sets(w: Words, k: int, costs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The sorted distinct k-word shingles of each text, and the summed ``costs`` of their words.
+
+    ``costs`` has a number for every entry of the vocabulary. A shorter text is one
+    shingle, an empty one none.
+    """
     hashes = w.hashes()[w.codes] if len(w.codes) else np.zeros(0, np.uint64)
+    spent = None if costs is None else np.concatenate(([0], np.cumsum(costs[w.codes])))
     for start, stop in zip(w.starts[:-1], w.starts[1:], strict=True):
-        if start == stop:
-            yield np.zeros(0, np.uint64)
+        width = min(k, stop - start)
+        if not width:
+            yield np.zeros(0, np.uint64), None if spent is None else spent[:0]
+        elif spent is None:
+            yield np.unique(chained(hashes[start:stop], width)), None
         else:
-            yield np.unique(chained(hashes[start:stop], min(k, stop - start)))
+            found, at = np.unique(chained(hashes[start:stop], width), return_index=True)
+            yield found, spent[start + at + width] - spent[start + at]
