@@ -19,6 +19,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of the smaller side up to which a join sends it to every executor; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast only if it is counted to have few rows.
+
+    Meant for a cut table of ids or other short values, which is cheap to count.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of one of the given tables; only these are read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -24,15 +24,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmap.llm.cuts import components, cut
+from driftmap.llm.cuts import bounded, components, cut
 from driftmap.llm.words import shingle_sets, slices, words
 
 #: The order of shingles knows so many frequent shingles, and so many frequent words, by their counts.
 FREQUENT = 1 << 18
 #: A shingle or word is reported for that order if it comes so often in one slice.
 LOCAL_COUNT = 3
-#: A class is written as a difference from a leader of at least this similarity.
-LEADER_SIMILARITY = 0.5
+#: A class follows a leader if that leads the lists of one in so many of its prefix shingles.
+FOLLOW = 10
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     part.column("cls").filter(pa.array(same, pa.bool_())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                 ], names=["cls", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("cls", "text")
+    texts = docs.select("doc_id", "text").join(bounded(wanted), "doc_id").select("cls", "text")
     return texts.mapInArrow(read, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
@@ -146,35 +146,55 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     are left out where both ends are linked to the leader.
     """
     t, g = num / den, (den - num) / (den + num)
-    close = lambda a, b, least: F.least(a, b) >= F.greatest(a, b) * least
     posts = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "shingle"))
     lists = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
     posts = cut(posts.join(lists, "shingle"))
 
     # leaders: of the classes that a class meets, the one whose shingles are listed most
-    weights = posts.groupBy("cls").agg(F.sum("listed").alias("weight"), F.first("n").alias("n"))
-    weighed = posts.select("shingle", "cls").join(weights, "cls")
+    weights = posts.groupBy("cls").agg(F.sum("listed").alias("weight"))
+    weighed = posts.select("shingle", "cls", "n").join(weights, "cls")
     heads = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "cls", "n")).alias("head"))
-    picks = (
-        weighed.join(heads, "shingle")
-        .where((F.struct("head.weight", "head.cls") > F.struct("weight", "cls")) & close(F.col("n"), F.col("head.n"), LEADER_SIMILARITY))
-        .groupBy("cls").agg(F.max("head").alias("head"), F.first("n").alias("n"))
+    length = F.col("n") - F.ceil(F.col("n") * num / den - 1e-9) + 1
+    picks = cut(
+        weighed.join(heads, "shingle").where(F.struct("head.weight", "head.cls") > F.struct("weight", "cls"))
+        .groupBy("cls", "n", "head").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") * FOLLOW >= length)
+        .groupBy("cls", "n").agg(F.max("head").alias("head"))
         .select("cls", "n", F.col("head.cls").alias("leader"), F.col("head.n").alias("leader_n"))
     )
-    wanted = posts.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
-    sets = cut(whole_sets(docs, wanted, k))
-    leading = sets.select(F.col("cls").alias("leader"), F.col("shingles").alias("leading"))
-    related = (
-        cut(picks.join(sets, "cls").join(leading, "leader")
-            .withColumn("common", F.size(F.array_intersect("shingles", "leading")))
-            .where(F.col("common") >= (F.col("n") + F.col("leader_n") - F.col("common")) * LEADER_SIMILARITY)
-            .select("cls", "n", "leader", "leader_n", "common",
-                    F.concat(F.array_except("shingles", "leading"), F.array_except("leading", "shingles")).alias("diff")))
-    )
     # a leader that follows another one leads nobody; its followers stand alone
-    followers = related.select(F.col("cls").alias("leader"))
-    members = cut(related.join(followers, "leader", "left_anti").withColumn("near", linked(F.col("common"), F.col("n"), F.col("leader_n"), num, den)))
-    direct = related.where(linked(F.col("common"), F.col("n"), F.col("leader_n"), num, den)).select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    picks = cut(picks.join(picks.select(F.col("cls").alias("leader")), "leader", "left_anti"))
+
+    # different leaders: list blocks by leader are paired, then their entries by size, number and position
+    led = cut(posts.join(picks.select("cls", "leader"), "cls", "left").select("shingle", "cls", "n", "pos", F.coalesce("leader", "cls").alias("leader")))
+    blocks = led.select("shingle", "leader").distinct()
+    several = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    blocks = blocks.join(several, "shingle").select("shingle", "leader")
+    pairs = blocks.withColumnRenamed("leader", "leader_a").join(blocks.withColumnRenamed("leader", "leader_b"), "shingle").where("leader_a < leader_b")
+    side = lambda s: led.select("shingle", F.col("leader").alias(f"leader_{s}"), F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"))
+    both = F.col("n_a") + F.col("n_b")
+    rest = F.least(F.col("n_a") - F.col("first_a"), F.col("n_b") - F.col("first_b"))
+    fewest = F.ceil(both * num / (den + num) - 1e-9) + 1 - F.ceil(F.greatest("n_a", "n_b") * num / den - 1e-9)
+    across = cut(
+        pairs.join(side("a"), ["shingle", "leader_a"]).join(side("b"), ["shingle", "leader_b"])
+        .where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+        .groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.min("pos_a").alias("first_a"), F.min("pos_b").alias("first_b"))
+        .where((F.col("shared") >= fewest) & (rest * (den + num) >= both * num)).select("a", "b", "n_a", "n_b")
+    )
+
+    ends = picks.select("cls").union(picks.select("leader")).union(across.select("a")).union(across.select("b")).distinct()
+    sets = cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k))
+    whole = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
+    across = (
+        across.join(whole("a"), "a").join(whole("b"), "b")
+        .where(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+    )
+    members = cut(
+        picks.join(whole("cls"), "cls").join(whole("leader"), "leader")
+        .withColumn("near", linked(F.size(F.array_intersect("set_cls", "set_leader")), F.col("n"), F.col("leader_n"), num, den))
+        .select("cls", "n", "leader", "leader_n", "near",
+                F.concat(F.array_except("set_cls", "set_leader"), F.array_except("set_leader", "set_cls")).alias("diff"))
+    )
+    direct = members.where("near").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
     # one leader: by differences
     size, half = F.size("diff"), F.lit(0.5)
@@ -206,24 +226,6 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
         .where(apart_by * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
     )
 
-    # different leaders: list blocks by leader are paired, then their entries by size and position
-    led = cut(posts.join(members.select("cls", "leader"), "cls", "left").select("shingle", "cls", "n", "pos", F.coalesce("leader", "cls").alias("leader")))
-    blocks = led.select("shingle", "leader").distinct()
-    several = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
-    blocks = blocks.join(several, "shingle").select("shingle", "leader")
-    pairs = blocks.withColumnRenamed("leader", "leader_a").join(blocks.withColumnRenamed("leader", "leader_b"), "shingle").where("leader_a < leader_b")
-    side = lambda s: led.select("shingle", F.col("leader").alias(f"leader_{s}"), F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"))
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    across = (
-        pairs.join(side("a"), ["shingle", "leader_a"]).join(side("b"), ["shingle", "leader_b"])
-        .where(close(F.col("n_a"), F.col("n_b"), t - 1e-9) & (rest * (den + num) >= (F.col("n_a") + F.col("n_b")) * num))
-        .select("a", "b", "n_a", "n_b").distinct()
-    )
-    named = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
-    across = (
-        across.join(named("a"), "a").join(named("b"), "b")
-        .where(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
-    )
     return direct.union(within).union(across)
 
 
