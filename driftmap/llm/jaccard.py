@@ -31,8 +31,10 @@ from driftmap.llm.words import shingle_sets, slices, words
 FREQUENT = 1 << 18
 #: A shingle or word is reported for that order if it comes so often in one slice.
 LOCAL_COUNT = 3
-#: A class follows a leader if that leads the lists of one in so many of its prefix shingles.
-FOLLOW = 10
+#: A class may follow a leader that leads the lists of one in so many of its prefix shingles,
+FOLLOW = 5
+#: and does if their sets are that similar.
+LEADER_SIMILARITY = 0.5
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,9 +165,20 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     )
     # a leader that follows another one leads nobody; its followers stand alone
     picks = cut(picks.join(picks.select(F.col("cls").alias("leader")), "leader", "left_anti"))
+    ends = picks.select("cls").union(picks.select("leader")).distinct()
+    sets = cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k))
+    whole = lambda of, s: of.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
+    union = F.col("n") + F.col("leader_n") - F.col("common")
+    members = cut(
+        picks.join(whole(sets, "cls"), "cls").join(whole(sets, "leader"), "leader")
+        .withColumn("common", F.size(F.array_intersect("set_cls", "set_leader"))).where(F.col("common") >= union * LEADER_SIMILARITY)
+        .select("cls", "n", "leader", "leader_n", linked(F.col("common"), F.col("n"), F.col("leader_n"), num, den).alias("near"),
+                F.concat(F.array_except("set_cls", "set_leader"), F.array_except("set_leader", "set_cls")).alias("diff"))
+    )
+    direct = members.where("near").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
     # different leaders: list blocks by leader are paired, then their entries by size, number and position
-    led = cut(posts.join(picks.select("cls", "leader"), "cls", "left").select("shingle", "cls", "n", "pos", F.coalesce("leader", "cls").alias("leader")))
+    led = cut(posts.join(members.select("cls", "leader"), "cls", "left").select("shingle", "cls", "n", "pos", F.coalesce("leader", "cls").alias("leader")))
     blocks = led.select("shingle", "leader").distinct()
     several = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
     blocks = blocks.join(several, "shingle").select("shingle", "leader")
@@ -181,20 +194,12 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
         .where((F.col("shared") >= fewest) & (rest * (den + num) >= both * num)).select("a", "b", "n_a", "n_b")
     )
 
-    ends = picks.select("cls").union(picks.select("leader")).union(across.select("a")).union(across.select("b")).distinct()
-    sets = cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k))
-    whole = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
+    ends = across.select(F.col("a").alias("cls")).union(across.select("b")).distinct().join(sets, "cls", "left_anti")
+    sets = sets.union(cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k)))
     across = (
-        across.join(whole("a"), "a").join(whole("b"), "b")
+        across.join(whole(sets, "a"), "a").join(whole(sets, "b"), "b")
         .where(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
     )
-    members = cut(
-        picks.join(whole("cls"), "cls").join(whole("leader"), "leader")
-        .withColumn("near", linked(F.size(F.array_intersect("set_cls", "set_leader")), F.col("n"), F.col("leader_n"), num, den))
-        .select("cls", "n", "leader", "leader_n", "near",
-                F.concat(F.array_except("set_cls", "set_leader"), F.array_except("set_leader", "set_cls")).alias("diff"))
-    )
-    direct = members.where("near").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
     # one leader: by differences
     size, half = F.size("diff"), F.lit(0.5)
