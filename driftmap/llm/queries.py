@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from driftmap.llm import chat, leaks
 from driftmap.llm.cuts import table
 from driftmap.llm.jaccard import jaccard_components
+from driftmap.llm.lm import lm_scores
 from driftmap.llm.mixing import mixed
+from driftmap.llm.quality import quality_scores
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +26,11 @@ def query(oracle: str | None = None):
     return add
 
 
+@query()
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query()
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,3 +52,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(leaks.ORACLE)
 def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.contained_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
