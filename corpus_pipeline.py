@@ -1,27 +1,75 @@
-"""Clean a corpus: quality, near duplicates, benchmark passages, personal data, mixture."""
+"""Clean a corpus: quality, near duplicates, benchmark passages, personal data, mixture.
+
+Every stage takes all documents that the one before kept, is written as Parquet in
+the shared folder and read again. Rows without doc_id can be neither judged by
+duplicates nor by benchmark passages and pass these two stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmap.llm.cuts import bounded, cut
 from driftmap.llm.jaccard import jaccard_components
+from driftmap.llm.leaks import contained_items
+from driftmap.llm.mixing import mixed
+from driftmap.llm.quality import accepted, scored
+from driftmap.llm.queries import SURROGATE_KEY
+from driftmap.llm.surrogates import with_surrogates
+from driftmap.session import shared_dir
 
-#: DuckDB can express neither the classifier nor the surrogates.
+#: DuckDB can express neither the classifier nor the surrogates nor the draws of the mixture.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not one of ``ids``; null is none of them."""
+    return docs.join(bounded(cut(ids.select("doc_id").distinct())), "doc_id", "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    rows = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "__quality")
+    return rows.where(accepted(F.col("__quality"))).drop("__quality")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
-    kept = jaccard_components(docs, 5, 80, 100).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi")
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays, once."""
+    found = jaccard_components(docs, 5, 80, 100).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = cut(found.where("doc_id IS NOT NULL AND (component_id <> doc_id OR n > 1)"))
+    repeated = found.where("component_id = doc_id").select("doc_id")
+    single = docs.join(bounded(found.select("doc_id")), "doc_id", "left_anti")
+    return single.unionByName(docs.join(bounded(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return _without(docs, contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get surrogates; n_chars follows the text."""
+    out = with_surrogates(docs, SURROGATE_KEY).drop("n_entities")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, with the number of their copies and the words taken."""
+    return mixed(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data), ("mixture", mixture),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        folder = shared_dir(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
     return docs

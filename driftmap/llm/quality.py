@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmap.llm.cuts import cut
 from driftmap.llm.words import Words, chained, slices, words
@@ -102,19 +103,21 @@ def trained(rows: DataFrame) -> np.ndarray:
     return weights_of(z, n)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row per row of ``docs`` (doc_id, text).
+def scored(docs: DataFrame, labels: DataFrame, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score of each row's text, as ``name`` (one of that name is replaced).
 
     ``labels`` has doc_id and quality (0 or 1). Only rows outside the held-out fold
     are learnt from, about ``SAMPLE_ROWS`` of them. The text alone gives the score:
-    empty and null texts all get the score of the bias. Rows without doc_id are
-    scored and not held out; rows without quality aren't learnt from; of a document
-    labelled twice the lower label counts. Other columns are not read. Without
-    labels all scores are 0.5. An empty table gives no rows.
+    empty and null texts all get the score of the bias. Rows without quality or
+    doc_id aren't learnt from; of a document labelled twice the lower label counts.
+    Without labels all scores are 0.5. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    usable = cut(usable)
+    docs = docs.drop(name)
+    usable = cut(
+        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    )
     share = min(1.0, SAMPLE_ROWS / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # about SAMPLE_ROWS short rows, so one side of this join is small whatever the input
@@ -126,9 +129,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 sums = [float(w[at] @ value) for at, value in features(words(part.column("text"), lower=False))]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(_sigmoid(np.array(sums, np.float64) + float(w[-1]))),
-                ], names=["doc_id", "held_out", "score"])
+                scores = pa.array(_sigmoid(np.array(sums, np.float64) + float(w[-1])))
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(score, T.StructType(docs.schema.fields).add(name, "double"))
+
+
+def accepted(score: Column) -> Column:
+    return score >= THRESHOLD
 
-    read = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return read.mapInArrow(score, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per row of ``docs`` (doc_id, text); see ``scored``.
+
+    Rows without doc_id are not held out. Other columns are not read.
+    """
+    rows = scored(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), labels, "score")
+    return rows.select("doc_id", "held_out", "score", accepted(F.col("score")).cast("int").alias("predicted"))

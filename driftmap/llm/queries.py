@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmap.llm import chat, leaks
+from driftmap.llm import chat, leaks, warc
 from driftmap.llm.cuts import table
+from driftmap.llm.html import extracted
 from driftmap.llm.jaccard import jaccard_components
 from driftmap.llm.lm import lm_scores
 from driftmap.llm.mixing import mixed
+from driftmap.llm.neighbours import nearest
 from driftmap.llm.quality import quality_scores
+from driftmap.llm.surrogates import with_surrogates
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
+#: A deployment passes a secret of its own.
+SURROGATE_KEY = b"example key"
 
 
 def query(oracle: str | None = None):
@@ -26,11 +31,22 @@ def query(oracle: str | None = None):
     return add
 
 
+@query()
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query()
 def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query()
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(table(spark, sf_dir, "documents", "doc_id", "text"), SURROGATE_KEY)
+
+
 @query()
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +65,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90, 100)
 
 
+@query(warc.ORACLE)
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query(leaks.ORACLE)
 def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.contained_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -57,3 +78,8 @@ def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query()
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
