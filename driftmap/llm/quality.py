@@ -132,7 +132,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "quality_score") -> D
                 scores = pa.array(_sigmoid(np.array(sums, np.float64) + float(w[-1])))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(score, T.StructType(docs.schema.fields).add(name, "double"))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def accepted(score: Column) -> Column:
