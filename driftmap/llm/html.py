@@ -332,6 +332,9 @@ def layout(rng: random.Random) -> tuple[Page, list[int]]:
     body = "".join(outer)
     if rng.random() < 0.3:
         body = f'<div class="{rng.choice(["page", "wrapper", "container"])}">{body}</div>'
+    if rng.random() < 0.2:
+        deep = rng.randint(2, 40)
+        body = "<div>" * deep + body + "</div>" * deep
     page = parsed(f"<html><head><title>{prose(5)}</title></head><body>{body}</body></html>" if rng.random() < 0.8 else body)
     roots = ["label-0" in h or t in SKIPPED for h, t in zip(page.hints, page.tags, strict=True)]
     page.hints = [h.replace("label-0", "").strip() for h in page.hints]
