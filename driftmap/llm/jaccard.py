@@ -28,11 +28,13 @@ from driftmap.llm.cuts import bounded, components, cut
 from driftmap.llm.words import shingle_sets, slices, words
 
 #: The order of shingles knows so many frequent shingles, and so many frequent words, by their counts.
-FREQUENT = 1 << 18
-#: A shingle or word is reported for that order if it comes so often in one slice.
-LOCAL_COUNT = 3
+FREQUENT = (1 << 19, 1 << 18)
+#: A shingle, or word, is reported for that order if it comes so often in one slice.
+LOCAL_COUNT = (2, 3)
 #: A class may follow a leader that leads the lists of one in so many of its prefix shingles,
-FOLLOW = 5
+FOLLOW = 8
+#: Leaders that follow others hand their followers on so many times.
+HAND_ON = 3
 #: and does if their sets are that similar.
 LEADER_SIMILARITY = 0.5
 
@@ -52,7 +54,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
                 shingles, n = np.unique(np.concatenate([s for s, _ in shingle_sets(w, k)]), return_counts=True)
                 uses = np.bincount(w.codes, minlength=len(w.vocabulary))
                 for kind, keys, counts in ((0, shingles, n), (1, w.hashes(), uses)):
-                    often = counts >= LOCAL_COUNT
+                    often = counts >= LOCAL_COUNT[kind]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(often.sum(), kind, np.int32)), pa.array(keys[often].view(np.int64)), pa.array(counts[often].astype(np.int64)),
                     ], names=["kind", "key", "n"])
@@ -62,7 +64,7 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     levels = counts.groupBy("kind", level.alias("level")).count().collect()
     out = []
     for kind in (0, 1):
-        room, least = FREQUENT, 0
+        room, least = FREQUENT[kind], 0
         for row in sorted((r for r in levels if r["kind"] == kind), key=lambda r: -r["level"]):
             room -= row["count"]
             if room < 0:
@@ -163,7 +165,13 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
         .groupBy("cls", "n").agg(F.max("head").alias("head"))
         .select("cls", "n", F.col("head.cls").alias("leader"), F.col("head.n").alias("leader_n"))
     )
-    # a leader that follows another one leads nobody; its followers stand alone
+    # a leader that follows another one hands its followers on; where that goes on too long, they stand alone
+    for _ in range(HAND_ON):
+        upper = picks.select(F.col("cls").alias("leader"), F.col("leader").alias("upper"), F.col("leader_n").alias("upper_n"))
+        picks = cut(
+            picks.join(upper, "leader", "left")
+            .select("cls", "n", F.coalesce("upper", "leader").alias("leader"), F.coalesce("upper_n", "leader_n").alias("leader_n"))
+        )
     picks = cut(picks.join(picks.select(F.col("cls").alias("leader")), "leader", "left_anti"))
     ends = picks.select("cls").union(picks.select("leader")).distinct()
     sets = cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k))
@@ -179,10 +187,15 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
 
     # different leaders: list blocks by leader are paired, then their entries by size, number and position
     led = cut(posts.join(members.select("cls", "leader"), "cls", "left").select("shingle", "cls", "n", "pos", F.coalesce("leader", "cls").alias("leader")))
-    blocks = led.select("shingle", "leader").distinct()
+    blocks = led.groupBy("shingle", "leader").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     several = blocks.groupBy("shingle").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
-    blocks = blocks.join(several, "shingle").select("shingle", "leader")
-    pairs = blocks.withColumnRenamed("leader", "leader_a").join(blocks.withColumnRenamed("leader", "leader_b"), "shingle").where("leader_a < leader_b")
+    blocks = blocks.join(several, "shingle").select("shingle", "leader", "least", "most")
+    block = lambda s: blocks.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("leader", "least", "most")))
+    pairs = (
+        block("a").join(block("b"), "shingle")
+        .where((F.col("leader_a") < F.col("leader_b")) & (F.col("most_a") * den >= F.col("least_b") * num) & (F.col("most_b") * den >= F.col("least_a") * num))
+        .select("shingle", "leader_a", "leader_b")
+    )
     side = lambda s: led.select("shingle", F.col("leader").alias(f"leader_{s}"), F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"))
     both = F.col("n_a") + F.col("n_b")
     rest = F.least(F.col("n_a") - F.col("first_a"), F.col("n_b") - F.col("first_b"))
