@@ -155,7 +155,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 w = with_ends(words(part.column("text")))
-                yield pa.RecordBatch.from_arrays([w.vocabulary, pa.array(np.bincount(w.codes, minlength=len(w.vocabulary)))], names=["token", "n"])
+                n = np.bincount(w.codes, minlength=len(w.vocabulary))
+                yield pa.RecordBatch.from_arrays([w.vocabulary.filter(pa.array(n > 0)), pa.array(n[n > 0])], names=["token", "n"])
 
     counts = cut(train.mapInArrow(tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

@@ -140,13 +140,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, s
 
     large = cut(_round_tree(units.where("large"), most, seed))
     # the words by which the large ones miss their share are made up for by the small ones
+    # (sums of whole numbers, which don't depend on the order of the rows)
     expected = units.groupBy(F.col("source").alias("s")).agg(
-        F.sum(F.when(F.col("large"), F.col("size") * F.col("x"))).alias("wanted"), F.sum(F.when(~F.col("large"), F.col("size"))).alias("room")
+        (F.sum(F.when(F.col("large"), F.col("size"))) * F.max("x")).alias("wanted"), F.sum(F.when(~F.col("large"), F.col("size"))).alias("room")
     )
-    given = large.groupBy(F.col("source").alias("g")).agg(F.sum(F.col("size") * F.col("x")).alias("given"))
+    given = large.groupBy(F.col("source").alias("g")).agg(F.sum(F.when(F.round("x") == 1, F.col("size")).otherwise(0)).alias("given"))
     shift = cut(
         expected.join(given, F.col("s").eqNullSafe(F.col("g")), "left")
-        .select("s", F.coalesce((F.coalesce("wanted", F.lit(0.0)) - F.coalesce("given", F.lit(0.0))) / F.col("room"), F.lit(0.0)).alias("shift"))
+        .select("s", F.coalesce((F.coalesce("wanted", F.lit(0.0)) - F.coalesce("given", F.lit(0))) / F.col("room"), F.lit(0.0)).alias("shift"))
     )
     moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x") + F.col("shift")))
     small = units.where("NOT large").join(shift, F.col("source").eqNullSafe(F.col("s"))).select("source", "block", "doc_id", "size", moved.alias("x"))
