@@ -27,6 +27,8 @@ SEGMENT_BYTES = 8 << 20
 FREQUENT = 1 << 18
 #: Weight of the shorter context: a context seen so often counts half.
 BACK_OFF = 8.0
+#: Keys that are looked up or set in the filter at a time.
+CHUNK = 1 << 17
 #: The end of a text as a token; no word holds a line feed.
 END = "\n"
 
@@ -71,8 +73,10 @@ def _build(keys: np.ndarray, counts: np.ndarray, single: np.ndarray, most: int)
         keys, levels, single = keys[kept], levels[kept], single[kept]
     size = int(min(most, max(8, levels.sum() * BITS_PER_ENTRY // 8)))
     bits = np.zeros(size * 8, np.uint8)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        bits[_places(keys[levels >= level], level, np.uint64(size * 8)).ravel().astype(np.int64)] = 1
+    for start in range(0, len(keys), CHUNK):
+        some, high = keys[start:start + CHUNK], levels[start:start + CHUNK]
+        for level in range(1, int(high.max()) + 1):
+            bits[_places(some[high >= level], level, np.uint64(size * 8)).ravel()] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -85,6 +89,9 @@ class CountFilter:
         self.data = np.frombuffer(b"".join(segments), np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._counts(keys[i:i + CHUNK]) for i in range(0, len(keys), CHUNK))])
+
+    def _counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys))
         segment = (keys % np.uint64(len(self.bits))).astype(np.int64)
         left, level = np.arange(len(keys)), 0

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes that are cut into words at a time; a longer single text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
