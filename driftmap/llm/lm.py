@@ -119,6 +119,8 @@ def count_filter(train: DataFrame, order: int) -> CountFilter:
                 hashes = w.hashes()[w.codes]
                 for k in range(1, order + 1):
                     keys, counts = np.unique(_grams(hashes, w.starts, k)[0], return_counts=True)
+                    if not len(keys):
+                        continue
                     segment = (keys % np.uint64(n)).astype(np.int64)
                     by = np.argsort(segment, kind="stable")
                     found, at = np.unique(segment[by], return_index=True)
