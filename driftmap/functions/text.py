@@ -29,6 +29,11 @@ def truncate(c: Column, limit: int, suffix: str = "") -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(suffix))).otherwise(c)
 
 
+def start_of(c: Column, limit: int | None, suffix: str = "") -> Column:
+    """A text as it is, or its first ``limit`` characters if a limit is given."""
+    return c if limit is None else truncate(c, limit, suffix)
+
+
 def clean_diagram_reply(c: Column) -> Column:
     """Drop code fences and every non-ASCII character."""
     no_fence = F.replace(F.replace(c, F.lit(FENCE + "mermaid"), F.lit("")), F.lit(FENCE), F.lit(""))

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from driftmap.functions.keywords import steps_in_diff
-from driftmap.functions.text import computed, truncate
+from driftmap.functions.text import computed, start_of
 from driftmap.sources.tree import CHANGED_EXTENSIONS, filter_ext
 
 # Extensions a diff keeps while it has any such section.
 DIFF_EXTENSIONS = [".py", ".js", ".ts", ".java", ".go", ".rb"]
-MAX_DIFF_CHARS = 15_000
 DIFF_CUT_NOTE = "\n\n... (diff truncated for length)"
 
 # What is read out of raw diff text.
@@ -108,8 +107,9 @@ def diff_steps(diffs: DataFrame) -> DataFrame:
     return diffs.select("change_id", F.explode(steps_in_diff(F.col("diff_text"))).alias("step"))
 
 
-def cut_diff(diff_text: Column) -> Column:
-    return truncate(diff_text, MAX_DIFF_CHARS, DIFF_CUT_NOTE)
+def cut_diff(diff_text: Column, limit: int | None = None) -> Column:
+    """A diff for a request, with a note where a limit that is given cuts it."""
+    return start_of(diff_text, limit, DIFF_CUT_NOTE)
 
 
 def change_rows(changesets: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def value_changes(
 ) -> DataFrame:
     """Rows whose value differs from the previous one of the same key, with that old value.
 
-    The first value of a key has old value ``N/A``. A key may own a large part
+    The first value of a key has old value ``N/A``; an old value that was null is null. A key may own a large part
     of all rows, so "previous row" is found within (key, time bucket), and only
     the first row of each bucket looks further, at the last value of the bucket
     before: no task sees more than one bucket of rows, or one row per bucket.
@@ -153,15 +153,17 @@ def value_changes(
         "old_raw": F.lag(value).over(within),
         "slot_last": F.last(value).over(whole),
     })
-    before = F.lag("slot_last").over(Window.partitionBy(*keys).orderBy("bucket"))
-    later = h.filter(F.col("rn") > 1)
-    firsts = h.filter(F.col("rn") == 1).withColumn("old_raw", before)
+    buckets = Window.partitionBy(*keys).orderBy("bucket")
+    later = h.filter(F.col("rn") > 1).withColumn("was", F.lit(True))
+    firsts = h.filter(F.col("rn") == 1).withColumns({
+        "old_raw": F.lag("slot_last").over(buckets), "was": F.coalesce(F.lag(F.lit(True)).over(buckets), F.lit(False)),
+    })
     return (
         later.unionByName(firsts)
-        .filter(~F.col("old_raw").eqNullSafe(F.col(value)))
-        .withColumn("old_value", F.coalesce(F.col("old_raw").cast("string"), F.lit("N/A")))
+        .filter(~F.col("was") | ~F.col("old_raw").eqNullSafe(F.col(value)))
+        .withColumn("old_value", F.when(F.col("was"), F.col("old_raw").cast("string")).otherwise("N/A"))
         .withColumn("new_value", F.col(value).cast("string"))
-        .drop("bucket", "rn", "old_raw", "slot_last")
+        .drop("bucket", "rn", "old_raw", "slot_last", "was")
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmap.functions.keywords import is_config_call, is_log_call
-from driftmap.functions.text import strip, truncate
+from driftmap.functions.text import start_of, strip
 
 PARSED_SCHEMA = (
     "repo_id string, path string, seq int, line int, indent int, node string, target string, "
@@ -157,7 +157,8 @@ def comments(files: DataFrame) -> DataFrame:
     A ``#`` inside a one-line string is not a comment. Strings over several
     lines are the known gap; ``parsed_comments`` is exact.
     """
-    pattern = r"""^(?:[^'"#]|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')*(#.*)$"""
+    # possessive: neither a long line nor an open quote makes the matcher go back
+    pattern = r"""^(?:[^'"#]++|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')*+(#.*)$"""
     found = (
         files.select("repo_id", "path", F.posexplode(F.split("content", "\n")).alias("i", "row"))
         .filter(F.col("row").contains("#"))
@@ -187,7 +188,7 @@ def _arg_text() -> Column:
     ).otherwise(F.array_join("args", ", "))
 
 
-def _told(parsed: DataFrame) -> DataFrame:
+def _told(parsed: DataFrame, arg_chars: int | None) -> DataFrame:
     """Syntax rows with the kind, arguments and text of statements."""
     node, vk, arg = F.col("node"), F.col("value_kind"), F.col("arg_text")
     kind = (
@@ -196,13 +197,13 @@ def _told(parsed: DataFrame) -> DataFrame:
         .when((node == "assign") & (vk == "call") & is_config_call(arg), "CONFIG")
         .when((node == "assign") & (vk == "call"), "ASSIGN")
         .when((node == "assign") & (vk == "dict"), "DATA_STRUCT")
-        .when((node == "assign") & (vk == "str") & (F.length("value") < 100), "CONSTANT")
+        .when((node == "assign") & (vk == "str"), "CONSTANT")
         .when((node == "call") & ~is_log_call(F.col("callee")), "ACTION")
         .when((node == "call") & F.col("value").isNotNull(), "LOG_EVENT")
         .otherwise("SILENT")
     )
     k, target, callee, value = F.col("kind"), F.col("target"), F.col("callee"), F.col("value")
-    short = truncate(arg, 50, "...")
+    short = start_of(arg, arg_chars, "...")
     said = (
         F.when(k == "IF CHECK", F.concat(F.lit("IF CHECK: "), value))
         .when(k == "DEF FUNCTION", F.concat(F.lit("DEF FUNCTION "), target, F.lit(":")))
@@ -222,13 +223,13 @@ def _told(parsed: DataFrame) -> DataFrame:
     )
 
 
-def statement_facts(parsed: DataFrame) -> DataFrame:
+def statement_facts(parsed: DataFrame, arg_chars: int | None = None) -> DataFrame:
     """(repo_id, path, seq, line, indent, node, kind, target, callee, args, value, arg_text, text).
 
     ``kind`` SILENT marks statements that print nothing themselves but still
     count for comment attachment.
     """
-    return _told(parsed.filter(F.col("seq").isNotNull())).select(
+    return _told(parsed.filter(F.col("seq").isNotNull()), arg_chars).select(
         "repo_id", "path", "seq", "line", "indent", "node", "kind", "target", "callee", "args", "value", "arg_text", "text"
     )
 
@@ -238,7 +239,7 @@ def fact_errors(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("node") == "error").select("repo_id", "path", F.col("value").alias("error"))
 
 
-def _by_line(parsed: DataFrame) -> DataFrame:
+def _by_line(parsed: DataFrame, arg_chars: int | None = None) -> DataFrame:
     """Per file line: its statements, and the comments that may belong to them.
 
     A comment reaches its own line and the two after it, so attachment is a
@@ -257,7 +258,7 @@ def _by_line(parsed: DataFrame) -> DataFrame:
         F.array(F.coalesce("line", F.lit(0)))
     )
     return (
-        _told(parsed)
+        _told(parsed, arg_chars)
         .withColumn("ctext", F.when(note, said))
         .withColumn("ctype", F.when(note, comment_class(F.col("ctext"))))
         .filter(~note | ((F.col("ctext") != "") & (F.col("ctype") != "todo")))
@@ -292,17 +293,19 @@ def attach_comments(parsed: DataFrame) -> DataFrame:
     )
 
 
-def format_comment(text: Column, kind: Column) -> Column:
+def format_comment(text: Column, kind: Column, chars: int | None = None) -> Column:
     rule = "=" * 70
     return (
         F.when(kind == "section_header", F.concat(F.lit(f"\n{rule}\n"), text, F.lit(f"\n{rule}")))
         .when(kind == "step_marker", F.concat(F.lit("\n>>> "), text))
-        .when(kind == "docstring", F.concat(F.lit("  ## "), truncate(text, 150, "...")))
+        .when(kind == "docstring", F.concat(F.lit("  ## "), start_of(text, chars, "...")))
         .otherwise(F.concat(F.lit("  # "), text))
     )
 
 
-def render_skeleton(parsed: DataFrame, include_comments: bool = True) -> DataFrame:
+def render_skeleton(
+    parsed: DataFrame, include_comments: bool = True, arg_chars: int | None = None, comment_chars: int | None = None
+) -> DataFrame:
     """(repo_id, path, skeleton): each file's statements and comments as text, or its fault.
 
     The group is one file, so it is no larger than what that file holds.
@@ -311,11 +314,11 @@ def render_skeleton(parsed: DataFrame, include_comments: bool = True) -> DataFra
     own = F.struct(s["seq"].alias("seq"), F.lit(2**31 - 1).alias("at"), s["text"].alias("text"))
     comments_first = F.transform(
         F.filter("noted", lambda c: _takes(s, c)),
-        lambda c: F.struct(s["seq"].alias("seq"), c["cline"].alias("at"), format_comment(c["ctext"], c["ctype"]).alias("text")),
+        lambda c: F.struct(s["seq"].alias("seq"), c["cline"].alias("at"), format_comment(c["ctext"], c["ctype"], comment_chars).alias("text")),
     )
     rows = F.concat(comments_first, F.array(own)) if include_comments else F.array(own)
     return (
-        _by_line(parsed)
+        _by_line(parsed, arg_chars)
         .select("repo_id", "path", "noted", F.explode("stated").alias("s"))
         .select("repo_id", "path", F.explode(rows).alias("p"))
         .groupBy("repo_id", "path")
@@ -376,21 +379,21 @@ def config_values(facts: DataFrame) -> DataFrame:
     )
 
 
-PREVIEW_CHARS = 2_000
-
-
-def project_context(files: DataFrame, parsed: DataFrame, include_comments: bool = True) -> DataFrame:
+def project_context(
+    files: DataFrame, parsed: DataFrame, include_comments: bool = True, preview_chars: int | None = None
+) -> DataFrame:
     """(repo_id, path, block, block_chars): one context block per readable source file.
 
     Blocks in path order are a repository's context. They stay rows: a
     repository can be far larger than one value may be. Python files give
-    their skeleton, or the parse fault; other sources a preview.
+    their skeleton, or the parse fault; other sources their text, or
+    its start if ``preview_chars`` is given.
     """
     other = files.filter(F.col("ext").isin(".js", ".ts", ".java") & F.col("content").isNotNull())
     preview = other.select(
         "repo_id", "path",
         F.concat(
-            F.lit("\n--- FILE: "), "path", F.lit(" ---\n"), F.substring("content", 1, PREVIEW_CHARS), F.lit("\n")
+            F.lit("\n--- FILE: "), "path", F.lit(" ---\n"), start_of(F.col("content"), preview_chars), F.lit("\n")
         ).alias("block"),
     )
     scripts = render_skeleton(parsed, include_comments).select(

@@ -71,10 +71,16 @@ def split_headings(docs: DataFrame) -> DataFrame:
     """(…, section, section_text): parts that start at a ``#`` or ``##`` line.
 
     The heading stays on its part and every part keeps its document's columns.
-    A document is split inside its own row.
+    A document is split inside its own row. Lines between code fences are no
+    headings: every second piece between fences gets a mark before its ``#``.
     """
+    pieces = F.transform(
+        F.split("page_content", r"(?dm)^```"),
+        lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"(?dm)^#", "\u0000#")).otherwise(p),
+    )
     parts = F.filter(
-        F.transform(F.split("page_content", r"(?dm)(?=^##?(?: |$))"), strip), lambda p: p != ""
+        F.transform(F.split(F.array_join(pieces, "```"), r"(?dm)(?=^##?(?: |$))"), lambda p: F.replace(strip(p), F.lit("\u0000#"), F.lit("#"))),
+        lambda p: p != "",
     )
     return docs.select("*", F.posexplode(parts).alias("section", "section_text")).drop("page_content")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmap.functions.text import start_of
+
 from driftmap.functions.keywords import ENTRY_POINTS
 from driftmap.functions.text import count_bracket_nodes, count_numbered_steps
 from driftmap.sources.tree import base_name, directory, extension, prune_hidden
@@ -74,7 +76,7 @@ def entry_points(files: DataFrame, names: dict[str, list[str]] = ENTRY_POINTS) -
     return prune_hidden(files).select("repo_id", "path", F.explode(langs).alias("language"))
 
 
-def new_mode_report(files: DataFrame, skeletons: DataFrame, preview_chars: int = 2_000) -> DataFrame:
+def new_mode_report(files: DataFrame, skeletons: DataFrame, preview_chars: int | None = None) -> DataFrame:
     """(repo_id, part, rank, item, text): the structure report as ordered rows.
 
     The parts are totals, file types by count, the first directories, and the
@@ -99,7 +101,7 @@ def new_mode_report(files: DataFrame, skeletons: DataFrame, preview_chars: int =
         F.col("dir").alias("item"), F.lit("").alias("text"),
     )
     found = entry_points(files.select("repo_id", "path"))
-    contents = files.select("repo_id", "path", F.substring("content", 1, preview_chars).alias("preview"))
+    contents = files.select("repo_id", "path", start_of(F.col("content"), preview_chars).alias("preview"))
     entries = (
         found.join(contents, ["repo_id", "path"])
         .join(skeletons, ["repo_id", "path"], "left")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REQUEST_DIFF_CHARS = 3_000
-NODE_CHARS = 150
+from driftmap.functions.text import start_of
+
 METADATA_HEADER = "PIPELINE METADATA (Use this context to enhance the diagram):"
 
 # Optional fields and the label each is shown with, in order.
@@ -28,16 +28,17 @@ def metadata_block(fields: dict[str, Column]) -> Column:
 
 
 def build_requests(
-    runs: DataFrame, affected: DataFrame, context: DataFrame, diagrams: DataFrame
+    runs: DataFrame, affected: DataFrame, context: DataFrame, diagrams: DataFrame,
+    diff_chars: int | None = None, node_chars: int | None = None,
 ) -> DataFrame:
-    """One request row per run: locked diagram, affected ids, node details, start of the diff.
+    """One request row per run: locked diagram, affected ids, node details, diff or its start.
 
     ``runs`` is (change_id, diagram_id, diff_text, metadata). Details come
     from the affected nodes of one diagram, so the group is bounded by it.
     """
     detail = F.concat(
         F.lit("\n  Node "), "node_id", F.lit(":"),
-        F.lit("\n    - Current Content: "), F.substring("content", 1, NODE_CHARS), F.lit("..."),
+        F.lit("\n    - Current Content: "), start_of(F.col("content"), node_chars, "..."),
         F.lit("\n    - Subgraph: "), F.coalesce("subgraph", F.lit("None")),
         F.lit("\n    - Keywords: "), F.array_join("tags", ", "),
         F.lit("\n    - Connected to: "), F.array_join(F.concat("incoming", "outgoing"), ", "),
@@ -60,6 +61,6 @@ def build_requests(
             "change_id", "diagram_id", "metadata", "existing_diagram",
             F.coalesce("affected_nodes", F.lit("None detected")).alias("affected_nodes"),
             F.coalesce("node_details", F.lit("")).alias("node_details"),
-            F.substring("diff_text", 1, REQUEST_DIFF_CHARS).alias("diff_start"),
+            start_of(F.col("diff_text"), diff_chars).alias("diff_start"),
         )
     )

@@ -130,7 +130,7 @@ def context(spark, sf):
 
 CONTEXT = f"""
     SELECT repo_id, path, block, length(block) AS block_chars FROM (
-      SELECT repo_id, path, chr(10) || '--- FILE: ' || path || ' ---' || chr(10) || substring(content, 1, 2000) || chr(10) AS block
+      SELECT repo_id, path, chr(10) || '--- FILE: ' || path || ' ---' || chr(10) || content || chr(10) AS block
       FROM files WHERE ext IN ('.js', '.ts', '.java')
       UNION ALL
       SELECT repo_id, path, chr(10) || '--- PIPELINE: ' || path || ' ---' || chr(10) || skeleton || chr(10) FROM (

@@ -179,7 +179,7 @@ def map15(spark, sf):
 
 
 @query("src15_decision_report", sql(f"""
-    SELECT r.*, substring(d.diff_text, 1, 2000) AS diff_start, length(d.diff_text) AS diff_chars
+    SELECT r.*, d.diff_text AS diff_start, length(d.diff_text) AS diff_chars
     FROM ({DECISIONS}) r LEFT JOIN diffs d ON d.change_id = r.repo_id"""))
 def src15(spark, sf):
     diffs = derived.diffs(spark, sf).select(F.col("change_id").alias("repo_id"), "diff_text")

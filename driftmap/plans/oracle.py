@@ -198,10 +198,10 @@ CTES: dict[str, str] = {
             {'seq': 4, 'line': 10, 'indent': 0, 'kind': 'CONSTANT', 'text': 'CONSTANT: label = "' || p_name || '"'},
             {'seq': 5, 'line': 11, 'indent': 0, 'kind': 'IF CHECK', 'text': 'IF CHECK: limit > 10'},
             {'seq': 6, 'line': 12, 'indent': 1, 'kind': 'LOG_EVENT', 'text': '  LOG_EVENT: "part ' || k || ' ready"'},
-            {'seq': 7, 'line': 13, 'indent': 1, 'kind': 'ACTION', 'text': '  ACTION: upload(' || CASE WHEN length(up_args) > 50 THEN substring(up_args, 1, 50) || '...' ELSE up_args END || ')'},
+            {'seq': 7, 'line': 13, 'indent': 1, 'kind': 'ACTION', 'text': '  ACTION: upload(' || up_args || ')'},
             {'seq': 8, 'line': 14, 'indent': 0, 'kind': 'DEF FUNCTION', 'text': 'DEF FUNCTION run:'},
             {'seq': 9, 'line': 16, 'indent': 1, 'kind': 'ACTION', 'text': '  ACTION: helper(x)'},
-            {'seq': 10, 'line': 17, 'indent': 0, 'kind': 'ASSIGN', 'text': 'ASSIGN: pool = CALL Pool(' || CASE WHEN length(pool_args) > 50 THEN substring(pool_args, 1, 50) || '...' ELSE pool_args END || ')'},
+            {'seq': 10, 'line': 17, 'indent': 0, 'kind': 'ASSIGN', 'text': 'ASSIGN: pool = CALL Pool(' || pool_args || ')'},
             {'seq': 11, 'line': 18, 'indent': 0, 'kind': 'SILENT', 'text': NULL}
           ]) AS s FROM good_scripts)""",
     "noted": """
@@ -221,7 +221,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT n.repo_id, n.path, t.seq, n.line, CASE n.type
             WHEN 'section_header' THEN chr(10) || repeat('=', 70) || chr(10) || n.text || chr(10) || repeat('=', 70)
             WHEN 'step_marker' THEN chr(10) || '>>> ' || n.text
-            WHEN 'docstring' THEN '  ## ' || CASE WHEN length(n.text) > 150 THEN substring(n.text, 1, 150) || '...' ELSE n.text END
+            WHEN 'docstring' THEN '  ## ' || n.text
             ELSE '  # ' || n.text END
           FROM noted n JOIN takes t ON t.cline = n.line""",
     "skeletons": """

@@ -23,7 +23,7 @@ from driftmap.plans.registry import query
 def prj1(spark, sf):
     text = F.col("text")
     return derived.table(spark, sf, "documents").select(
-        "doc_id", T.truncate(text, 2_000).alias("preview"), T.truncate(text, 50, "...").alias("args"), cut_diff(text).alias("diff")
+        "doc_id", T.truncate(text, 2_000).alias("preview"), T.truncate(text, 50, "...").alias("args"), cut_diff(text, 15_000).alias("diff")
     )
 
 
@@ -99,12 +99,12 @@ def prj10(spark, sf):
 
 @query("prj11_update_requests", sql("""
     SELECT r.change_id, r.diagram_id, md5(d.code) AS diagram_md5, coalesce(a.ids, 'None detected') AS affected_nodes,
-      coalesce(a.details, '') AS node_details, substring(r.diff_text, 1, 3000) AS diff_start
+      coalesce(a.details, '') AS node_details, r.diff_text AS diff_start
     FROM diffs r JOIN diags d ON d.diagram_id = r.diagram_id
     LEFT JOIN (
       SELECT change_id, string_agg(node_id, ', ' ORDER BY node_id) AS ids, string_agg(detail, '' ORDER BY node_id) AS details FROM (
         SELECT x.change_id, x.node_id, chr(10) || '  Node ' || x.node_id || ':'
-          || chr(10) || '    - Current Content: ' || substring(n.content, 1, 150) || '...'
+          || chr(10) || '    - Current Content: ' || n.content
           || chr(10) || '    - Subgraph: ' || coalesce(n.subgraph, 'None')
           || chr(10) || '    - Keywords: ' || coalesce(t.l, '')
           || chr(10) || '    - Connected to: ' || concat_ws(', ', i.l, o.l) AS detail

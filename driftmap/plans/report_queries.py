@@ -55,7 +55,7 @@ def agg3(spark, sf):
     UNION ALL SELECT repo_id, '2 types', -files, ext, CAST(files AS VARCHAR) FROM ({TYPES})
     UNION ALL SELECT repo_id, '3 directories', rank, dir, '' FROM ({TOP})
     UNION ALL SELECT e.repo_id, '4 entry points', 0, e.path || ' (' || language || ')',
-      CASE WHEN e.path LIKE '%.py' THEN 'PARSED' ELSE substring(content, 1, 2000) END
+      CASE WHEN e.path LIKE '%.py' THEN 'PARSED' ELSE content END
       FROM ({ENTRIES}) e JOIN files f ON f.repo_id = e.repo_id AND f.path = e.path
     UNION ALL SELECT repo_id, '4 entry points', 0, 'No standard entry points detected.', ''
       FROM (SELECT DISTINCT repo_id FROM files WHERE NOT hidden) WHERE repo_id NOT IN (SELECT repo_id FROM ({ENTRIES}))"""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
 from driftmap.plans import derived
@@ -16,10 +18,35 @@ from driftmap.sources import reports as R
 from driftmap.sources import tree as T
 
 
-@query("src1_scan_tree")
+def put_files(files, base: str) -> None:
+    """Write each content below ``base``/repo_id/path, in distributed steps; the files must not exist."""
+
+    def put(batches):
+        for batch in batches:
+            n = 0
+            for row in batch.to_pylist():
+                fs, top = pafs.FileSystem.from_uri(base)
+                full = f"{top}/{row['repo_id']}/{row['path']}"
+                fs.create_dir(full.rpartition("/")[0])
+                with fs.open_output_stream(full, compression=None) as f:
+                    f.write(row["content"].encode())
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    files.select("repo_id", "path", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
+#: Every name that a listing may lose: a start file, a package, a hidden file, a hidden folder, a private one.
+AWKWARD = "CASE doc_id % 5 WHEN 0 THEN '__init__.py' WHEN 1 THEN '.eslintrc.js' WHEN 2 THEN '_private/a.ts' WHEN 3 THEN '.git/x.java' ELSE '__main__.py' END"
+
+
+@query("src1_scan_tree", sql(f"""
+    SELECT repo_id, 'd' || doc_id || '/' || {AWKWARD} AS path, content, octet_length(encode(content)) AS n_bytes, true AS readable FROM files"""))
 def src1(spark, sf):
-    """The table folder itself as a source tree; the bytes are not read."""
-    return T.scan_files(spark, {"tables": sf}, [".parquet"]).select("repo_id", "path", "ext", "n_bytes")
+    """Documents written as files of awkward names, then scanned again."""
+    base = shared_dir(spark, "tree")
+    put_files(derived.files(spark, sf).withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), F.expr(AWKWARD))), base)
+    return T.scan_fleet(spark, base, T.SCAN_EXTENSIONS).select("repo_id", "path", "content", "n_bytes", "readable")
 
 
 @query("src2_prune_hidden", sql("SELECT repo_id, path FROM files WHERE NOT hidden"))

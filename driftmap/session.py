@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.sql.files.minPartitionNum", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -28,15 +29,6 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that lies in fewer splits than there are cores.
-
-    A table with enough splits, as any large one has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that all machines share, as ``spark.checkpoint.dir`` names it.
 

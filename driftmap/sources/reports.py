@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPORT_DIFF_CHARS = 2_000
+from driftmap.functions.text import start_of
 
 
-def decision_report(decisions: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Decisions with the start of the diff they rest on."""
-    cut = F.substring("diff_text", 1, REPORT_DIFF_CHARS)
+def decision_report(decisions: DataFrame, diffs: DataFrame, diff_chars: int | None = None) -> DataFrame:
+    """Decisions with the diff they rest on, or its start if a limit is given."""
+    cut = start_of(F.col("diff_text"), diff_chars)
     return decisions.join(diffs.select("repo_id", cut.alias("diff_start"), F.length("diff_text").cast("long").alias("diff_chars")), "repo_id", "left")
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").parquet(path)
-
-
 def run_log_rows(runs: DataFrame) -> DataFrame:
     """Log rows of finished and failed runs.
 

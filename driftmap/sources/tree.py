@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftmap.session import checkpoint_root
+
 # What the context scan reads, and what counts as a changed file.
 SCAN_EXTENSIONS = [".py", ".js", ".ts", ".java"]
 CHANGED_EXTENSIONS = [".py", ".js", ".ts", ".java"]
@@ -26,50 +31,81 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
-def _read_tree(spark: SparkSession, paths: list[str], exts: list[str] | None) -> DataFrame:
-    """(full, n_bytes, content, readable) of every file below the paths.
-
-    Extensions reach the file listing as a glob, and the bytes are read only
-    where ``content`` is selected.
+#: Files whose contents one partition reads; a level of folders is listed in about as many partitions.
+FILES_PER_TASK, LISTING_TASKS = 256, 64
+
+
+def _list_folders(batches):
+    """Entries of each folder: one row per file or folder, of any name."""
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            fs, top = pafs.FileSystem.from_uri(row["root"])
+            found = fs.get_file_info(pafs.FileSelector(f"{top}/{row['path']}".rstrip("/"), recursive=False))
+            for e in found:
+                inner = f"{row['path']}/{e.base_name}".lstrip("/")
+                rows.append((row["repo_id"], row["root"], inner, e.type == pafs.FileType.Directory, e.size))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["repo_id", "root", "path", "folder", "n_bytes"])
+
+
+def _read_contents(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            fs, top = pafs.FileSystem.from_uri(row["root"])
+            with fs.open_input_stream(f"{top}/{row['path']}", compression=None) as f:
+                data = f.read()
+            try:
+                text = data.decode()
+            except UnicodeDecodeError:
+                text = None
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row["repo_id"]]), pa.array([row["path"]]), pa.array([row["n_bytes"]], pa.int64()), pa.array([text], pa.string()), pa.array([text is not None]),
+            ], names=["repo_id", "path", "n_bytes", "content", "readable"])
+
+
+def list_files(roots: DataFrame) -> DataFrame:
+    """(repo_id, root, path, n_bytes) of every file below the folders of ``roots`` (repo_id, root).
+
+    Folders are listed level by level in distributed steps, so hidden names and
+    names with an underscore in front, which Spark's own listing leaves out, are
+    there. The driver only learns whether a level holds folders.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    schema = "repo_id string, root string, path string, folder boolean, n_bytes long"
+    checkpoint_root(roots.sparkSession)
+    level, files = roots.select("repo_id", "root", F.lit("").alias("path")), []
+    while True:
+        found = level.repartition(LISTING_TASKS).mapInArrow(_list_folders, schema).checkpoint()
+        files.append(found.where("NOT folder").select("repo_id", "root", "path", "n_bytes"))
+        level = found.where("folder").select("repo_id", "root", "path")
+        if level.limit(1).count() == 0:
+            return reduce(DataFrame.union, files)
+
+
+def read_files(listed: DataFrame, exts: list[str] | None = None) -> DataFrame:
+    """(repo_id, path, ext, n_bytes, content, readable) of listed files, with one of the extensions if any are given."""
     if exts:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(exts) + "}")
-    text = F.col("content").cast("string")
-    return reader.load(paths).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("full"),
-        F.col("length").alias("n_bytes"),
-        F.when(F.is_valid_utf8(text), text).alias("content"),
-        F.is_valid_utf8(text).alias("readable"),
-    )
-
-
-def _as_files(raw: DataFrame, repo_id: Column, path: Column) -> DataFrame:
-    return raw.select(
-        repo_id.alias("repo_id"), path.alias("path"), extension(path).alias("ext"), "n_bytes", "content", "readable"
+        listed = listed.where(reduce(or_, (F.col("path").endswith(e) for e in exts)))
+    tasks = max(1, -(-listed.count() // FILES_PER_TASK))
+    schema = "repo_id string, path string, n_bytes long, content string, readable boolean"
+    return listed.repartition(tasks, "repo_id", "path").mapInArrow(_read_contents, schema).select(
+        "repo_id", "path", extension(F.col("path")).alias("ext"), "n_bytes", "content", "readable"
     )
 
 
 def scan_files(spark: SparkSession, roots: dict[str, str], exts: list[str] | None = None) -> DataFrame:
-    """(repo_id, path, ext, n_bytes, content, readable) for every file below the given roots.
+    """The same for every file below the given roots, a folder by repo_id.
 
-    ``roots`` maps repo_id to a folder. All of them are one read. Files that
-    are not UTF-8 keep their row, without content.
+    Files that are not UTF-8 keep their row, without content.
     """
-    folders = {repo: re.sub("^file:/+", "/", root).rstrip("/") + "/" for repo, root in roots.items()}
-    known = F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(r).alias("repo")) for r, d in folders.items()])
-    mine = F.filter(known, lambda k: F.startswith(F.col("full"), k["dir"]))[0]
-    raw = _read_tree(spark, list(roots.values()), exts).withColumn("mine", mine)
-    return _as_files(raw, F.col("mine.repo"), F.expr("substring(full, length(mine.dir) + 1)"))
+    return read_files(list_files(spark.createDataFrame([(r, d.rstrip("/")) for r, d in roots.items()], "repo_id string, root string")), exts)
 
 
 def scan_fleet(spark: SparkSession, base: str, exts: list[str] | None = None) -> DataFrame:
     """The same for a folder that holds one folder per repository, however many there are."""
-    folder = re.sub("^file:/+", "/", base).rstrip("/") + "/"
-    raw = _read_tree(spark, [base], exts).withColumn("rel", F.substring("full", len(folder) + 1, 2**31 - 1))
-    return _as_files(
-        raw, F.regexp_extract("rel", "^([^/]+)/", 1), F.regexp_replace("rel", "^[^/]+/", "")
-    )
+    files = scan_files(spark, {"": base}, exts).where(F.col("path").contains("/"))
+    return files.withColumns({"repo_id": F.substring_index("path", "/", 1), "path": F.regexp_replace("path", "^[^/]+/", "")})
 
 
 def prune_hidden(files: DataFrame) -> DataFrame:

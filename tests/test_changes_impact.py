@@ -176,3 +176,9 @@ def test_code_sections_fall_back_per_change(spark, rows):
         "change_id string, path string",
     )
     assert rows(C.code_sections(d)) == [("a", "x.py"), ("b", "y.cfg"), ("c", "z.go")]
+
+
+def test_null_is_a_value(spark, rows):
+    h = spark.createDataFrame([("k", 0, 1, None), ("k", 1, 2, "a"), ("k", 70, 3, None), ("k", 71, 4, None)], "key string, sec long, event_id long, value string")
+    got = C.value_changes(h.withColumn("ts", F.timestamp_seconds("sec")), ["key"]).select("event_id", "old_value", "new_value")
+    assert rows(got) == [(1, "N/A", None), (2, None, "a"), (3, "a", None)]

@@ -58,7 +58,7 @@ def test_statement_rows(spark):
         "ACTION: waited()",
         "DATA_STRUCT: w = Keys['a']",
         'CONSTANT: s = "short"',
-        None,
+        'CONSTANT: t = "' + "t" * 100 + '"',
         "ASSIGN: q = CALL other(1)",
         None,
         'LOG_EVENT: "1"',
@@ -93,8 +93,10 @@ def test_rendered_comment_forms(spark):
     rule = "=" * 70
     assert told == "\n".join([
         f"\n{rule}\n== Part ==\n{rule}", "ASSIGN: a = CALL f(1)", "\n>>> STEP two", "ASSIGN: b = CALL f(2)",
-        "  ## " + "w" * 150 + "...", "ASSIGN: c = CALL f(3)", "  # plain", "ASSIGN: d = CALL f(4)",
+        "  ## " + long, "ASSIGN: c = CALL f(3)", "  # plain", "ASSIGN: d = CALL f(4)",
     ])
+    cut = A.render_skeleton(parse(spark, a=source), comment_chars=150).first()["skeleton"]
+    assert cut == told.replace(long, "w" * 150 + "...")
     plain = A.render_skeleton(parse(spark, a=source), include_comments=False).first()["skeleton"]
     assert plain == "\n".join(f"ASSIGN: {v} = CALL f({i})" for i, v in enumerate("abcd", 1))
 
@@ -120,3 +122,8 @@ def test_config_facts(spark, rows):
         (1, "env", "BUCKET", None), (2, "env", "KEY", None), (3, "fetch", "model-name", None),
         (4, "literal", "name", "x"), (4, "literal", "r", "0.5"), (4, "literal", "size", "10"),
     ]
+
+
+def test_long_line_comment(spark, rows):
+    files = spark.createDataFrame([("r", "min.js", "x = '" + "a" * 200_000 + "' + \"b\" # end"), ("r", "open.py", "it's # no " + "z" * 200_000)], "repo_id string, path string, content string")
+    assert rows(A.comments(files).select("path", "text")) == [("min.js", "end")]

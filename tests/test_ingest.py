@@ -101,3 +101,9 @@ def test_numbered_steps_and_bracket_counts(spark):
 def test_derived_diagrams_are_bounded_and_grow(spark):
     sizes = [derived.diagrams(spark, f"/root/testdata/{sf}").count() for sf in ("sf0.001", "sf0.01")]
     assert sizes == [25, 50]
+
+
+def test_fenced_lines_are_no_headings(spark):
+    text = "# A\nx\n```py\n# no\n## no\n```\ny\n## B\nz"
+    df = spark.createDataFrame([(1, text)], "doc_id long, page_content string")
+    assert [r["section_text"] for r in G.split_headings(df).orderBy("section").collect()] == ["# A\nx\n```py\n# no\n## no\n```\ny", "## B\nz"]

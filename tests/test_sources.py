@@ -137,3 +137,15 @@ def test_stream_ingest_merges_copies_over_batches(spark, tmp_path):
         U.stream_ingest(spark, f"{base}/in", part.schema, f"{base}/cache", f"{base}/out", f"{base}/st", "text", 1).awaitTermination()
     got = {r["content"]: r["doc_id"] for r in U.merged_batches(spark, f"{base}/out").collect()}
     assert got == {"a": 3, "b": 2}
+
+
+def test_scan_keeps_every_name(spark, rows, tmp_path):
+    for name in ("main.py", "__main__.py", "__init__.py", ".eslintrc.js", "_private/a.py", ".git/hooks/x.py"):
+        path = tmp_path / "repo" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    got = rows(T.scan_fleet(spark, str(tmp_path)).select("repo_id", "path", "content"))
+    assert got == sorted(("repo", n, n) for n in ("main.py", "__main__.py", "__init__.py", ".eslintrc.js", "_private/a.py", ".git/hooks/x.py"))
+    assert rows(T.prune_hidden(T.scan_fleet(spark, str(tmp_path))).select("path")) == sorted(
+        [("main.py",), ("__main__.py",), ("__init__.py",), (".eslintrc.js",), ("_private/a.py",)]
+    )
