@@ -22,7 +22,7 @@ BITS_PER_ENTRY, PROBES = 10, 5
 #: The filter never gets larger; a segment that doesn't fit its share gives up its rarest n-grams (not single words).
 FILTER_BYTES = 512 << 20
 #: Text bytes for each segment of the filter.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Words whose counts all workers know; the others' are joined.
 FREQUENT = 1 << 18
 #: Weight of the shorter context: a context seen so often counts half.
