@@ -36,18 +36,21 @@ def str1(spark, sf):
 
 
 @query("str2_continuous_ingest", sql("""
-    SELECT sha256(text) AS content_key, text AS content, arg_max(doc_id, doc_id) AS doc_id FROM documents
-    WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id WHERE d.doc_id % 2 = 0)
-    GROUP BY text"""))
+    WITH known AS (SELECT d.text, arg_max(v.embedding, v.vec_id) AS embedding FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id WHERE d.doc_id % 2 = 0 GROUP BY d.text)
+    SELECT sha256(d.text) AS content_key, d.text AS content, max(d.doc_id) AS doc_id, k.embedding, CASE WHEN k.embedding IS NULL THEN 1 ELSE 0 END AS n_fresh
+    FROM documents d LEFT JOIN known k ON k.text = d.text GROUP BY d.text, k.embedding"""))
 def str2(spark, sf):
+    """Documents arrive in three files, a batch each, so copies of a text meet across batches."""
     base = shared_dir(spark, "ingest")
     docs = derived.table(spark, sf, "documents").select("doc_id", "text")
     known = docs.filter(F.col("doc_id") % 2 == 0).join(
         derived.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")
     )
     U.cache_of(known, "text", "embedding", "vec_id").write.parquet(f"{base}/cache")
-    docs.write.parquet(f"{base}/in")
+    thirds = docs.stat.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01)
+    for low, high in zip([float("-inf"), *thirds], [*thirds, float("inf")], strict=True):
+        docs.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
     U.stream_ingest(
-        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text"
+        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text", max_files=1
     ).awaitTermination()
     return U.merged_batches(spark, f"{base}/out")

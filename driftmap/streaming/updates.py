@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from driftmap.operators.ingest import content_key, dedup, merge, to_embed
+from driftmap.operators.ingest import content_key, dedup
 from driftmap.sources.tree import CHANGED_EXTENSIONS, filter_ext
 
 
@@ -43,36 +43,50 @@ def stream_updates(
     )
 
 
-def ingest_batch(batch: DataFrame, cache: DataFrame) -> DataFrame:
-    """New contents of a batch of (doc_id, content): one row per content without a vector."""
-    unique = dedup(batch, ["doc_id"], ["doc_id"])
-    return to_embed(unique, cache).select("content_key", "content", "doc_id", "copies")
+def ingest_batch(batch: DataFrame, cache: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """(content_key, content, doc_id, copies, embedding, fresh) of a batch of (doc_id, content), one row per content.
+
+    Contents of the cache carry their vector. ``fresh`` are those that neither the
+    cache nor an earlier batch (``seen``, content_key) has: they are to be embedded.
+    """
+    unique = dedup(batch, ["doc_id"], ["doc_id"]).join(cache, "content_key", "left")
+    known = F.lit(False)
+    if seen is not None:
+        unique = unique.join(seen.select("content_key").distinct().withColumn("known", F.lit(True)), "content_key", "left")
+        known = F.coalesce("known", F.lit(False))
+    return unique.select("content_key", "content", "doc_id", "copies", "embedding", (F.col("embedding").isNull() & ~known).alias("fresh"))
 
 
 def stream_ingest(
     spark: SparkSession, source: str, schema: StructType | str, cache_path: str, target: str, checkpoint: str,
     content: str, max_files: int = 1_000,
 ) -> StreamingQuery:
-    """Continuous ingestion of documents (doc_id and a text column), reusing cached vectors."""
+    """Continuous ingestion of documents (doc_id and a text column), reusing cached vectors.
+
+    A batch knows the keys of the batches before it, so a content is new once.
+    """
 
-    def step(batch: DataFrame) -> DataFrame:
-        return ingest_batch(batch.withColumn("content", F.col(content)), spark.read.parquet(cache_path))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        named = batch.withColumn("content", F.col(content))
+        # of the earlier batches only fresh keys are read; this one's folder may hold a failed attempt
+        seen = spark.read.parquet(target).where((F.col("batch") < batch_id) & F.col("fresh")) if batch_id else None
+        rows = ingest_batch(named, spark.read.parquet(cache_path), seen)
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     return (
         docs.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(_batch_writer(target, step))
+        .foreachBatch(write)
         .start()
     )
 
 
 def merged_batches(spark: SparkSession, target: str) -> DataFrame:
-    """The keyed table the batches add up to: latest row per content."""
+    """The keyed table the batches add up to: latest row per content, and how often it was fresh."""
     batches = spark.read.parquet(target)
-    empty = batches.limit(0).drop("batch")
-    changes = batches.withColumn("op", F.lit("upsert"))
-    return merge(empty, changes, "content_key", ["content", "doc_id"], ["batch", "doc_id"])
+    latest = F.max_by(F.struct("content", "doc_id", "embedding"), F.struct("batch", "doc_id")).alias("r")
+    return batches.groupBy("content_key").agg(latest, F.sum(F.col("fresh").cast("long")).alias("n_fresh")).select("content_key", "r.*", "n_fresh")
 
 
 def cache_of(docs: DataFrame, content: str, embedding: str, order: str) -> DataFrame:

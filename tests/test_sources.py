@@ -135,8 +135,8 @@ def test_stream_ingest_merges_copies_over_batches(spark, tmp_path):
     for part in docs:
         part.write.mode("append").parquet(f"{base}/in")
         U.stream_ingest(spark, f"{base}/in", part.schema, f"{base}/cache", f"{base}/out", f"{base}/st", "text", 1).awaitTermination()
-    got = {r["content"]: r["doc_id"] for r in U.merged_batches(spark, f"{base}/out").collect()}
-    assert got == {"a": 3, "b": 2}
+    got = {r["content"]: (r["doc_id"], r["embedding"], r["n_fresh"]) for r in U.merged_batches(spark, f"{base}/out").collect()}
+    assert got == {"a": (3, None, 1), "b": (2, None, 1), "known": (4, [1.0], 0)}
 
 
 def test_scan_keeps_every_name(spark, rows, tmp_path):
