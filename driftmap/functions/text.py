@@ -101,11 +101,16 @@ HTML_RULES = [
 ]
 
 
-def html_to_text(c: Column, drop_equals: bool = False) -> Column:
-    """Mark-up to text by a listed rule chain; no general converter."""
-    out = strip(F.replace(c, F.lit("_"), F.lit("")))
+def html_to_text(c: Column, underlined: bool = False) -> Column:
+    """Mark-up to text by a listed rule chain; no general converter.
+
+    Articles lose their underscores and mark headings by ``#``. Sources with
+    ``underlined`` first headings keep underscores; their lines of ``=`` go, and all
+    other ``=`` with them, so such a heading is a plain line.
+    """
+    out = strip(c if underlined else F.replace(c, F.lit("_"), F.lit("")))
     for pattern, replacement in HTML_RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    if drop_equals:
+        out = F.regexp_replace(out, pattern, "\n\n" if underlined and "h1" in pattern else replacement)
+    if underlined:
         out = F.replace(out, F.lit("="), F.lit(""))
     return strip(out)

@@ -63,8 +63,8 @@ def unify(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
-def pages_to_text(pages: DataFrame, drop_equals: bool = False) -> DataFrame:
-    return pages.withColumn("page_content", html_to_text(F.col("html"), drop_equals))
+def pages_to_text(pages: DataFrame, underlined: bool = False) -> DataFrame:
+    return pages.withColumn("page_content", html_to_text(F.col("html"), underlined))
 
 
 def split_headings(docs: DataFrame) -> DataFrame:

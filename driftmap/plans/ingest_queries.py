@@ -21,8 +21,10 @@ def _sql_text(s: str) -> str:
 
 
 def _html_sql(column: str) -> str:
-    out = f"trim(replace({column}, '_', ''), chr(32) || chr(9) || chr(10) || chr(13))"
+    """The rules for sources with underlined headings: underscores stay, first headings are plain lines."""
+    out = f"trim({column}, chr(32) || chr(9) || chr(10) || chr(13))"
     for pattern, to in HTML_RULES:
+        to = {"\n\n# ": "\n\n"}.get(to, to)
         to = to.replace("$2", "\\2").replace("$1", "\\1")
         out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(to)}, 'g')"
     return out
@@ -95,7 +97,7 @@ def ing2(spark, sf):
 @query("ing3_html_to_text", sql(f"""
     SELECT page_id, trim(replace({_html_sql("html")}, '=', ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS page_content FROM pages"""))
 def ing3(spark, sf):
-    return G.pages_to_text(derived.table(spark, sf, "pages"), drop_equals=True).select("page_id", "page_content")
+    return G.pages_to_text(derived.table(spark, sf, "pages"), underlined=True).select("page_id", "page_content")
 
 
 def sections(spark, sf):

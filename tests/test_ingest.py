@@ -107,3 +107,9 @@ def test_fenced_lines_are_no_headings(spark):
     text = "# A\nx\n```py\n# no\n## no\n```\ny\n## B\nz"
     df = spark.createDataFrame([(1, text)], "doc_id long, page_content string")
     assert [r["section_text"] for r in G.split_headings(df).orderBy("section").collect()] == ["# A\nx\n```py\n# no\n## no\n```\ny", "## B\nz"]
+
+
+def test_underlined_source_keeps_underscores(spark):
+    html = "<h1>Our_shop</h1><p>a = b_c</p><h3>More_x</h3>"
+    got = spark.createDataFrame([(html,)], "h string").select(T.html_to_text(F.col("h"), underlined=True), T.html_to_text(F.col("h"))).first()
+    assert tuple(got) == ("Our_shop\n\na  b_c\n\n### More_x", "# Ourshop\n\na = bc\n\n### Morex")
