@@ -143,7 +143,7 @@ def test_lm_frequent_words_and_joined_words_agree(docs, monkeypatch, rows):
 def test_lm_odd(odd, empty):
     got = lm.lm_scores(odd).collect()
     assert len(got) == 14 and sorted(r["n_tokens"] for r in got)[:4] == [1, 1, 1, 1]
-    assert all(math.isfinite(r["score"]) and r["train_tokens"] > 80_000 for r in got)
+    assert all(math.isfinite(r["score"]) and r["train_tokens"] == got[0]["train_tokens"] > 0 for r in got)
     assert lm.lm_scores(empty).collect() == []
 
 
