@@ -140,6 +140,18 @@ def test_lm_frequent_words_and_joined_words_agree(docs, monkeypatch, rows):
     assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm.lm_scores(docs).collect()} == want
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_filter_beyond_one_broadcast_keeps_rare_grams(docs, odd, monkeypatch, order):
+    """Filters that need many passes give the scores of one that fits: nothing is dropped for room."""
+    both = docs.select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id < 9 OR doc_id IS NULL"))
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 << 19)
+    want = sorted((repr(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm.lm_scores(both, order).collect())
+    assert len(want) == docs.count() + 12
+    monkeypatch.setattr(lm, "FILTER_BYTES", 1 << 10)
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in lm.lm_scores(both, order).collect())
+    assert got == want
+
+
 def test_lm_odd(odd, empty):
     got = lm.lm_scores(odd).collect()
     assert len(got) == 14 and sorted(r["n_tokens"] for r in got)[:4] == [1, 1, 1, 1]
