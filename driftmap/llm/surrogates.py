@@ -44,14 +44,39 @@ CONSONANTS = {"latin": "bcdfglmnprstv", "cyrillic": "бвгдклмнпрст",
 _GENDER = {n: g for g, names in (("female", FEMALE), ("male", MALE)) for of in names.values() for n in of}
 _TITLES = "|".join(map(re.escape, FEMALE_TITLES + MALE_TITLES + OTHER_TITLES))
 #: What a text must show to be searched at all; Java and Python read it alike.
-HINT = rf"@|\p{{Nd}}[\p{{Nd}} ().-]{{5}}|[0-9a-fA-F]{{32}}|\b(?:{_TITLES})\b"
+HINT = rf"@|\p{{Nd}}[\p{{Nd}} ()./-]{{5}}|[0-9a-fA-F]{{32}}|\b(?:{_TITLES})\b"
+# Parts of names: capital letters, letters with their marks, words (O'Brien, but not Smith's), words of any case, initials, particles.
+_CAPITAL = "[" + "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Lu", "Lt")) + "]"
+_LETTER = r"[^\W\d_][\u0300-\u036f]*"
+_REST = rf"[\u0300-\u036f]*(?:['’](?:{_LETTER}){{2,}}|(?:{_LETTER})+)(?:['’]{_CAPITAL}(?:{_LETTER})+)*"
+_HYPHENED = rf"(?:[-‐‑](?:{_LETTER})+)*"
+_TITLE = rf"(?!(?:{_TITLES})\b)"
+_PARTICLE = r"(?:(?:von|van|der|den|de|del|della|di|da|dos|du|la|le|zu|zur|ten|ter|bin|ibn|al|el)[ ]+)*"
+_INITIAL = rf"{_CAPITAL}(?:\.|(?=[^\S\n]+{_CAPITAL}(?:{_LETTER})+))"
+_NAME = rf"{_TITLE}(?:[^\W\d_a-z]{_REST}{_HYPHENED}|{_INITIAL})"
+_MORE = rf"{_TITLE}(?:{_PARTICLE}{_CAPITAL}{_REST}{_HYPHENED}|{_INITIAL})"
+_BLANK = r"[^\S\n]"
+_NAMES = rf"(?:{_PARTICLE}(?={_CAPITAL}))?{_NAME}(?:(?:[ ]|(?<=\.)){_NAME})?(?:(?:{_BLANK}+|(?<=\.)){_MORE})*"
+_PIECE = re.compile(rf"(?P<initial>{_CAPITAL}(?=\.|{_BLANK}|$))|(?P<piece>[^\W\d_]{_REST})")
+#: A capitalised word, which may be a name that the text has elsewhere behind a title; and one in small letters.
+_MENTION = re.compile(rf"(?<![^\W_]){_CAPITAL}{_REST}(?![^\W_])")
+_SMALL = re.compile(rf"(?<![^\W_])(?!{_CAPITAL})(?:{_LETTER})+(?![^\W_])")
+_TAIL = r"\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
+_ABROAD = rf"00[1-9]\d{{0,2}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?{_TAIL}"
+_NATIONAL = (
+    r"(?<![\w.+-])(?:1[ .-])?[2-9]\d{2}(?P<sep>[ .-])\d{3}(?P=sep)\d{4}(?!\w)"
+    r"|(?<![\w.+-])0[1-9](?:[ .-]?\d{2}){4}(?!\w)"
+    r"|(?<![\w.+-])(?=0(?:[ /-]?\d){6,14}(?!\w))0[1-9]\d{0,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,3}(?!\w)|(?<![\w.+-])0[1-9]\d{8,10}(?!\w)"
+    r"|(?<!\w)\(0\d{1,5}\)[ .-]?\d{3,8}(?:[ .-]\d{2,5}){0,3}(?!\w)"
+)
 _FOUND = re.compile(
     r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<secret>(?<![\w])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w))"
-    r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w]))"
-    r"|(?P<phone>(?<![\w])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w))"
-    rf"|(?P<name>\b(?P<title>{_TITLES})\.?[ ]+(?P<names>[^\W\d_a-z][^\W\d_]+(?:[ ](?!(?:{_TITLES})\b)[^\W\d_a-z][^\W\d_]+)?))"
+    rf"|(?P<card>(?<![\w+])(?!{_ABROAD})\d(?:[ -]?\d){{12,18}}(?![\w]))"
+    r"|(?P<phone>(?<![\w])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+    rf"|(?<![\w.]){_ABROAD}|{_NATIONAL})"
+    rf"|(?P<name>\b(?P<title>{_TITLES})(?:\.{_BLANK}*\n?|{_BLANK}+\n?|\n){_BLANK}*(?P<names>{_NAMES}))"
 )
 
 
@@ -64,8 +89,8 @@ def script(text: str) -> str:
     return "latin"
 
 
-def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) of what is found, from left to right, without overlap."""
+def _titled(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """What the patterns find, names behind a title only."""
     for m in _FOUND.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if m["name"] is None:
@@ -75,12 +100,45 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield start, start + len(found), kind, normal
             continue
         title, at = m["title"], m.start("names")
-        parts = m["names"].split(" ")
-        for i, part in enumerate(parts):
-            given = part in _GENDER or len(parts) > 1 and i == 0
-            gender = "female" if title in FEMALE_TITLES else "male" if title in MALE_TITLES else _GENDER.get(part, "male")
-            yield at, at + len(part), gender if given else "surname", part
-            at += len(part) + 1
+        parts = [(p.start(), p[0]) for p in re.finditer(r"[^\s.]+", m["names"])]
+        parts = [(i, part) for i, part in parts if not re.fullmatch(_PARTICLE, part + " ")]
+        several = sum(len(part) > 1 for _, part in parts) > 1
+        first = next((i for i, part in parts if len(part) > 1), None)
+        for i, part in parts:
+            if len(part) == 1:
+                yield at + i, at + i + 1, "initial", part
+                continue
+            for p in _PIECE.finditer(part):
+                given = p[0] in _GENDER or several and i == first
+                gender = "female" if title in FEMALE_TITLES else "male" if title in MALE_TITLES else _GENDER.get(p[0], "male")
+                yield at + i + p.start(), at + i + p.end(), "initial" if p["initial"] else gender if given else "surname", p[0]
+
+
+def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, normal form) of what is found, from left to right, without overlap.
+
+    A name that has a title somewhere in the text is found all over it, in its own
+    writing or in capitals; not where the text has the same word in small letters.
+    """
+    found = list(_titled(text))
+    names: dict[str, tuple[str, str]] = {}
+    for _, _, kind, normal in found:
+        if kind in ("female", "male", "surname") and normal[0].isupper():
+            names.setdefault(normal.upper(), (kind, normal))
+    if not names:
+        yield from found
+        return
+    gaps = list(zip([0, *(e[1] for e in found)], [*(e[0] for e in found), len(text)], strict=True))
+    for a, b in gaps:
+        for m in _SMALL.finditer(text, a, b):
+            names.pop(m[0].upper(), None)
+    for (a, b), one in zip(gaps, [*found, None], strict=True):
+        for m in _MENTION.finditer(text, a, b):
+            kind, normal = names.get(m[0].upper(), ("", ""))
+            if m[0] in (normal, normal.upper()):
+                yield m.start(), m.end(), kind, normal
+        if one:
+            yield one
 
 
 class _Draws:
@@ -136,6 +194,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
     if kind == "phone":
         keep = min(3, max(1, len(normal) - 9))
         return normal[:keep] + "".join(str(draws.below(10)) for _ in normal[keep:])
+    if kind == "initial":
+        letters = [x for x in VOWELS[script(normal)] + CONSONANTS[script(normal)] if x.upper() != normal]
+        return letters[draws.below(len(letters))].upper()
     if kind in ("female", "male"):
         names = (FEMALE if kind == "female" else MALE)[script(normal)]
         return "-".join(names[draws.below(len(names))] for _ in range(1 + attempt // 4))
@@ -150,6 +211,8 @@ def rendered(original: str, kind: str, value: str) -> str:
         return "".join(chr(ord(c) - int(c) + int(next(digits))) if c.isdecimal() else c for c in original)
     if kind in ("email", "secret") and len(value) == len(original):
         return "".join(v.upper() if c.isupper() else v for c, v in zip(original, value, strict=True))
+    if kind in ("female", "male", "surname") and len(original) > 1 and original.isupper():
+        return value.upper()
     return value
 
 
@@ -203,7 +266,7 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
         for batch in batches:
             kinds, normals, keys = [], [], []
             for k, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for kind, normal in {e[2:] for e in entities(text)}:
+                for kind, normal in {e[2:] for e in entities(text) if e[2] != "initial"}:
                     keys.append(k)
                     kinds.append(kind)
                     normals.append(normal)

@@ -252,6 +252,29 @@ def test_surrogates_stay_distinct(spark):
     assert len({p[0] for p in pairs}) == len(names) and {p[1] for p in pairs} == {pairs[0][0]} and not {p[0] for p in pairs} & set(names)
 
 
+@pytest.mark.parametrize(("text", "real"), [
+    ("saw Mr John Paul Smith today", "John Paul Smith"), ("Mr John F. Kennedy spoke", "John Kennedy"), ("Mrs Smith-Jones left", "Smith Jones"),
+    ("Dr O'Brien came", "O'Brien Brien"), ("Mr J. Smith's house", "J. Smith"), ("Frau\nMeier kam", "Meier"), ("Mr Smith came. Later Smith said, and SMITH left", "Smith SMITH"),
+    ("Frau Anna von Humboldt", "Anna Humboldt"), ("call 555-123-4567 now", "123-4567"), ("ruf 030 1234567 an", "1234567"), ("dial 0044 20 7946 0958.", "7946 0958"),
+    ("au 06 12 34 56 78", "12 34 56 78"), ("Tel. (030) 1234567", "1234567"),
+])
+def test_surrogates_leave_no_part(spark, text, real):
+    import re
+
+    new, n = surrogates.rewritten(text, b"k", {})
+    assert n and re.search(surrogates.HINT.replace(r"\p{Nd}", r"\d"), text)
+    assert not [x for x in (real.split() if real[0].isalpha() else [real]) if x in new], new
+    assert [e[2] for e in surrogates.entities(new)] == [e[2] for e in surrogates.entities(text)]
+
+
+def test_surrogates_of_what_is_no_name_or_phone():
+    for text in ("on 01.02.2024 and 2024-01-02, 0.123456", "12 Elm Dr.", "Mr and Mrs said"):
+        assert surrogates.rewritten(text, b"k", {}) == (text, 0)
+    assert surrogates.rewritten("Elm Dr.\nThe shop. The end of the day", b"k", {})[0].endswith("The end of the day")
+    new = surrogates.rewritten("Mr Smith came. Smith's dog, then Mr Smith.", b"k", {})[0]
+    assert len({e[3] for e in surrogates.entities(new)}) == 1 and "'s dog" in new
+
+
 def test_surrogates_odd(spark, odd, empty):
     got = surrogates.with_surrogates(odd, b"k")
     assert got.columns == [c for c in odd.columns if c != "n_entities"] + ["n_entities"]
