@@ -27,10 +27,14 @@ ROUNDS, STEP, DECAY = 16, 0.5, 1e-3
 
 # Names of elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-SKIPPED = RAW | set("head template svg math canvas object audio video button select option optgroup label datalist dialog form".split())
+RAW = set("script style textarea title".split())
+#: No text of the page: code, the head, values of controls.
+SKIPPED = RAW | set("head template select option optgroup datalist".split())
+#: End at the next block, if they are left open.
+NO_BLOCKS = {"button", "label", "select", "datalist"}
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var "
+    "math semantics annotation mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mfenced".split()
 )
 CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -104,7 +108,7 @@ def parsed(source: str) -> Page:
         nonlocal skipped, in_link
         while len(stack) > depth:
             _, name = stack.pop()
-            skipped -= name in SKIPPED
+            skipped -= name in SKIPPED and name != "title"
             in_link -= name == "a"
             if name not in INLINE:
                 flush()
@@ -141,6 +145,9 @@ def parsed(source: str) -> Page:
                     break
                 if stack[i][1] not in INLINE:
                     break
+            open_control = next((i for i in range(1, len(stack)) if stack[i][1] in NO_BLOCKS), 0)
+            if open_control:
+                close(open_control)
         if tag in SAME_LEVEL:
             shut, scope = SAME_LEVEL[tag]
             for i in range(len(stack) - 1, 0, -1):
@@ -156,12 +163,19 @@ def parsed(source: str) -> Page:
         if tag not in INLINE:
             flush()
         node = page.add(tag, m[3], stack[-1][0]) if tag not in INLINE or "class" in m[3] or "id=" in m[3] else stack[-1][0]
-        if tag in RAW:
+        if tag == "xmp":
+            end = re.compile(r"(?i)</xmp\b[^>]*>?").search(source, at)
+            stack.append((node, tag))
+            text(html.escape(source[at:end.start() if end else len(source)]))
+            at = end.end() if end else len(source)
+            close(len(stack) - 1)
+            continue
+        if tag in RAW and not (tag == "title" and any(name == "svg" for _, name in stack)):
             end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>?").search(source, at)
             at = end.end() if end else len(source)
             continue
         stack.append((node, tag))
-        skipped += tag in SKIPPED
+        skipped += tag in SKIPPED and tag != "title"
         in_link += tag == "a"
     close(1)
     flush()
@@ -188,7 +202,9 @@ def node_features(page: Page) -> list[list[str]]:
         parent = page.parents[i]
         if parent >= 0 and inside[parent]:
             inside[i] = True
-        own = ["tag:" + page.tags[i]]
+        # a form around the main element, or around most of a page without one, is only a wrapper
+        wraps = page.tags[i] == "form" and (above[i] and not inside[i] if mains else 2 * chars[i] >= chars[0])
+        own = ["tag:div" if wraps else "tag:" + page.tags[i]]
         own += sorted({f"hint:{m.lastgroup}" for m in HINTS.finditer(page.hints[i])})
         if mains:
             own.append("inside" if inside[i] else "above" if above[i] else "beside")
@@ -280,7 +296,7 @@ def labelled_by_main(source: str) -> tuple[Page, list[int]] | None:
     features = node_features(page)
     if not any("inside" in names for names in features):
         return None
-    noise = [("beside" in names) or tag in NOISE_TAGS or tag in SKIPPED for names, tag in zip(features, page.tags, strict=True)]
+    noise = [("beside" in names) or (tag in NOISE_TAGS and f"tag:{tag}" in names and "above" not in names) or tag in SKIPPED for names, tag in zip(features, page.tags, strict=True)]
     return page, [int(not x) for x in _below(page, noise)]
 
 
@@ -291,6 +307,8 @@ def layout(rng: random.Random) -> tuple[Page, list[int]]:
     links = lambda: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(rng.randint(2, 7)))
 
     def noise() -> str:
+        if rng.random() < 0.04:
+            return f'<button class="label-0">{word()}</button>'
         kind = rng.choice([
             ("nav", ""), ("header", ""), ("footer", ""), ("aside", ""), ("form", ""), ("div", "sidebar"), ("div", "side-bar widget"), ("div", "ad"), ("div", "ads"),
             ("div", "advert"), ("div", "sponsored promo"), ("div", "cookie-notice"), ("div", "notice"), ("div", "consent alert"), ("section", "comments"),
@@ -335,6 +353,8 @@ def layout(rng: random.Random) -> tuple[Page, list[int]]:
     if rng.random() < 0.2:
         deep = rng.randint(2, 40)
         body = "<div>" * deep + body + "</div>" * deep
+    if rng.random() < 0.1:
+        body = f'<form action="/{word()}">{body}</form>'
     page = parsed(f"<html><head><title>{prose(5)}</title></head><body>{body}</body></html>" if rng.random() < 0.8 else body)
     roots = ["label-0" in h or t in SKIPPED for h, t in zip(page.hints, page.tags, strict=True)]
     page.hints = [h.replace("label-0", "").strip() for h in page.hints]

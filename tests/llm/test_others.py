@@ -133,6 +133,22 @@ def test_main_text_of_unseen_layouts():
     assert right >= 190
 
 
+def test_main_text_drops_no_element_before_the_model():
+    rng = random.Random(10)
+    model = html.fitted([html.layout(rng) for _ in range(html.LAYOUT_PAGES)])
+    prose = "<p>one two three four five.</p><p>six seven eight nine ten.</p>"
+    for tag in ("math", "svg", "object", "video", "canvas", "noscript", "label", "xmp", "audio"):
+        assert "E mc" in html.main_text(f"<body><article><h1>T</h1>{prose}<{tag}>E mc</{tag}></article></body>", model), tag
+    assert html.main_text("<article><h1>T</h1><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", model) == "T\nso x=2 holds"
+    for start in ("<form action=/>", "<label>", "<button>", "<select>"):
+        for page in (f"<body>{start}<article><h1>T</h1>{prose}</article></body>", f"<body>{start}<h1>T</h1>{prose}<h2>U</h2>{prose}</body>"):
+            assert "one two" in html.main_text(page, model) and "nine ten" in html.main_text(page, model), page
+    for open_tag in ("<label>l", "<button>b", "<select><option>o"):
+        assert html.main_text(f"<article><h1>T</h1>{prose}{open_tag}<p>the last</p></article>", model).endswith("the last")
+    got = html.main_text(f"<article><h1>T</h1>{prose}<script>var q</script><style>q</style><template>q</template><textarea>q</textarea><select><option>q</select></article>", model)
+    assert "q" not in got
+
+
 def plain_nearest(ids, x, query, n=20):
     score = x @ x[query]
     score[query] = -np.inf
