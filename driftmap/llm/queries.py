@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmap.llm import chat, leaks, warc
+from driftmap.llm import chat, compression, leaks, warc
+from driftmap.llm.alignment import linked
 from driftmap.llm.cuts import table
 from driftmap.llm.html import extracted
 from driftmap.llm.jaccard import jaccard_components
@@ -14,11 +15,14 @@ from driftmap.llm.mixing import mixed
 from driftmap.llm.neighbours import nearest
 from driftmap.llm.quality import quality_scores
 from driftmap.llm.surrogates import with_surrogates
+from driftmap.llm.toxicity import toxicity_scores
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 #: A deployment passes a secret of its own.
 SURROGATE_KEY = b"example key"
+#: Where the tokenizers' files are; executors get their bytes.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def query(oracle: str | None = None):
@@ -83,3 +87,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query(compression.ORACLE)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compressed(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return linked(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
