@@ -167,6 +167,29 @@ def comments(files: DataFrame) -> DataFrame:
     return _with_comment_columns(found)
 
 
+#: What a source file is made of, from left to right: comments, strings over lines, strings within one, all else, line ends.
+_PIECES = (
+    r"""(?s)#[^\n]*+|"{3}(?:[^"\\]++|\\.|"(?!""))*+(?:"{3}|\z)|'{3}(?:[^'\\]++|\\.|'(?!''))*+(?:'{3}|\z)"""
+    r"""|"(?:[^"\\\n]++|\\.)*+"?|'(?:[^'\\\n]++|\\.)*+'?|[^#"'\n]++|\n"""
+)
+
+
+def scanned_comments(files: DataFrame) -> DataFrame:
+    """The same table for strings over any number of lines, still without Python.
+
+    The file is cut into its pieces inside its row; of all pieces that are no comments only
+    the line ends stay, so what is left on a line is its comment. Quotes inside the braces of a
+    formatted string count as quotes, as they did before Python 3.12.
+    """
+    pieces = F.regexp_extract_all("content", F.lit(_PIECES), F.lit(0))
+    bare = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("#"), p).otherwise(F.regexp_replace(p, r"[^\n]++", ""))), "")
+    found = (
+        files.where(F.col("content").contains("#")).select("repo_id", "path", F.posexplode(F.split(bare, "\n")).alias("i", "raw"))
+        .where("raw <> ''").select("repo_id", "path", (F.col("i") + 1).alias("line"), "raw")
+    )
+    return _with_comment_columns(found)
+
+
 def parsed_comments(parsed: DataFrame) -> DataFrame:
     """The same table from the syntax rows."""
     return _with_comment_columns(

@@ -23,6 +23,7 @@ from driftmap.functions.keywords import (
 from driftmap.functions.text import computed
 from driftmap.operators.changes import DIFF_FILE, DIFF_FUNCTION, DIFF_NUMBER, DIFF_STRING
 from driftmap.operators.diagram import diagram_items
+from driftmap.operators.dictionary import contained
 from driftmap.sources.tree import base_name
 
 CHANGE_RULES = ("suggested", "component", "field")
@@ -167,6 +168,20 @@ def map_suggested(changes: DataFrame, profile: DataFrame) -> DataFrame:
     return affected_nodes(change_wants(changes, ("suggested",)), profile)
 
 
+def map_suggested_indexed(changes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for long lists of suggestions and large diagrams: both ways by an index, and never empty names.
+
+    ``nodes`` is (diagram_id, node_id).
+    """
+    names = changes.select("change_id", "diagram_id", F.explode("affected_nodes").alias("name")).select("change_id", "diagram_id", F.lower("name").alias("name")).distinct()
+    ids = nodes.select("diagram_id", "node_id", F.lower("node_id").alias("text")).distinct()
+    own = names.select("diagram_id", F.col("name").alias("word")).distinct()
+    inside = contained(ids, own, ["diagram_id"]).withColumnRenamed("word", "name").join(names, ["diagram_id", "name"])
+    around = contained(names.withColumnRenamed("name", "text"), ids.withColumnRenamed("text", "word"), ["diagram_id"])
+    columns = ["change_id", "diagram_id", "node_id"]
+    return inside.select(columns).union(around.select(columns)).distinct()
+
+
 def map_component(changes: DataFrame, profile: DataFrame) -> DataFrame:
     """Nodes of the steps a component names."""
     return affected_nodes(change_wants(changes, ("component",)), profile)
@@ -177,6 +192,14 @@ def map_field(changes: DataFrame, profile: DataFrame) -> DataFrame:
     return affected_nodes(change_wants(changes, ("field",)), profile)
 
 
+def map_field_indexed(changes: DataFrame, tags: DataFrame) -> DataFrame:
+    """The same for large dictionaries; ``tags`` is (diagram_id, node_id, tag)."""
+    fields = changes.select("change_id", "diagram_id", F.lower("field").alias("text")).where("text <> ''").distinct()
+    wanted = tags.select("diagram_id", F.col("tag").alias("word")).distinct()
+    hit = contained(fields, wanted, ["diagram_id"])
+    return hit.join(tags.withColumnRenamed("tag", "word"), ["diagram_id", "word"]).select("change_id", "diagram_id", "node_id").distinct()
+
+
 def map_files(diffs: DataFrame, profile: DataFrame) -> DataFrame:
     """Nodes of the steps named in changed file names."""
     return affected_nodes(diff_wants(diffs, ("files",)), profile)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import html_to_text, is_blank, passes_quality, strip
+from driftmap.operators import keyed
+from driftmap.sources import store
 
 CHUNK_SIZE = 1_200
 CHUNK_OVERLAP = 100
@@ -161,33 +164,43 @@ def stale_versions(versions: DataFrame, prefix: Column, current: DataFrame) -> D
 
 
 def publish(df: DataFrame, base: str, alias: str, version: str) -> DataFrame:
-    """Write a version, point the alias at it, and give back the versions to retire.
+    """Write a version, point the alias at it, and give back the versions to retire (version).
 
-    The order makes a retry safe: the version is whole before the pointer row
-    is appended, and nothing is retired before the pointer is.
+    Every attempt writes a folder of its own, so nothing that a reader may hold is
+    written again, and the pointer moves only if it still is where it was when the
+    attempt began: of two writers one wins, the other gets a ``Conflict``. Publishing
+    the version that is live changes nothing.
     """
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{base}/versions/{version}")
-    pointer = spark.range(1).select(
-        F.lit(alias).alias("alias"), F.lit(version).alias("version"), F.current_timestamp().alias("at")
-    )
-    pointer.write.mode("append").parquet(f"{base}/pointers")
-    current_version(spark, base, alias)
-    pointers = spark.read.parquet(f"{base}/pointers").filter(F.col("alias") == alias)
-    return pointers.select("version").filter(F.col("version") != version).distinct()
+    spark, pointers = df.sparkSession, f"{base}/pointers/{alias}"
+    was = store.latest(spark, pointers)
+    if was is None or was[1]["version"] != version:
+        folder = f"versions/{alias}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{base}/{folder}")
+        store.append(spark, pointers, was[0] if was else -1, {"version": version, "folder": folder})
+    others = sorted({p["version"] for _, p, _ in store.numbered(spark, pointers)} - {version})
+    return spark.createDataFrame([(v,) for v in others], "version string")
 
 
 def current_version(spark: SparkSession, base: str, alias: str) -> DataFrame:
-    """The published table: makes ``alias`` a view of its newest version."""
-    newest = (
-        spark.read.parquet(f"{base}/pointers")
-        .filter(F.col("alias") == alias)
-        .agg(F.max_by("version", "at").alias("version"))
-        .first()["version"]
-    )
-    table = spark.read.parquet(f"{base}/versions/{newest}")
-    table.createOrReplaceTempView(alias)
-    return table
+    """The published table: the rows that ``alias`` points at now, also as a view of that name."""
+    rows = spark.read.parquet(f"{base}/{store.latest(spark, f'{base}/pointers/{alias}')[1]['folder']}")
+    rows.createOrReplaceTempView(alias)
+    return rows
+
+
+def retire(spark: SparkSession, base: str, alias: str, grace_seconds: float) -> list[str]:
+    """Remove folders that ``alias`` hasn't pointed at for ``grace_seconds``, lost attempts included; their names.
+
+    Time is counted up to the last swap, which readers of the live version have seen.
+    """
+    history = store.numbered(spark, f"{base}/pointers/{alias}")
+    now = history[-1][2] if history else 0
+    ends = [at for _, _, at in history[1:]] + [None]
+    held = {p["folder"].rpartition("/")[2] for (_, p, _), end in zip(history, ends, strict=True) if end is None or now - end < grace_seconds * 1000}
+    gone = [n for n, at in sorted(store.entries(spark, f"{base}/versions/{alias}").items()) if n not in held and now - at >= grace_seconds * 1000]
+    for name in gone:
+        store.remove(spark, f"{base}/versions/{alias}/{name}")
+    return gone
 
 
 def merge(target: DataFrame, changes: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
@@ -205,6 +218,21 @@ def merge(target: DataFrame, changes: DataFrame, key: str, columns: list[str], o
     )
 
 
+def merge_into(
+    spark: SparkSession, base: str, changes: DataFrame, columns: list[str], order: list[str], mark: tuple[str, int] | None = None
+) -> keyed.Manifest:
+    """``merge`` into a table laid out by key (``keyed.create``): only the buckets of changed keys are rewritten.
+
+    ``changes`` has the key, the columns, the order columns and ``op``. Changes are
+    reduced to the latest of each key before they meet the table.
+    """
+    key = keyed.manifest(spark, base).key
+    latest = changes.groupBy(key).agg(F.max_by(F.struct("op", *columns), F.struct(*order)).alias("c")).select(key, "c.*")
+    return keyed.apply(
+        spark, base, latest, lambda was, new: F.when(new["op"] != "delete", F.struct(*[new[c].alias(c) for c in columns])), mark
+    )
+
+
 def preprocess(records: DataFrame, key: Column, order: list[str], columns: list[str]) -> DataFrame:
     """One record per normalised key: the first in the given order."""
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import start_of
@@ -200,9 +200,12 @@ def stage_counts(docs: DataFrame, chunks: DataFrame, keeps: Column, fresh: DataF
     return one(docs, "docs").unionByName(both).unionByName(one(fresh, "new"))
 
 
-def observed(df: DataFrame, stage: str) -> tuple[DataFrame, object]:
-    """The same rows with a running count that costs no pass of its own."""
-    from pyspark.sql import Observation
+def observed(df: DataFrame, stage: str, counters: dict[str, Observation]) -> DataFrame:
+    """The same rows, counted as ``counters[stage]`` by the action that writes them, without a pass of its own."""
+    counters[stage] = Observation(stage)
+    return df.observe(counters[stage], F.count(F.lit(1)).alias("n"))
 
-    seen = Observation(stage)
-    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+def run_counts(spark: SparkSession, counters: dict[str, Observation]) -> DataFrame:
+    """(stage, n) of a run whose rows are written; a row a counter."""
+    return spark.createDataFrame([(stage, seen.get["n"]) for stage, seen in counters.items()], "stage string, n long")

@@ -8,6 +8,7 @@ from driftmap.operators import changes as C
 from driftmap.plans import derived
 from driftmap.plans.oracle import sql
 from driftmap.plans.registry import query
+from driftmap.session import shared_dir
 from driftmap.sources import changesets as S
 
 
@@ -123,6 +124,21 @@ def src7(spark, sf):
     )
 
 
+@query("src8_quarantine", sql("""
+    SELECT change_id, CASE WHEN brand_no IN (3, 4) THEN 'quarantine' ELSE 'good' END AS outcome,
+      CASE brand_no WHEN 3 THEN 'unknown' WHEN 4 THEN 'none' END AS reason, CASE WHEN brand_no IN (3, 4) THEN 0 WHEN brand_no = 2 THEN NULL ELSE n END AS n_changes,
+      CASE brand_no WHEN 3 THEN '{"changes": [' || change_id END AS kept
+    FROM (SELECT change_id, brand_no, CAST(count(*) AS INTEGER) AS n FROM ch GROUP BY ALL)"""))
+def src8_quarantine(spark, sf):
+    """All replies, parsed once and written by outcome; broken ones are kept whole."""
+    routed = S.route_replies(derived.replies(spark, sf), shared_dir(spark, "routed"))
+    broken = F.col("outcome") == "quarantine"
+    return routed.select(
+        "change_id", "outcome", "reason", F.when(broken, 0).otherwise(F.size("parsed.changes")).alias("n_changes"),
+        F.when(F.col("reason") == "unknown", F.col("reply")).alias("kept"),
+    )
+
+
 @query("src8_route_bad", sql("""
     SELECT change_id, CASE brand_no WHEN 3 THEN 'unknown' WHEN 4 THEN 'none' ELSE 'good' END AS routed
     FROM (SELECT DISTINCT change_id, brand_no FROM ch)"""))

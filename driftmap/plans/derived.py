@@ -113,6 +113,9 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("event_id") / 5).alias("k"),
     )
     owner = parts(spark, sf).select("k", "diagram_id", "brand_no")
+    # the part keys are 0, 1, ...; events beyond five a part go round again
+    parts_in_all = (owner.agg(F.max("k")).first()[0] or 0) + 1
+    events = events.withColumn("k", F.pmod("k", F.lit(parts_in_all)))
     return events.join(owner, "k").select(
         "diagram_id", "brand_no", "event_id", "ts", "k", "value", "user_id",
         F.concat("diagram_id", F.lit("@"), F.col("ts").cast("date").cast("string")).alias("change_id"),
@@ -251,6 +254,28 @@ def scripts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Fixed value: a script with every kind of string around a number sign.
+QUOTED = """\
+a = "x # no" # yes <k>
+b = \'\'\'first # no
+second # no \\\'\'\' still # no
+\'\'\' # STEP after <name>
+c = \'it\\\'s # no\'  # TODO <k>
+d = r"\\" # no"  # raw
+\"\"\"# doc
+# inside "" \"\"\"
+# = <type>"""
+
+
+def quoted_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo_id, path, content): one more Python source per part, full of strings."""
+    content = F.lit(QUOTED)
+    for mark, value in (("<k>", F.col("k").cast("string")), ("<name>", F.col("p_name")), ("<type>", F.col("p_type"))):
+        content = F.replace(content, F.lit(mark), value)
+    path = F.concat(F.lit("src/q"), F.col("k").cast("string"), F.lit(".py"))
+    return parts(spark, sf).select(F.col("diagram_id").alias("repo_id"), path.alias("path"), content.alias("content"))
+
+
 def headed_docs(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, page_content, title, lang): documents with heading lines put in."""
     d = F.col("doc_id")

@@ -8,6 +8,7 @@ from driftmap.functions.keywords import with_keyword_tags
 from driftmap.functions.text import computed
 from driftmap.operators import diagram as D
 from driftmap.operators.reports import heuristic_nodes
+from driftmap.operators.dictionary import dictionary_tags
 from driftmap.plans import derived
 from driftmap.plans.oracle import sql
 from driftmap.plans.registry import query
@@ -244,6 +245,16 @@ def map1(spark, sf):
     return D.node_tags(nodes(spark, sf)).select("diagram_id", "node_id", F.explode(computed("tags")).alias("tag"))
 
 
+@query("map1_large_dictionary", sql("""
+    SELECT DISTINCT doc_id, unnest([word, upper(word[1])]) AS tag FROM documents
+    JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark) ON contains(lower(text), word)"""))
+def map1_large(spark, sf):
+    """Every word of the benchmark is a keyword; its step is its first letter."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word")
+    words = derived.table(spark, sf, "benchmark").select(found).withColumn("step", F.upper(F.substring("word", 1, 1)))
+    return dictionary_tags(derived.table(spark, sf, "documents").select("doc_id", "text"), words, "doc_id").select("doc_id", F.explode(computed("tags")).alias("tag"))
+
+
 @query("map1_document_tags", sql("""
     SELECT DISTINCT doc_id, unnest([word, step]) AS tag FROM documents JOIN kw ON contains(lower(text), word)"""))
 def map1_documents(spark, sf):

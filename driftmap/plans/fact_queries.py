@@ -40,6 +40,17 @@ def fct1_parsed(spark, sf):
     return A.parsed_comments(parsed(spark, sf)).drop("raw")
 
 
+@query("fct1_scanned_comments", sql(r"""
+    SELECT repo_id, path, line, text, type FROM noted
+    UNION ALL SELECT diagram_id, 'src/q' || k || '.py', s.line, s.text, s.type FROM (SELECT diagram_id, k, unnest([
+      {'line': 1, 'text': 'yes ' || k, 'type': 'explanation'}, {'line': 4, 'text': 'STEP after ' || p_name, 'type': 'step_marker'},
+      {'line': 5, 'text': 'TODO ' || k, 'type': 'todo'}, {'line': 6, 'text': 'raw', 'type': 'explanation'},
+      {'line': 9, 'text': '= ' || p_type, 'type': 'section_header'}]) AS s FROM parts)"""))
+def fct1_scanned(spark, sf):
+    scripts = derived.scripts(spark, sf).select("repo_id", "path", "content")
+    return A.scanned_comments(scripts.union(derived.quoted_scripts(spark, sf))).drop("raw")
+
+
 @query("fct2_statement_facts", sql("SELECT repo_id, path, seq, line, indent, kind, text FROM stmts"))
 def fct2(spark, sf):
     return A.statement_facts(parsed(spark, sf)).select("repo_id", "path", "seq", "line", "indent", "kind", "text")
@@ -115,10 +126,18 @@ def fct7_plain(spark, sf):
     return plain.withColumn("skeleton", without_fault_text(F.col("skeleton")))
 
 
+NO_PYTHON = "def broken(:\n"
+
+
+def prose_files(spark, sf):
+    """Trees of documents. What they put into Python files is no Python, which its first line makes sure of."""
+    prose = F.when(F.col("ext") == ".py", F.concat(F.lit(NO_PYTHON), "content")).otherwise(F.col("content"))
+    return derived.files(spark, sf).drop("doc_id").withColumn("content", prose)
+
+
 def fleet(spark, sf):
     """Files of both kinds of derived repository: trees of documents, and Python scripts of parts."""
-    docs = derived.files(spark, sf).filter(F.col("ext") != ".py").drop("doc_id")
-    return docs.unionByName(derived.scripts(spark, sf).drop("k"))
+    return prose_files(spark, sf).unionByName(derived.scripts(spark, sf).drop("k"))
 
 
 def context(spark, sf):
@@ -134,7 +153,7 @@ CONTEXT = f"""
       FROM files WHERE ext IN ('.js', '.ts', '.java')
       UNION ALL
       SELECT repo_id, path, chr(10) || '--- PIPELINE: ' || path || ' ---' || chr(10) || skeleton || chr(10) FROM (
-        SELECT * FROM skeletons UNION ALL {FAULTS}))"""
+        SELECT * FROM skeletons UNION ALL {FAULTS} UNION ALL SELECT repo_id, path, '{FAULT}' FROM files WHERE ext = '.py'))"""
 
 
 @query("fct8_project_context", sql(CONTEXT))

@@ -8,6 +8,7 @@ from driftmap.operators import impact as I
 from driftmap.plans import derived
 from driftmap.plans.oracle import sql
 from driftmap.plans.registry import query
+from driftmap.session import shared_dir
 from driftmap.sources import changesets as S
 from driftmap.sources import pages as P
 from driftmap.sources import reports as R
@@ -40,6 +41,12 @@ def map3(spark, sf):
     return I.map_suggested(derived.changes(spark, sf), profile(spark, sf))
 
 
+@query("map3_suggested_indexed", sql("SELECT * FROM hit1"))
+def map3_indexed(spark, sf):
+    nodes = profile(spark, sf).select("diagram_id", F.explode("nodes.node_id").alias("node_id"))
+    return I.map_suggested_indexed(derived.changes(spark, sf), nodes)
+
+
 @query("map4_component", sql("SELECT * FROM hit2"))
 def map4(spark, sf):
     return I.map_component(derived.changes(spark, sf), profile(spark, sf))
@@ -50,6 +57,13 @@ def map5(spark, sf):
     return I.map_field(derived.changes(spark, sf), profile(spark, sf))
 
 
+@query("map5_field_indexed", sql("SELECT * FROM hit3"))
+def map5_indexed(spark, sf):
+    nodes = profile(spark, sf).select("diagram_id", F.explode("nodes").alias("n"))
+    tags = nodes.select("diagram_id", "n.node_id", F.explode("n.tags").alias("tag"))
+    return I.map_field_indexed(derived.changes(spark, sf), tags)
+
+
 @query("map6_files", sql("SELECT * FROM raw1"))
 def map6(spark, sf):
     return I.map_files(diff_facts(spark, sf), profile(spark, sf))
@@ -178,6 +192,19 @@ def map15(spark, sf):
     return I.fleet_summary(decisions(spark, sf))
 
 
+@query("src15_report_sink", sql(f"""
+    SELECT r.*, d.diff_text AS diff_start, length(d.diff_text) AS diff_chars, t.run_id
+    FROM ({DECISIONS}) r LEFT JOIN diffs d ON d.change_id = r.repo_id, (VALUES ('first'), ('second')) t(run_id)"""))
+def src15_sink(spark, sf):
+    """Two runs write their report, the first of them twice."""
+    base = shared_dir(spark, "reports")
+    diffs = derived.diffs(spark, sf).select(F.col("change_id").alias("repo_id"), "diff_text")
+    R.decision_report(decisions(spark, sf), diffs).write.parquet(f"{base}/rows")
+    for run in ("first", "second", "first"):
+        R.write_report(spark.read.parquet(f"{base}/rows"), f"{base}/reports", run)
+    return spark.read.parquet(f"{base}/reports")
+
+
 @query("src15_decision_report", sql(f"""
     SELECT r.*, d.diff_text AS diff_start, length(d.diff_text) AS diff_chars
     FROM ({DECISIONS}) r LEFT JOIN diffs d ON d.change_id = r.repo_id"""))

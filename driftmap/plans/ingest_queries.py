@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from driftmap.functions.text import HTML_RULES, passes_quality
 from driftmap.operators import ingest as G
+from driftmap.operators import keyed
 from driftmap.operators import reports as R
 from driftmap.plans import derived
 from driftmap.plans.oracle import sql
@@ -176,13 +177,10 @@ CACHE = """
 
 
 @query("ing8_cached_vectors", sql(f"""
-    SELECT d.content_key, len(c.embedding) AS dims, CAST(c.embedding[1] AS DOUBLE) AS first_value
+    SELECT d.content_key, c.embedding
     FROM (SELECT DISTINCT sha256(text) AS content_key FROM documents) d LEFT JOIN ({CACHE}) c ON c.content_key = d.content_key"""))
 def ing8(spark, sf):
-    hit = F.col("embedding").isNotNull()
-    return G.reuse(contents(spark, sf), cache(spark, sf)).select(
-        "content_key", F.when(hit, F.size("embedding").cast("long")).alias("dims"), F.col("embedding")[0].cast("double").alias("first_value")
-    )
+    return G.reuse(contents(spark, sf), cache(spark, sf)).select("content_key", "embedding")
 
 
 @query("ing9_new_contents", sql(f"""
@@ -200,12 +198,10 @@ def ing9_counts(spark, sf):
 
 
 @query("ing10_content_vector_pairs", sql(f"""
-    SELECT d.content, len(c.embedding) AS dims, CAST(c.embedding[64] AS DOUBLE) AS last_value
+    SELECT d.content, c.embedding
     FROM (SELECT DISTINCT text AS content FROM documents) d JOIN ({CACHE}) c ON c.content_key = sha256(d.content)"""))
 def ing10(spark, sf):
-    return G.pairs(contents(spark, sf), cache(spark, sf)).select(
-        "content", F.size("embedding").cast("long").alias("dims"), F.col("embedding")[63].cast("double").alias("last_value")
-    )
+    return G.pairs(contents(spark, sf), cache(spark, sf)).select("content", "embedding")
 
 
 def versions(spark, sf):
@@ -237,18 +233,21 @@ def ing13(spark, sf):
     docs = derived.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     G.publish(docs.filter(F.col("doc_id") % 2 == 0), base, "docs_live", "v-2024-01-01")
     G.publish(docs, base, "docs_live", "v-2024-01-02")
-    return spark.table("docs_live")
+    return G.current_version(spark, base, "docs_live")
 
 
-@query("ing14_keyed_merge", sql("""
+MERGED = sql("""
     WITH latest AS (SELECT m.k, CASE WHEN e.event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op, e.value AS v, e.event_type AS t
       FROM (SELECT event_id // 7 AS k, max(event_id) AS event_id FROM events GROUP BY 1) m
       JOIN events e ON e.event_id = m.event_id)
     SELECT coalesce(x.p_partkey, l.k) AS p_partkey, CASE WHEN l.k IS NULL THEN x.p_retailprice ELSE l.v END AS price,
       CASE WHEN l.k IS NULL THEN x.p_name ELSE l.t END AS name
     FROM (SELECT * FROM part WHERE p_partkey % 4 <> 0) x FULL JOIN latest l ON l.k = x.p_partkey
-    WHERE l.k IS NULL OR l.op <> 'delete'"""))
-def ing14(spark, sf):
+    WHERE l.k IS NULL OR l.op <> 'delete'""")
+
+
+def merge_inputs(spark, sf):
+    """(target, changes) of the keyed merge."""
     part = derived.table(spark, sf, "part")
     target = part.filter(F.col("p_partkey") % 4 != 0).select(
         "p_partkey", F.col("p_retailprice").alias("price"), F.col("p_name").alias("name")
@@ -258,7 +257,25 @@ def ing14(spark, sf):
         F.floor(e / 7).alias("p_partkey"), "event_id", F.col("value").alias("price"), F.col("event_type").alias("name"),
         F.when(e % 5 == 0, "delete").otherwise("upsert").alias("op"),
     )
-    return G.merge(target, changes, "p_partkey", ["price", "name"], ["event_id"])
+    return target, changes
+
+
+@query("ing14_keyed_merge", MERGED)
+def ing14(spark, sf):
+    return G.merge(*merge_inputs(spark, sf), "p_partkey", ["price", "name"], ["event_id"])
+
+
+@query("ing14_bucketed_merge", MERGED)
+def ing14_bucketed(spark, sf):
+    """The changes reach a table in buckets in two batches, the second of them twice."""
+    base = shared_dir(spark, "merged")
+    target, changes = merge_inputs(spark, sf)
+    keyed.create(target, base, "p_partkey", 64)
+    half = changes.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    late = F.coalesce(F.col("event_id") > half, F.lit(False))
+    for batch, rows in ((0, changes.where(~late)), (1, changes.where(late)), (1, changes.where(late))):
+        G.merge_into(spark, base, rows, ["price", "name"], ["event_id"], ("changes", batch))
+    return keyed.read(spark, base)
 
 
 @query("ing15_preprocess_records", sql(r"""
@@ -270,10 +287,24 @@ def ing15(spark, sf):
     return G.preprocess(docs, F.sha2(G.normalised(F.col("text")), 256), ["doc_id"], ["doc_id", "lang", "n_chars"])
 
 
-@query("agg11_stage_counts", sql(f"""
+STAGE_COUNTS = sql(f"""
     SELECT 'docs' AS stage, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM chunks
     UNION ALL SELECT 'kept', count(*) FROM kept
-    UNION ALL SELECT 'new', count(DISTINCT text) FROM documents WHERE sha256(text) NOT IN (SELECT content_key FROM ({CACHE}))"""))
+    UNION ALL SELECT 'new', count(DISTINCT text) FROM documents WHERE sha256(text) NOT IN (SELECT content_key FROM ({CACHE}))""")
+
+
+@query("agg11_run_counters", STAGE_COUNTS)
+def agg11_run(spark, sf):
+    """The counters of an ingestion run that writes its chunks and the contents to embed."""
+    base, counters = shared_dir(spark, "counted"), {}
+    docs = R.observed(derived.headed_docs(spark, sf), "docs", counters)
+    pieces = R.observed(G.chunk(G.split_headings(docs), "section_text", SIZE, OVERLAP), "chunks", counters)
+    G.prefix_title(R.observed(G.quality(pieces), "kept", counters), F.col("title")).write.parquet(f"{base}/chunks")
+    R.observed(G.to_embed(contents(spark, sf), cache(spark, sf)), "new", counters).write.parquet(f"{base}/new")
+    return R.run_counts(spark, counters)
+
+
+@query("agg11_stage_counts", STAGE_COUNTS)
 def agg11(spark, sf):
     fresh = G.to_embed(contents(spark, sf), cache(spark, sf))
     keeps = passes_quality(F.col("content"))

@@ -105,7 +105,7 @@ CTES: dict[str, str] = {
         SELECT p.diagram_id, p.brand_no, e.event_id, e.ts, p.k, json_extract_string(e.props, '$.k') AS value, e.user_id,
           p.diagram_id || '@' || strftime(e.ts, '%Y-%m-%d') AS change_id,
           {_case("e.event_type", derived.FIELDS)} AS field, {_case("e.event_type", derived.COMPONENTS)} AS component
-        FROM events e JOIN parts p ON p.k = e.event_id // 5""",
+        FROM events e CROSS JOIN (SELECT max(p_partkey) + 1 AS n FROM part) m JOIN parts p ON p.k = (e.event_id // 5) % m.n""",
     "ch": """
         SELECT *, coalesce(old, 'N/A') AS old_value, value AS new_value,
           CASE WHEN event_id % 3 = 0 THEN ['P' || k] WHEN event_id % 7 = 0 THEN ['lone_note', 'text_splitting']

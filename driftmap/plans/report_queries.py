@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftmap.functions.text import count_numbered_steps
+from driftmap.operators import facts as A
 from driftmap.operators import reports as R
 from driftmap.plans import derived
-from driftmap.plans.fact_queries import CONTEXT, context, fleet
+from driftmap.plans.fact_queries import CONTEXT, FAULT, FAULTS, context, fleet, prose_files, without_fault_text
 from driftmap.plans.oracle import sql
 from driftmap.plans.registry import query
 
@@ -55,14 +56,24 @@ def agg3(spark, sf):
     UNION ALL SELECT repo_id, '2 types', -files, ext, CAST(files AS VARCHAR) FROM ({TYPES})
     UNION ALL SELECT repo_id, '3 directories', rank, dir, '' FROM ({TOP})
     UNION ALL SELECT e.repo_id, '4 entry points', 0, e.path || ' (' || language || ')',
-      CASE WHEN e.path LIKE '%.py' THEN 'PARSED' ELSE content END
+      CASE WHEN e.path LIKE '%.py' THEN '{FAULT}' ELSE content END
       FROM ({ENTRIES}) e JOIN files f ON f.repo_id = e.repo_id AND f.path = e.path
     UNION ALL SELECT repo_id, '4 entry points', 0, 'No standard entry points detected.', ''
-      FROM (SELECT DISTINCT repo_id FROM files WHERE NOT hidden) WHERE repo_id NOT IN (SELECT repo_id FROM ({ENTRIES}))"""))
+      FROM (SELECT DISTINCT repo_id FROM files WHERE NOT hidden) WHERE repo_id NOT IN (SELECT repo_id FROM ({ENTRIES}))
+    UNION ALL SELECT diagram_id, '1 totals', 1, 'files', CAST(count(*) AS VARCHAR) FROM parts GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, '1 totals', 2, 'directories', CAST(count(*) AS VARCHAR) FROM parts GROUP BY diagram_id
+    UNION ALL SELECT diagram_id, '2 types', -count(*), '.py', CAST(count(*) AS VARCHAR) FROM parts GROUP BY diagram_id
+    UNION ALL SELECT * FROM (SELECT diagram_id, '3 directories', row_number() OVER (PARTITION BY diagram_id ORDER BY 'p' || k) AS rank, 'p' || k, '' FROM parts)
+      WHERE rank <= 20
+    UNION ALL SELECT repo_id, '4 entry points', 0, replace(replace(path, 'src/', ''), '.py', '/main.py') || ' (python)', skeleton
+      FROM (SELECT * FROM skeletons UNION ALL {FAULTS})"""))
 def agg4(spark, sf):
-    files = derived.files(spark, sf)
-    starts = files.filter(F.col("path").endswith("/main.py")).select("repo_id", "path")
-    return R.new_mode_report(files, starts.withColumn("skeleton", F.lit("PARSED")))
+    """Trees of documents, and repositories in which every part has a folder with a script to start."""
+    scripts = derived.scripts(spark, sf).drop("k").withColumn("path", F.regexp_replace("path", r"^src/(p\d+)\.py$", "$1/main.py"))
+    files = prose_files(spark, sf).unionByName(scripts)
+    starts = files.filter(F.col("path").endswith("/main.py"))
+    skeletons = A.render_skeleton(A.parse_files(starts))
+    return R.new_mode_report(files, skeletons.withColumn("skeleton", without_fault_text(F.col("skeleton"))))
 
 
 RAW = """SELECT repo_id, sum(chars) AS raw_chars FROM (
@@ -72,7 +83,8 @@ RAW = """SELECT repo_id, sum(chars) AS raw_chars FROM (
         || '    logging.info("part ' || k || ' ready")' || '    upload(bucket, label, "' || p_name || '", "0123456789012345678901234567890123456789")'
         || '    # long: ' || repeat('why ', 30) || p_name || 'pool = Pool(' || k || ', "' || p_name || '", "0123456789012345678901234567890123456789")'
         || 'import osif limit > 10:def run(x):    return helper(x)print(label)') + 17 AS chars FROM good_scripts
-    UNION ALL SELECT diagram_id, length('def broken(:    pass') + 1 FROM parts WHERE k % 97 = 5) GROUP BY repo_id"""
+    UNION ALL SELECT diagram_id, length('def broken(:    pass') + 1 FROM parts WHERE k % 97 = 5
+    UNION ALL SELECT repo_id, length('def broken(:') + 1 + length(content) FROM files WHERE ext = '.py') GROUP BY repo_id"""
 TOOL = f"SELECT repo_id, sum(block_chars) AS tool_chars FROM ({CONTEXT}) GROUP BY repo_id"
 
 
@@ -134,7 +146,7 @@ def agg8_each(spark, sf):
       CASE WHEN coalesce(r.raw_chars, 0) > 0 THEN (1 - (coalesce(t.tool_chars, 0) / 4.0::DOUBLE) / (r.raw_chars / 4.0::DOUBLE)) * 100 ELSE 0.0 END AS saved_pct,
       CAST(coalesce(s.steps, 0) AS BIGINT) AS readme_steps,
       coalesce(len(regexp_extract_all(d.code, '\w+\s*[\[\(\{{\<].*?[\]\)\}}\>]')), 0) AS diagram_steps
-    FROM (SELECT DISTINCT repo_id, repo_id AS diagram_id FROM files WHERE ext <> '.py' UNION SELECT diagram_id, diagram_id FROM parts) p
+    FROM (SELECT DISTINCT repo_id, repo_id AS diagram_id FROM files UNION SELECT diagram_id, diagram_id FROM parts) p
     LEFT JOIN ({RAW}) r ON r.repo_id = p.repo_id
     LEFT JOIN ({TOOL}) t ON t.repo_id = p.repo_id
     LEFT JOIN (SELECT repo_id, sum(steps) AS steps FROM ({STEPS}) GROUP BY repo_id) s ON s.repo_id = p.repo_id

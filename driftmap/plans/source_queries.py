@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
+from driftmap.operators import keyed
 from driftmap.plans import derived
 from driftmap.plans.ingest_queries import UNIFIED, unified
 from driftmap.plans.oracle import sql
@@ -16,6 +17,7 @@ from driftmap.sources import feeds as E
 from driftmap.sources import pages as P
 from driftmap.sources import reports as R
 from driftmap.sources import tree as T
+from driftmap.sources.tree_format import register
 
 
 def put_files(files, base: str) -> None:
@@ -49,6 +51,17 @@ def src1(spark, sf):
     return T.scan_fleet(spark, base, T.SCAN_EXTENSIONS).select("repo_id", "path", "content", "n_bytes", "readable")
 
 
+@query("src1_tree_format", sql(f"""
+    SELECT repo_id, 'd' || doc_id || '/' || {AWKWARD} AS path, '.py' AS ext, content, octet_length(encode(content)) AS n_bytes, true AS readable
+    FROM files WHERE doc_id % 5 IN (0, 4)"""))
+def src1_format(spark, sf):
+    """The same files through the data source, which reads only those of the extension asked for."""
+    base = shared_dir(spark, "tree")
+    put_files(derived.files(spark, sf).withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/"), F.expr(AWKWARD))), base)
+    register(spark)
+    return spark.read.format("source_tree").load(base).where(F.col("path").endswith(".py"))
+
+
 @query("src2_prune_hidden", sql("SELECT repo_id, path FROM files WHERE NOT hidden"))
 def src2(spark, sf):
     return T.prune_hidden(derived.files(spark, sf)).select("repo_id", "path")
@@ -180,19 +193,38 @@ def runs(spark, sf):
     )
 
 
-@query("src16_run_log", sql("""
+RUN_LOG = sql("""
     SELECT 'app' || (user_id % 5) AS application_name, event_type AS job_name, CAST((event_id % 977) * 1000003 // 1000000 AS INTEGER) AS duration_in_seconds,
       CASE WHEN event_id % 8 <> 0 THEN event_id END AS num_embeddings, CASE WHEN event_id % 8 <> 0 THEN event_id % 10 END AS num_new_embeddings,
       CASE WHEN event_id % 8 <> 0 THEN 'ns-' || event_id END AS output_name,
       CASE WHEN event_id % 8 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN event_id % 8 = 0 THEN 'failed at ' || event_id END AS error
-    FROM events"""))
+    FROM events""")
+
+
+def log_columns(log):
+    return log.select(
+        "application_name", "job_name", "duration_in_seconds", "num_embeddings", "num_new_embeddings",
+        F.col("output")[0]["name"].alias("output_name"), "status", "error",
+    )
+
+
+@query("src16_run_log_merged", RUN_LOG)
+def src16_merged(spark, sf):
+    """Runs are logged as failed first and then as they ended, some of them twice."""
+    base = shared_dir(spark, "runs")
+    done = runs(spark, sf).withColumn("run_id", F.col("num_embeddings"))
+    broken = done.withColumn("error", F.lit("no answer yet"))
+    for part in (broken, done, done.where("error IS NOT NULL")):
+        rows = R.run_log_rows(part, "run_id")
+        R.log_runs(rows, base)
+    return log_columns(keyed.read(spark, base))
+
+
+@query("src16_run_log", RUN_LOG)
 def src16(spark, sf):
     path = shared_dir(spark, "runlog")
     rows = R.run_log_rows(runs(spark, sf))
     failed = F.col("status") == "failed"
     R.append_run_log(rows.filter(~failed), path)
     R.append_run_log(rows.filter(failed), path)
-    return spark.read.parquet(path).select(
-        "application_name", "job_name", "duration_in_seconds", "num_embeddings", "num_new_embeddings",
-        F.col("output")[0]["name"].alias("output_name"), "status", "error",
-    )
+    return log_columns(spark.read.parquet(path))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftmap.functions.keywords import steps_named_in
+from driftmap.operators import keyed
+from driftmap.operators.impact import diagram_profile
 from driftmap.plans import derived
 from driftmap.plans.oracle import sql
 from driftmap.plans.registry import query
@@ -12,6 +14,9 @@ from driftmap.session import shared_dir
 from driftmap.sources.tree import base_name
 from driftmap.streaming import updates as U
 
+#: Files of a batch.
+FILES = 4
+
 
 @query("str1_pushed_changes", sql("""
     SELECT event_id, path, step FROM (
@@ -40,17 +45,38 @@ def str1(spark, sf):
     SELECT sha256(d.text) AS content_key, d.text AS content, max(d.doc_id) AS doc_id, k.embedding, CASE WHEN k.embedding IS NULL THEN 1 ELSE 0 END AS n_fresh
     FROM documents d LEFT JOIN known k ON k.text = d.text GROUP BY d.text, k.embedding"""))
 def str2(spark, sf):
-    """Documents arrive in three files, a batch each, so copies of a text meet across batches."""
+    """Documents arrive in three thirds by id, a batch each, so copies of a text meet across batches."""
     base = shared_dir(spark, "ingest")
     docs = derived.table(spark, sf, "documents").select("doc_id", "text")
     known = docs.filter(F.col("doc_id") % 2 == 0).join(
         derived.table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")
     )
     U.cache_of(known, "text", "embedding", "vec_id").write.parquet(f"{base}/cache")
-    thirds = docs.stat.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01)
-    for low, high in zip([float("-inf"), *thirds], [*thirds, float("inf")], strict=True):
-        docs.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    ends = docs.stat.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01) or [0.0, 0.0]
+    third = F.when(F.coalesce(F.col("doc_id") <= ends[0], F.lit(True)), 0).when(F.col("doc_id") <= ends[1], 1).otherwise(2)
+    for number in range(3):
+        docs.where(third == number).repartition(FILES).write.mode("append").parquet(f"{base}/in")
     U.stream_ingest(
-        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text", max_files=1
+        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text", max_files=FILES, buckets=64
     ).awaitTermination()
     return U.merged_batches(spark, f"{base}/out")
+
+
+@query("str1_push_decisions", sql("""
+    SELECT push_id, diagram_id, node_id, CASE WHEN total = 0 THEN 'full' WHEN pct = 0 THEN 'none' WHEN pct < 20 THEN 'low'
+        WHEN pct < 50 THEN 'medium' WHEN pct < 80 THEN 'high' ELSE 'full' END AS impact_level
+    FROM (
+      SELECT p.change_id AS push_id, p.diagram_id, a.node_id, coalesce(t.total, 0) AS total, CAST(coalesce(c.n, 0) AS DOUBLE) / t.total * 100 AS pct
+      FROM (SELECT change_id, diagram_id FROM diff_rows GROUP BY ALL HAVING bool_or(path LIKE '%.py')) p
+        LEFT JOIN raw_affected a ON a.change_id = p.change_id
+        LEFT JOIN (SELECT change_id, count(*) AS n FROM raw_affected GROUP BY change_id) c ON c.change_id = p.change_id
+        LEFT JOIN totals t ON t.diagram_id = p.diagram_id)"""))
+def str1_decisions(spark, sf):
+    """Each day's diff of a diagram as a push; a third of them is delivered again in a later batch."""
+    base = shared_dir(spark, "pushes")
+    keyed.create(diagram_profile(derived.diagrams(spark, sf)), f"{base}/profile", "diagram_id", 16)
+    pushes = derived.diffs(spark, sf).select(F.col("change_id").alias("push_id"), "diagram_id", "diff_text")
+    pushes.repartition(2 * FILES).write.parquet(f"{base}/in")
+    spark.read.parquet(f"{base}/in").where(F.crc32("push_id") % 3 == 0).repartition(FILES).write.mode("append").parquet(f"{base}/in")
+    U.stream_decisions(spark, f"{base}/in", pushes.schema, f"{base}/profile", f"{base}/out", f"{base}/state", FILES, 64).awaitTermination()
+    return U.decided_nodes(keyed.read(spark, f"{base}/out"))

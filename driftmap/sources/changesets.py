@@ -60,5 +60,20 @@ def route_bad(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def route_replies(replies: DataFrame, path: str) -> DataFrame:
+    """(change_id, diff_text, reply, parsed, reason, outcome): parse once and write good and quarantined rows in one job.
+
+    Rows lie in a folder per outcome (good, quarantine) and appear together when the job
+    is done; a run that writes again replaces them. Quarantined replies are kept whole.
+    """
+    good = F.col("status") == "ok"
+    routed = parse_changesets(replies).select(
+        "change_id", "diff_text", "reply", "parsed", F.when(~good, F.col("status")).alias("reason"),
+        F.when(good, "good").otherwise("quarantine").alias("outcome"),
+    )
+    routed.write.mode("overwrite").partitionBy("outcome").parquet(path)
+    return replies.sparkSession.read.schema(routed.schema).parquet(path)
+
+
 def write_changesets(changesets: DataFrame, path: str) -> None:
     changesets.write.mode("overwrite").json(path)

@@ -63,7 +63,7 @@ def test_publish_swaps_then_retires(spark, rows, tmp_path):
     assert rows(G.publish(a, str(tmp_path), "live_docs", "v1")) == []
     assert rows(G.publish(b, str(tmp_path), "live_docs", "v2")) == [("v1",)]
     assert rows(G.publish(b, str(tmp_path), "live_docs", "v2")) == [("v1",)]  # a retry changes nothing
-    assert spark.table("live_docs").count() == 5
+    assert G.current_version(spark, str(tmp_path), "live_docs").count() == spark.table("live_docs").count() == 5
 
 
 def test_version_names(spark):
