@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftmap.functions.text import computed
 from driftmap.session import shared_dir
 
-GRAM, BLOCK = 3, 256
+GRAM, BLOCK = 4, 256
 #: Of the texts, one in so many is counted to learn which q-grams are rare; results don't depend on it.
 COUNTED = 64
 
@@ -64,8 +65,8 @@ def contained(texts: DataFrame, words: DataFrame, by: list[str] | None = None) -
     grams = F.flatten(F.array(*[_grams(F.col("block"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
     named = [c for c in texts.columns if c != "text"]
     looked = (
-        texts.select(*named, F.explode(_blocks("text", reach)).alias("block"))
-        .select(*named, "block", F.explode(F.array_distinct(grams)).alias("gram"))
+        texts.select(*named, _blocks("text", reach).alias("blocks")).select(*named, F.explode(computed("blocks")).alias("block"))
+        .select(*named, "block", F.array_distinct(grams).alias("grams")).select(*named, "block", F.explode(computed("grams")).alias("gram"))
     )
     found = looked.join(index, [*by, "gram"]).where(F.col("block").contains(F.col("word")))
     return found.select(*named, *[c for c in words.columns if c not in by]).distinct()

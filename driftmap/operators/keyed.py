@@ -86,7 +86,8 @@ def touched(rows: DataFrame, m: Manifest) -> list[int]:
 
 
 def apply(
-    spark: SparkSession, base: str, changes: DataFrame, combine: Callable[[Column, Column], Column], mark: tuple[str, int] | None = None
+    spark: SparkSession, base: str, changes: DataFrame, combine: Callable[[Column, Column], Column], mark: tuple[str, int] | None = None,
+    buckets: list[int] | None = None,
 ) -> Manifest:
     """Change the table by rows with one row a key, and give the manifest that holds now.
 
@@ -94,14 +95,18 @@ def apply(
     one or the other may be null) and gives the row to keep as a struct of the table's columns
     without the key; null removes the key. A null key is a key. With a ``mark``
     (stream, batch), a batch that the table has already taken changes nothing.
+
+    Changes are first written, as they are read twice; give ``buckets`` (of ``touched``)
+    if they are a stored table already.
     """
     m = manifest(spark, base)
     if mark and m.marks.get(mark[0], -1) >= mark[1]:
         return m
-    staged = f"{base}/staged/{uuid.uuid4().hex}"
-    changes.write.parquet(staged)
-    changes = spark.read.parquet(staged)
-    buckets = touched(changes, m)
+    if buckets is None:
+        staged = f"{base}/staged/{uuid.uuid4().hex}"
+        changes.write.parquet(staged)
+        changes = spark.read.parquet(staged)
+        buckets = touched(changes, m)
     old = read(spark, base, buckets, m)
     fields = [c for c in old.columns if c != m.key]
     new = changes.select(m.key, F.lit(None).cast(_struct(old, fields)).alias("was"), F.struct(*[c for c in changes.columns if c != m.key]).alias("new"))

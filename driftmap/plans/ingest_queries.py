@@ -270,7 +270,7 @@ def ing14_bucketed(spark, sf):
     """The changes reach a table in buckets in two batches, the second of them twice."""
     base = shared_dir(spark, "merged")
     target, changes = merge_inputs(spark, sf)
-    keyed.create(target, base, "p_partkey", 64)
+    keyed.create(target, base, "p_partkey", 16)
     half = changes.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
     late = F.coalesce(F.col("event_id") > half, F.lit(False))
     for batch, rows in ((0, changes.where(~late)), (1, changes.where(late)), (1, changes.where(late))):

@@ -57,7 +57,7 @@ def str2(spark, sf):
     for number in range(3):
         docs.where(third == number).repartition(FILES).write.mode("append").parquet(f"{base}/in")
     U.stream_ingest(
-        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text", max_files=FILES, buckets=64
+        spark, f"{base}/in", docs.schema, f"{base}/cache", f"{base}/out", f"{base}/state", "text", max_files=FILES, buckets=12
     ).awaitTermination()
     return U.merged_batches(spark, f"{base}/out")
 
@@ -74,9 +74,9 @@ def str2(spark, sf):
 def str1_decisions(spark, sf):
     """Each day's diff of a diagram as a push; a third of them is delivered again in a later batch."""
     base = shared_dir(spark, "pushes")
-    keyed.create(diagram_profile(derived.diagrams(spark, sf)), f"{base}/profile", "diagram_id", 16)
+    keyed.create(diagram_profile(derived.diagrams(spark, sf)), f"{base}/profile", "diagram_id", 12)
     pushes = derived.diffs(spark, sf).select(F.col("change_id").alias("push_id"), "diagram_id", "diff_text")
     pushes.repartition(2 * FILES).write.parquet(f"{base}/in")
     spark.read.parquet(f"{base}/in").where(F.crc32("push_id") % 3 == 0).repartition(FILES).write.mode("append").parquet(f"{base}/in")
-    U.stream_decisions(spark, f"{base}/in", pushes.schema, f"{base}/profile", f"{base}/out", f"{base}/state", FILES, 64).awaitTermination()
+    U.stream_decisions(spark, f"{base}/in", pushes.schema, f"{base}/profile", f"{base}/out", f"{base}/state", FILES, 12).awaitTermination()
     return U.decided_nodes(keyed.read(spark, f"{base}/out"))

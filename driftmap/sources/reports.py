@@ -46,7 +46,7 @@ def run_log_rows(runs: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def log_runs(rows: DataFrame, base: str, buckets: int = 64) -> None:
+def log_runs(rows: DataFrame, base: str, buckets: int = 16) -> None:
     """Put log rows with their ``run_id`` into the log table below ``base``; a run that is logged again has its last row.
 
     A run_id that comes more than once in ``rows`` keeps the row that ended last.

@@ -120,7 +120,8 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, target: s
     staged = f"{target}/staged/batch={batch_id}"
     dedup(batch, ["doc_id"], ["doc_id"]).select("content_key", "content", "doc_id", "copies").write.mode("overwrite").parquet(staged)
     unique = spark.read.parquet(staged)
-    seen = keyed.read(spark, state, keyed.touched(unique, now), now).where("copies > 0").select("content_key")
+    buckets = keyed.touched(unique, now)
+    seen = keyed.read(spark, state, buckets, now).where("copies > 0").select("content_key")
     unique.join(seen, "content_key", "left_anti").select("content_key", "content").write.mode("overwrite").parquet(f"{target}/contents/batch={batch_id}")
     keyed.apply(
         spark, state, unique.select("content_key", "doc_id", "copies"),
@@ -128,7 +129,7 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, batch_id: int, target: s
             F.coalesce(new["doc_id"], was["doc_id"]).alias("doc_id"), (F.coalesce(was["copies"], F.lit(0)) + new["copies"]).alias("copies"),
             F.coalesce(was["n_fresh"], F.lit(1)).cast("long").alias("n_fresh"), was["embedding"].alias("embedding"),
         ),
-        (stream, batch_id),
+        (stream, batch_id), buckets,
     )
 
 

@@ -123,7 +123,7 @@ def test_copies_over_ten_batches(spark, tmp_path):
         part = spark.createDataFrame([(100 * n, "same"), (100 * n + 1, f"only {n}"), (100 * n + 1, f"only {n}"), (None, "known")], "doc_id long, text string")
         part.coalesce(1).write.mode("append").parquet(f"{base}/in")
         before = keyed.manifest(spark, f"{base}/out/state")
-        U.stream_ingest(spark, f"{base}/in", part.schema, f"{base}/cache", f"{base}/out", f"{base}/st", "text", 1, 64).awaitTermination()
+        U.stream_ingest(spark, f"{base}/in", part.schema, f"{base}/cache", f"{base}/out", f"{base}/st", "text", 1, 24).awaitTermination()
         after = keyed.manifest(spark, f"{base}/out/state")
         if before:
             replaced.append(sum(before.folders.get(b) != f for b, f in after.folders.items()))
@@ -147,7 +147,7 @@ def test_pushes_stream_equals_batch(spark, rows, tmp_path):
     pushes.union(docs_only).repartition(3).write.parquet(f"{base}/in")
 
     def run():
-        U.stream_decisions(spark, f"{base}/in", pushes.schema, f"{base}/profile", f"{base}/out", f"{base}/st", 1, 16).awaitTermination()
+        U.stream_decisions(spark, f"{base}/in", pushes.schema, f"{base}/profile", f"{base}/out", f"{base}/st", 1, 8).awaitTermination()
 
     run()
     want = U.push_decisions(pushes, profile)
