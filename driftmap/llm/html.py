@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -80,6 +81,9 @@ def parsed(source: str) -> Page:
     page = Page()
     page.add("#root", "", -1)
     stack = [(0, "#root")]
+    #: Places in the stack of each open tag, and of all that are no inline tags.
+    where: dict[str, list[int]] = defaultdict(list)
+    blocks_open = [0]
     skipped = in_link = at = 0
     run: list[str] = []
     owner = 0
@@ -108,11 +112,22 @@ def parsed(source: str) -> Page:
         nonlocal skipped, in_link
         while len(stack) > depth:
             _, name = stack.pop()
+            where[name].pop()
             skipped -= name in SKIPPED and name != "title"
             in_link -= name == "a"
             if name not in INLINE:
+                blocks_open.pop()
                 flush()
 
+    def push(node: int, tag: str) -> None:
+        where[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks_open.append(len(stack))
+        stack.append((node, tag))
+
+    def lowest(tags) -> int:
+        return min((where[t][0] for t in tags if where.get(t)), default=0)
+
     while True:
         m = _TOKEN.search(source, at)
         if not m:
@@ -124,9 +139,8 @@ def parsed(source: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == tag), 0)
-            if depth:
-                close(depth)
+            if where.get(tag):
+                close(where[tag][-1])
             elif tag not in INLINE:
                 flush()
             continue
@@ -139,42 +153,33 @@ def parsed(source: str) -> Page:
                 flush()
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == "p":
-                    close(i)
-                    break
-                if stack[i][1] not in INLINE:
-                    break
-            open_control = next((i for i in range(1, len(stack)) if stack[i][1] in NO_BLOCKS), 0)
-            if open_control:
+            if stack[blocks_open[-1]][1] == "p":
+                close(blocks_open[-1])
+            if open_control := lowest(NO_BLOCKS):
                 close(open_control)
         if tag in SAME_LEVEL:
             shut, scope = SAME_LEVEL[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] in scope:
-                    break
-                if stack[i][1] in shut:
-                    close(i)
-                    break
+            top = max((where[t][-1] for t in (*scope, *shut) if where.get(t)), default=0)
+            if top and stack[top][1] not in scope:
+                close(top)
         if tag == "body" and skipped:
-            depth = next((i for i in range(1, len(stack)) if stack[i][1] == "head"), 0)
-            if depth:
-                close(depth)
+            if where.get("head"):
+                close(where["head"][0])
         if tag not in INLINE:
             flush()
         node = page.add(tag, m[3], stack[-1][0]) if tag not in INLINE or "class" in m[3] or "id=" in m[3] else stack[-1][0]
         if tag == "xmp":
             end = re.compile(r"(?i)</xmp\b[^>]*>?").search(source, at)
-            stack.append((node, tag))
+            push(node, tag)
             text(html.escape(source[at:end.start() if end else len(source)]))
             at = end.end() if end else len(source)
             close(len(stack) - 1)
             continue
-        if tag in RAW and not (tag == "title" and any(name == "svg" for _, name in stack)):
+        if tag in RAW and not (tag == "title" and where.get("svg")):
             end = re.compile(rf"(?i)</{re.escape(tag)}\b[^>]*>?").search(source, at)
             at = end.end() if end else len(source)
             continue
-        stack.append((node, tag))
+        push(node, tag)
         skipped += tag in SKIPPED and tag != "title"
         in_link += tag == "a"
     close(1)
@@ -376,9 +381,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows are read each; rows without id stay. Other columns are not read. Without
     any page to learn from, the layouts alone are. An empty table gives no rows.
     """
-    # the html of a fixed number of pages, chosen by a hash of it
-    sample = pages.where("html IS NOT NULL").select("html").orderBy(F.xxhash64(F.lit(10), F.col("html")), "html").limit(SAMPLE_PAGES)
-    learnt = [x for row in sample.collect() if (x := labelled_by_main(row["html"]))]
+    # the html of a fixed number of different pages: their hashes are chosen first, so no other page goes to the driver
+    hashed = pages.where("html IS NOT NULL").select("html", F.xxhash64(F.lit(10), F.col("html")).alias("h"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    sample = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if least else []
+    learnt = [x for row in sample if (x := labelled_by_main(row["html"]))]
     rng = random.Random(10)
     learnt += [layout(rng) for _ in range(LAYOUT_PAGES)]
     rng.shuffle(learnt)

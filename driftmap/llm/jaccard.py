@@ -120,14 +120,14 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles) of each wanted (doc_id, cls); the shingles are sorted and distinct."""
+    """(cls, shingles) of each wanted (doc_id, cls, digest); the shingles are sorted and distinct."""
 
     def read(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = [s for s, _ in shingle_sets(words(part.column("text")), k)]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                same = [d == c for d, c in zip(digests, part.column("cls").to_pylist(), strict=True)]
+                same = [d == c for d, c in zip(digests, part.column("digest").to_pylist(), strict=True)]
                 sets = [s for s, x in zip(sets, same, strict=True) if x]
                 ends = np.cumsum([0, *map(len, sets)])
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -135,8 +135,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     part.column("cls").filter(pa.array(same, pa.bool_())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
                 ], names=["cls", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(bounded(wanted), "doc_id").select("cls", "text")
-    return texts.mapInArrow(read, "cls binary, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    texts = docs.select("doc_id", "text").join(bounded(wanted), "doc_id").select("cls", "digest", "text")
+    return texts.mapInArrow(read, "cls long, shingles array<long>").groupBy("cls").agg(F.first("shingles").alias("shingles"))
 
 
 def linked(common: Column, n_a: Column, n_b: Column, num: int, den: int) -> Column:
@@ -146,7 +146,7 @@ def linked(common: Column, n_a: Column, n_b: Column, num: int, den: int) -> Colu
 def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes that give the components of all links.
 
-    ``classes`` has cls, doc_id, n, prefix. Links within a leader's neighbourhood
+    ``classes`` has cls (a number), digest, doc_id, n, prefix. Links within a leader's neighbourhood
     are left out where both ends are linked to the leader.
     """
     t, g = num / den, (den - num) / (den + num)
@@ -174,7 +174,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
         )
     picks = cut(picks.join(picks.select(F.col("cls").alias("leader")), "leader", "left_anti"))
     ends = picks.select("cls").union(picks.select("leader")).distinct()
-    sets = cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k))
+    sets = cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id", "digest"), "cls")), k))
     whole = lambda of, s: of.select(F.col("cls").alias(s), F.col("shingles").alias(f"set_{s}"))
     union = F.col("n") + F.col("leader_n") - F.col("common")
     members = cut(
@@ -208,7 +208,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> Da
     )
 
     ends = across.select(F.col("a").alias("cls")).union(across.select("b")).distinct().join(sets, "cls", "left_anti")
-    sets = sets.union(cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id"), "cls")), k)))
+    sets = sets.union(cut(whole_sets(docs, cut(ends.join(classes.select("cls", "doc_id", "digest"), "cls")), k)))
     across = (
         across.join(whole(sets, "a"), "a").join(whole(sets, "b"), "b")
         .where(linked(F.size(F.array_intersect("set_a", "set_b")), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
@@ -260,8 +260,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     docs = docs.select("doc_id", "text")
     read = cut(prefixes(docs, k, num, den))
     classes = cut(
-        read.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls")
+        read.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("cls").alias("digest"))
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        # a short name of each set, fixed by the cut, for all that is shuffled from here on
+        .withColumn("cls", F.monotonically_increasing_id())
     )
     joined = components(links(docs, classes, k, num, den))
     smallest = (
@@ -269,7 +271,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         .groupBy("label").agg(F.min("doc_id").alias("component_id"))
     )
     found = joined.join(smallest, "label").select(F.col("node").alias("cls"), "component_id")
-    named = cut(classes.join(found, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id")))
+    named = cut(classes.join(found, "cls", "left").select(F.col("digest").alias("cls"), F.coalesce("component_id", "doc_id").alias("component_id")))
     ids = read.select("doc_id", F.col("n").alias("n_shingles"), "cls")
     with_class = ids.where("cls IS NOT NULL AND doc_id IS NOT NULL").join(named, "cls").select("doc_id", "n_shingles", "component_id")
     alone = ids.where("cls IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).alias("component_id"))

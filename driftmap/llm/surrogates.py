@@ -69,8 +69,10 @@ _NATIONAL = (
     r"|(?<![\w.+-])(?=0(?:[ /-]?\d){6,14}(?!\w))0[1-9]\d{0,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,3}(?!\w)|(?<![\w.+-])0[1-9]\d{8,10}(?!\w)"
     r"|(?<!\w)\(0\d{1,5}\)[ .-]?\d{3,8}(?:[ .-]\d{2,5}){0,3}(?!\w)"
 )
-_FOUND = re.compile(
-    r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
+#: Signs of an address before its @, and the start of a run of them; no run is looked at twice.
+_RUN, _FIRST = re.compile(r"[\w.+-]*+"), r"(?<![\w.+-])"
+_PATTERNS = (
+    rf"(?P<email>{_FIRST}[\w.+-]++@[\w-]++(?:\.[\w-]++)+)"
     r"|(?P<secret>(?<![\w])(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\w]))"
     r"|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w))"
     rf"|(?P<card>(?<![\w+])(?!{_ABROAD})\d(?:[ -]?\d){{12,18}}(?![\w]))"
@@ -80,6 +82,25 @@ _FOUND = re.compile(
 )
 
 
+_FOUND, _REST_OF_RUN = re.compile(_PATTERNS), re.compile(_PATTERNS.replace(_FIRST, "", 1))
+
+
+def _found(text: str) -> Iterator[re.Match]:
+    """All matches; an address may also start right behind the match before it."""
+    at = run_end = 0
+    while True:
+        m = None
+        if at >= run_end:
+            run_end = _RUN.match(text, at).end()
+        if at and at < run_end < len(text) and text[run_end] == "@":
+            m = _REST_OF_RUN.match(text, at)
+        m = m or _FOUND.search(text, at)
+        if not m:
+            return
+        yield m
+        at = m.end()
+
+
 def script(text: str) -> str:
     """latin, cyrillic or greek, by the first letter of these."""
     for c in text:
@@ -91,7 +112,7 @@ def script(text: str) -> str:
 
 def _titled(text: str) -> Iterator[tuple[int, int, str, str]]:
     """What the patterns find, names behind a title only."""
-    for m in _FOUND.finditer(text):
+    for m in _found(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if m["name"] is None:
             found = m[0].rstrip(".") if kind == "email" else m[0]

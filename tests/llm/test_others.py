@@ -1,6 +1,8 @@
 """Operators on conversations, pages and vectors, and the pipeline."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftmap.llm import chat, html, neighbours, queries, warc
+from driftmap.llm import chat, html, neighbours, queries, surrogates, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -208,7 +210,49 @@ def test_pipeline_stage_odd(spark, name):
     got = stage(spark, spark.createDataFrame(rows, schema), SF).collect()
     ids = sorted((r["doc_id"] for r in got), key=repr)
     if name == "near_duplicates":
-        assert ids == [1, 3, 4, None, None]
+        assert ids == [1, 3, 4, None]  # the copy without doc_id goes as well
     elif name in ("benchmark_passages", "personal_data"):
         assert ids == [1, 1, 2, 3, 4, None, None]
     assert stage(spark, spark.createDataFrame([], schema), SF).collect() == []
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(60))), (1, " ".join(f"b{i}" for i in range(60))), (None, " ".join(f"b{i}" for i in range(60))), (None, "short"), (None, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("kept"))
+    got = corpus_pipeline.near_duplicates(spark, df, SF).collect()
+    assert sorted(r["text"].split()[0] for r in got) == ["a0", "b0", "short"] and {r["row_key"] for r in got} == {"kept"}
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    leaked = df.union(spark.createDataFrame([(1, f"x {item} y", "kept"), (None, f"x {item} z", "kept")], df.schema))
+    assert corpus_pipeline.benchmark_passages(spark, leaked, SF).count() == 5
+
+
+def test_quality_keeps_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("quality_score", F.lit(7))
+    assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
+
+
+@pytest.mark.parametrize("source", ["<div>" * 200_000, "<div><p>x" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<li>x" * 200_000, "<span><p>" * 100_000])
+def test_deep_pages_are_read_in_one_pass(source):
+    start = time.process_time()
+    html.parsed(source)
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + " a@b", "a." * 500_000 + "@", "0123456789abcdef" * 60_000 + "g @", "-+49123456" * 100_000 + " @", "a@" * 500_000])
+def test_long_runs_are_searched_once(text):
+    start = time.process_time()
+    list(surrogates.entities(text))
+    assert time.process_time() - start < 10
+
+
+def test_surrogates_equal_plain_search(spark):
+    """What the operator replaces is what a plain search for the same address finds, and equal ones stay equal."""
+    rows = [(i, f"write to u{i % 3}@mail{i % 2}.org or 10.0.0.{i % 4}, not x@y") for i in range(40)]
+    got = {r["doc_id"]: r["text"] for r in surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    found = re.compile(r"write to (\S+) or (\S+), not x@y")
+    seen = {}
+    for i, text in rows:
+        old, new = found.fullmatch(text).groups(), found.fullmatch(got[i]).groups()
+        for a, b in zip(old, new, strict=True):
+            assert a != b and ("@" in a) == ("@" in b) and seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen)
