@@ -1,8 +1,9 @@
 """Clean a corpus: quality, near duplicates, benchmark passages, personal data, mixture.
 
 Every stage takes all documents that the one before kept, is written as Parquet in
-the shared folder and read again. Rows without doc_id can be neither judged by
-duplicates nor by benchmark passages and pass these two stages.
+the shared folder and read again. Near duplicates and benchmark passages judge a row by
+a 64-bit hash of its doc_id and text, so rows without doc_id and different texts under one
+doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -23,29 +24,43 @@ from driftmap.session import shared_dir
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not one of ``ids``; null is none of them."""
-    return docs.join(bounded(cut(ids.select("doc_id").distinct())), "doc_id", "left_anti")
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _by_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row in a column of its own; equal rows have equal keys."""
+    key = _free(docs, "row_key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    rows = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "__quality")
-    return rows.where(accepted(F.col("__quality"))).drop("__quality")
+    score = _free(docs, "quality_score")
+    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score).where(accepted(F.col(score))).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays, once."""
-    found = jaccard_components(docs, 5, 80, 100).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    found = cut(found.where("doc_id IS NOT NULL AND (component_id <> doc_id OR n > 1)"))
-    repeated = found.where("component_id = doc_id").select("doc_id")
-    single = docs.join(bounded(found.select("doc_id")), "doc_id", "left_anti")
-    return single.unionByName(docs.join(bounded(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id stays, once; nulls come last."""
+    rows, key = _by_row(docs)
+    found = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), 5, 80, 100)
+    found = found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = cut(found.where((F.col("component_id") != F.col(key)) | (F.col("n") > 1)).select(key, "component_id"))
+    members = cut(found.union(found.select(F.col("component_id").alias(key), "component_id")).distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("first")
+    kept = cut(rows.select(key, "doc_id").join(bounded(members), key).groupBy("component_id").agg(first).select(f"first.{key}"))
+    single = rows.join(bounded(members.select(key)), key, "left_anti")
+    return single.unionByName(rows.join(bounded(kept), key, "left_semi").dropDuplicates([key])).select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return _without(docs, contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows, key = _by_row(docs)
+    found = contained_items(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(bounded(cut(found.select(F.col("doc_id").alias(key)).distinct())), key, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
