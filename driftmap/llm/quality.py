@@ -29,6 +29,8 @@ SAMPLE_ROWS = 8_000
 SHARDS, ROUNDS = 8, 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.5
 THRESHOLD = 0.3
+#: Text bytes whose features are in a worker's memory at a time.
+SLICE_BYTES = 1 << 20
 
 _AROUND = re.compile(r"^\W+|[\W_]+$")
 _UPPER, _LOWER, _DIGIT, _AGAIN = re.compile(r"[A-Z]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
@@ -84,7 +86,7 @@ def trained(rows: DataFrame) -> np.ndarray:
             z0, n0 = state.value
             z, n = z0.copy(), n0.copy()
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, size=SLICE_BYTES):
                     for (at, value), label in zip(features(words(part.column("text"), lower=False)), part.column("quality").to_pylist(), strict=True):
                         at, value = np.append(at, DIMENSIONS), np.append(value, 1.0)
                         w = weights_of(z[at], n[at])
@@ -127,7 +129,7 @@ def scored(docs: DataFrame, labels: DataFrame, name: str = "quality_score") -> D
     def score(batches):
         w = known.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE_BYTES):
                 sums = [float(w[at] @ value) for at, value in features(words(part.column("text"), lower=False))]
                 scores = pa.array(_sigmoid(np.array(sums, np.float64) + float(w[-1])))
                 yield pa.RecordBatch.from_arrays([*part.columns, scores], names=[*part.schema.names, name])
