@@ -88,11 +88,28 @@ def test_jaccard_odd(odd, empty, rows):
     assert rows(jaccard.jaccard_components(empty)) == []
 
 
+def plain_contained(docs, items, k=5, percent=80):
+    """Every document row against every item row, on sets of runs of words."""
+    best = {}
+    for item_id, item in items:
+        w = tokens(item)
+        size = min(k, len(w))
+        wanted = {tuple(w[j:j + size]) for j in range(len(w) - size + 1)} if size else set()
+        for doc_id, text in docs:
+            d = tokens(text)
+            shared = len(wanted & {tuple(d[j:j + size]) for j in range(len(d) - size + 1)})
+            if None not in (item_id, doc_id, item, text) and wanted and shared * 100 >= len(wanted) * percent:
+                best[doc_id, item_id] = max(best.get((doc_id, item_id), (0, 0, 0)), (shared / len(wanted), shared, len(wanted)))
+    return sorted(((d, i, m, shared, share) for (d, i), (share, shared, m) in best.items()), key=repr)
+
+
 def test_leaks_odd(spark, odd, empty, rows):
-    items = spark.createDataFrame([(1, "A b C d e f"), (2, "w100 w101 w102 w103 w104 w105 w106 w107"), (3, "a b"), (4, None), (None, "a b c d e f"), (5, "")], "item_id long, text string")
-    got = rows(leaks.contained_items(odd, items))
-    assert got == sorted([(7, 1, 2, 2, 1.0), (8, 1, 2, 2, 1.0), (9, 1, 2, 2, 1.0), (5, 2, 4, 4, 1.0), (6, 2, 4, 4, 1.0)], key=repr)
-    assert rows(leaks.contained_items(empty, items)) == [] and rows(leaks.contained_items(odd, items.limit(0))) == []
+    items = [(1, "A b C d e f"), (2, "w100 w101 w102 w103 w104 w105 w106 w107"), (3, "a b"), (4, None), (None, "a b c d e f"), (5, ""), (6, "ONE"), (7, "words two"), (8, "x" * 200_000), (8, "b c")]
+    found = spark.createDataFrame(items, "item_id long, text string")
+    got = rows(leaks.contained_items(odd, found))
+    assert got == plain_contained([(r["doc_id"], r["text"]) for r in odd.collect()], items)
+    assert (7, 1, 2, 2, 1.0) in got and (5, 2, 4, 4, 1.0) in got and (8, 3, 1, 1, 1.0) in got and (3, 6, 1, 1, 1.0) in got and not {7} & {r[1] for r in got}
+    assert rows(leaks.contained_items(empty, found)) == [] and rows(leaks.contained_items(odd, found.limit(0))) == []
 
 
 def test_leaks_threshold(spark, rows):
@@ -103,6 +120,42 @@ def test_leaks_threshold(spark, rows):
     assert got == {1: 50, 2: 40, 4: 45, 5: 45}
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_leaks_equal_all_pairs(spark, rows, monkeypatch, sent):
+    """Items of 1 to 60 words, whole, cut, changed inside or scattered over long documents, sent to all executors or not."""
+    from driftmap.llm import cuts
+
+    monkeypatch.setattr(cuts, "BROADCAST_ROWS", sent)
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400}"
+    items = [(i % 50, " ".join(word() for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 17, 40, 60])))) for i in range(60)]
+    docs = []
+    for i in range(120):
+        w = [word() for _ in range(rng.choice([0, 3, 8, 60, 500]))]
+        for _, item in rng.sample(items, 3):
+            part = item.split()
+            if rng.random() < 0.5:
+                part[rng.randrange(len(part))] = "z"
+            if rng.random() < 0.3:
+                part = part[: rng.randint(1, len(part))] + ["y"] * 4 + part[len(part) // 2:]
+            at = rng.randint(0, len(w))
+            w[at:at] = part
+        docs.append((i % 110, " ".join(w)))
+    schema = "id long, text string"
+    got = rows(leaks.contained_items(spark.createDataFrame(docs, schema).withColumnRenamed("id", "doc_id"), spark.createDataFrame(items, schema).withColumnRenamed("id", "item_id")))
+    want = plain_contained(docs, items)
+    assert len(want) > 100 and [r[:4] for r in got] == [r[:4] for r in want]
+
+
+def test_leaks_sketch_is_a_part_of_a_document(spark):
+    """Values beyond the cutoff of a document's size are not looked up."""
+    items = spark.createDataFrame([(i, " ".join(f"i{i}_{j}" for j in range(204))) for i in range(20)], "item_id long, text string")
+    sketches = leaks._sketches(leaks._item_sets(items, 5), 80)
+    limits = spark.createDataFrame([(159,), (160,)], "n int").select(leaks._cutoff(sketches, F.col("n")).alias("limit")).collect()
+    assert limits[0]["limit"] is None and sketches.count() == 20 * 41
+    assert (limits[1]["limit"] + 2**63) / 2**64 < 0.35
+
+
 def test_lm_counts(docs, rows):
     got = {r["doc_id"]: r for r in lm.lm_scores(docs).collect()}
     found = docs.select("doc_id", "text").collect()
