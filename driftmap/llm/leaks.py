@@ -108,9 +108,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("doc_row"), "text")
     read = lambda rows: _runs(rows.select("doc_id", "doc_row", _words(F.col("text")).alias("words")), lengths)
     n = F.size("words") - (min(lengths) - 1)
-    sketched = read(texts).where(F.col("value") <= _cutoff(sketches, n)).select("doc_id", "doc_row", "value", n.alias("n"))
-    found = sketched.join(bounded(sketches), "value").where("n >= least")
-    found = cut(found.select("doc_id", "doc_row", "item_id", "item_row").distinct())
+    sketched = read(texts).where(F.col("value") <= _cutoff(sketches, n)).select("doc_id", "doc_row", "value")
+    found = cut(sketched.join(bounded(sketches), "value").select("doc_id", "doc_row", "item_id", "item_row").distinct())
 
     leaky = found.select("doc_id", "doc_row").distinct()
     held = read(texts.join(bounded(leaky), ["doc_id", "doc_row"], "left_semi")).select("doc_id", "doc_row", "run", "value", "shingle")
