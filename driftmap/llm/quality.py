@@ -42,8 +42,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shape(word: str) -> str:
-    """Runs of capitals, other letters and digits as A, a and 9, any repeated sign once, 12 signs at most."""
-    return _AGAIN.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("a", _UPPER.sub("A", word[:64]))))[:12]
+    """The whole word with runs of capitals, other letters and digits as A, a and 9 and any repeated sign once."""
+    return _AGAIN.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("a", _UPPER.sub("A", word))))
 
 
 def _views(w: Words) -> tuple[np.ndarray, np.ndarray]:
