@@ -66,21 +66,10 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype(np.int64) + 1
 
 
-def _build(keys: np.ndarray, counts: np.ndarray, single: np.ndarray | None = None, most: int | None = None) -> bytes:
-    """The bits of one segment with all its keys.
-
-    Only a caller that passes ``single`` and ``most`` bytes gets fewer: then the
-    lowest counts go, but no single words. No operator does.
-    """
+def _build(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The bits of one segment with all its keys."""
     levels = _levels(counts)
-    if most is not None:
-        least = 1
-        while levels.sum() * BITS_PER_ENTRY > most * 8 and least <= 60:
-            least += 1
-            kept = single | (levels >= least)
-            keys, levels, single = keys[kept], levels[kept], single[kept]
     size = int(max(8, levels.sum() * BITS_PER_ENTRY // 8))
-    size = size if most is None else min(most, size)
     bits = np.zeros(size * 8, np.uint8)
     for start in range(0, len(keys), CHUNK):
         some, high = keys[start:start + CHUNK], levels[start:start + CHUNK]

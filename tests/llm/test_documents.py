@@ -179,12 +179,10 @@ def test_lm_filter_never_reads_low(monkeypatch):
 
     keys = np.random.default_rng(2).integers(0, 2**63, 5_000).astype(np.uint64)
     counts = np.random.default_rng(3).integers(1, 500, 5_000)
-    held = lm.CountFilter([lm._build(keys, counts, np.ones(5_000, bool), 1 << 20)])
+    held = lm.CountFilter([lm._build(keys, counts)])
     levels = np.floor(np.log2(held.counts(keys) * 2 / 3 + 0.34)) + 1
     assert (levels >= lm._levels(counts)).all() and (levels == lm._levels(counts)).mean() > 0.97
     assert (held.counts(keys + np.uint64(1)) > 0).mean() < 0.03
-    small = lm._build(keys, counts, np.zeros(5_000, bool), 1 << 10)
-    assert len(small) <= 1 << 10
 
 
 def test_lm_frequent_words_and_joined_words_agree(docs, monkeypatch, rows):
