@@ -220,7 +220,7 @@ def learned(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()
     """The model of labelled texts; without any it gives 0.5 to all.
 
     ``exceptions`` are phrases beyond those that are learnt. The curve is fitted to the
-    sample with every text's own share taken out of the weights.
+    sample with every text's own share taken out of the weights of entries it was counted for.
     """
     spark = docs.sparkSession
     rows = cut(sample(docs, labels))
@@ -251,10 +251,13 @@ def learned(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()
         for batch in batches:
             x = []
             for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                total = 0.0
+                total, own = 0.0, _all_entries(text)
                 for entry, n in Counter(entry for _, _, entry in matches(automaton, text)).items():
                     a, b = shares[entry]
-                    total += n * max(0.0, _weight(a - bool(label), b - (not label), n_toxic, n_clean))
+                    # a beginning that is a whole word here, or an l read as i, is found but was not counted
+                    if entry in own:
+                        a, b = a - bool(label), b - (not label)
+                    total += n * max(0.0, _weight(a, b, n_toxic, n_clean))
                 x.append(total / max(1, text.count(" ") // 2) ** LENGTH_POWER)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], names=["x", "toxic"])
 

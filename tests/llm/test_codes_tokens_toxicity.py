@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -317,3 +318,16 @@ def test_toxicity_held_out_accuracy(spark):
     got = queries.QUERIES["op12_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).first()
     assert r["right"] >= 0.9
+
+
+@pytest.mark.parametrize("toxic, clean", [(["grobian", "grobheit", "grobes"], "grob"), (["lulli"], "iuiii")])
+def test_toxicity_found_but_not_counted(spark, toxic, clean):
+    """A clean text may hold what an entry finds without being one of the texts that were counted for it."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [(ids[n], f"{toxic[n % len(toxic)]} w{n} x{n * 7}", 1) for n in range(60)]
+    texts += [(ids[n], f"plain y{n} z{n * 3}" + (f" {clean}" if n == 100 else ""), 0) for n in range(60, 160)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in texts], "doc_id long, toxic int")
+    model = toxicity.learned(docs, labels)
+    assert [1 for _ in toxicity.matches(model.automaton(), toxicity.marked([clean]))]
+    assert model.slope > 0
