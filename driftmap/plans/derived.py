@@ -219,6 +219,11 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def spread_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """``parts``, dealt by key: a part table is small enough to be one task's, what is made of its rows is not."""
+    return parts(spark, sf).repartition("k")
+
+
 # The lines of a derived script.
 SCRIPT_ROWS = [
     "concat('# STEP 1: load ', p_name)",
@@ -245,7 +250,7 @@ SCRIPT_ROWS = [
 def scripts(spark: SparkSession, sf: str) -> DataFrame:
     """(repo_id, path, ext, content, k): one Python source per part, some of them broken."""
     rows = ", ".join(SCRIPT_ROWS)
-    return parts(spark, sf).selectExpr(
+    return spread_parts(spark, sf).selectExpr(
         "diagram_id AS repo_id",
         "concat('src/p', k, '.py') AS path",
         "'.py' AS ext",
@@ -273,7 +278,7 @@ def quoted_scripts(spark: SparkSession, sf: str) -> DataFrame:
     for mark, value in (("<k>", F.col("k").cast("string")), ("<name>", F.col("p_name")), ("<type>", F.col("p_type"))):
         content = F.replace(content, F.lit(mark), value)
     path = F.concat(F.lit("src/q"), F.col("k").cast("string"), F.lit(".py"))
-    return parts(spark, sf).select(F.col("diagram_id").alias("repo_id"), path.alias("path"), content.alias("content"))
+    return spread_parts(spark, sf).select(F.col("diagram_id").alias("repo_id"), path.alias("path"), content.alias("content"))
 
 
 def headed_docs(spark: SparkSession, sf: str) -> DataFrame:
