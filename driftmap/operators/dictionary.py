@@ -2,8 +2,8 @@
 
 A keyword is posted under one q-gram: that of its own that is rarest. Texts are cut into
 overlapping blocks, whose q-grams look the index up in an equi-join; whatever meets is tested
-exactly. The plan doesn't grow with the dictionary, and no text meets a keyword it
-shares no q-gram with. ``functions.keywords`` is the form for small fixed dictionaries.
+exactly. No text meets a keyword it shares no q-gram with. The plan doesn't grow with the
+dictionary beyond ``KNOWN`` q-grams: so many are looked for by one pattern, of more all of a text are looked up. ``functions.keywords`` is the form for small fixed dictionaries.
 """
 
 from __future__ import annotations
@@ -17,12 +17,28 @@ from driftmap.session import shared_dir
 GRAM, BLOCK = 4, 256
 #: Of the texts, one in so many is counted to learn which q-grams are rare; results don't depend on it.
 COUNTED = 64
+#: Q-grams of an index that texts are searched for by a pattern.
+KNOWN = 4_096
+#: Rows of an index that are sent to every executor. Its files say little about its size in memory.
+SENT_ROWS = 200_000
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All parts of n characters, in order."""
-    places = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.transform(places, lambda i: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def _one_of(grams: list[str]) -> str:
+    """A pattern of texts of the same length, as a tree of their beginnings."""
+    after: dict[str, list[str]] = {}
+    for gram in sorted(grams):
+        after.setdefault(gram[:1], []).append(gram[1:])
+    last = all(rest == [""] for rest in after.values())
+    signs = {c: c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in after}
+    if last:
+        return f"[{''.join(signs.values())}]"
+    return f"(?:{'|'.join(signs[c] + _one_of(rest) for c, rest in after.items())})"
+
+
+def _grams(text: Column, n: int, known: list[str] | None = None) -> Column:
+    """All parts of n characters, in order, or those of them that are ``known``."""
+    part = f".{{{n}}}" if known is None else _one_of(known) if known else "(?!)"
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({part}))."), F.lit(1))
 
 
 def _blocks(text: str, reach: int) -> Column:
@@ -62,13 +78,15 @@ def contained(texts: DataFrame, words: DataFrame, by: list[str] | None = None) -
     """
     by = by or []
     index, reach, lengths = keyword_index(words, texts)
-    grams = F.flatten(F.array(*[_grams(F.col("block"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    few = [r["gram"] for r in index.select("gram").distinct().limit(KNOWN + 1).collect()]
+    known = {n: [g for g in few if len(g) == n] if len(few) <= KNOWN else None for n in lengths}
+    grams = F.flatten(F.array(*[_grams(F.col("block"), n, known[n]) for n in lengths])) if lengths else F.array().cast("array<string>")
     named = [c for c in texts.columns if c != "text"]
-    looked = (
-        texts.select(*named, _blocks("text", reach).alias("blocks")).select(*named, F.explode(computed("blocks")).alias("block"))
-        .select(*named, "block", F.array_distinct(grams).alias("grams")).select(*named, "block", F.explode(computed("grams")).alias("gram"))
-    )
-    found = looked.join(index, [*by, "gram"]).where(F.col("block").contains(F.col("word")))
+    # few files or few long texts may hold all blocks, so these are dealt first
+    blocks = texts.select(*named, _blocks("text", reach).alias("blocks")).select(*named, F.explode(computed("blocks")).alias("block")).repartition(*named, "block")
+    looked = blocks.select(*named, "block", F.array_distinct(grams).alias("grams")).select(*named, "block", F.explode(computed("grams")).alias("gram"))
+    many = index.limit(SENT_ROWS + 1).count() > SENT_ROWS
+    found = looked.join(index.hint("merge") if many else index, [*by, "gram"]).where(F.col("block").contains(F.col("word")))
     return found.select(*named, *[c for c in words.columns if c not in by]).distinct()
 
 

@@ -115,3 +115,24 @@ def test_scanned_comments_equal_parsed(spark, rows):
 def test_long_strings_are_scanned(spark, text):
     df = spark.createDataFrame([("r", "a.py", text)], "repo_id string, path string, content string")
     assert [r["text"] for r in A.scanned_comments(df).collect()] == (["c"] if text.endswith("c") else [])
+
+
+def test_blocks_are_dealt_and_grams_known(spark, rows, monkeypatch):
+    """Texts of one task are dealt before their q-grams are cut; a pattern of known q-grams finds what all of them find."""
+    odd = ["a.b+c", "x]^-[y", "\\E\\Q\\", "\U0001f600\U0001f601 z", "é", "-", "^]", "a\nb\nc"]
+    texts = spark.createDataFrame(
+        [*((i, f"{w} plain text {w}{w}") for i, w in enumerate(odd)), (99, "abcdabcde"), (100, None), (101, "")], "key long, text string"
+    ).coalesce(1)
+    words = spark.createDataFrame([(w,) for w in [*odd, "abcd", "bcdabc", "zzzz", "b", "", None]], "word string")
+    found = dictionary.contained(texts, words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(key" in plan and "BroadcastHashJoin" in plan
+    listed = [(r["key"], r["text"]) for r in texts.collect()]
+    want = sorted({(k, w) for k, t in listed for (w,) in words.collect() if t and w and w in t}, key=repr)
+    assert rows(found) == want
+    monkeypatch.setattr(dictionary, "KNOWN", 2)
+    monkeypatch.setattr(dictionary, "SENT_ROWS", 2)
+    found = dictionary.contained(texts, words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert rows(found) == want
