@@ -24,6 +24,7 @@ from driftmap.functions.text import computed
 from driftmap.operators.changes import DIFF_FILE, DIFF_FUNCTION, DIFF_NUMBER, DIFF_STRING
 from driftmap.operators.diagram import diagram_items
 from driftmap.operators.dictionary import contained
+from driftmap.session import shared_dir
 from driftmap.sources.tree import base_name
 
 CHANGE_RULES = ("suggested", "component", "field")
@@ -173,13 +174,17 @@ def map_suggested_indexed(changes: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes`` is (diagram_id, node_id).
     """
-    names = changes.select("change_id", "diagram_id", F.explode("affected_nodes").alias("name")).select("change_id", "diagram_id", F.lower("name").alias("name")).distinct()
-    ids = nodes.select("diagram_id", "node_id", F.lower("node_id").alias("text")).distinct()
-    own = names.select("diagram_id", F.col("name").alias("word")).distinct()
-    inside = contained(ids, own, ["diagram_id"]).withColumnRenamed("word", "name").join(names, ["diagram_id", "name"])
-    around = contained(names.withColumnRenamed("name", "text"), ids.withColumnRenamed("text", "word"), ["diagram_id"])
-    columns = ["change_id", "diagram_id", "node_id"]
-    return inside.select(columns).union(around.select(columns)).distinct()
+    spark, base = changes.sparkSession, shared_dir(changes.sparkSession, "suggested")
+    names = changes.select("change_id", "diagram_id", F.explode("affected_nodes").alias("name")).select("change_id", "diagram_id", F.lower("name").alias("name"))
+    # read several times below; the sizes of their files say little about those in memory, so no join sends them
+    names.distinct().write.parquet(f"{base}/names")
+    nodes.select("diagram_id", "node_id", F.lower("node_id").alias("text")).distinct().write.parquet(f"{base}/ids")
+    names, ids = spark.read.parquet(f"{base}/names"), spark.read.parquet(f"{base}/ids")
+    own = names.select("diagram_id", "name").distinct()
+    inside = contained(ids, own.withColumnRenamed("name", "word"), ["diagram_id"]).withColumnRenamed("word", "name")
+    around = contained(own.withColumn("text", F.col("name")), ids.withColumnRenamed("text", "word"), ["diagram_id"])
+    pairs = inside.select("diagram_id", "name", "node_id").union(around.select("diagram_id", "name", "node_id")).distinct()
+    return names.hint("merge").join(pairs, ["diagram_id", "name"]).select("change_id", "diagram_id", "node_id").distinct()
 
 
 def map_component(changes: DataFrame, profile: DataFrame) -> DataFrame:
