@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from driftmap.operators import facts as A
+from driftmap.plans import derived
 
 TRAPS = '''# STEP 1 read
 # TODO later
@@ -127,3 +128,42 @@ def test_config_facts(spark, rows):
 def test_long_line_comment(spark, rows):
     files = spark.createDataFrame([("r", "min.js", "x = '" + "a" * 200_000 + "' + \"b\" # end"), ("r", "open.py", "it's # no " + "z" * 200_000)], "repo_id string, path string, content string")
     assert rows(A.comments(files).select("path", "text")) == [("min.js", "end")]
+
+
+def test_plain_comments_equal_tokens():
+    from test_sinks_dictionary import SOURCES
+
+    more = [
+        "x = 1 \\\n  # c\n", "# é ü\ny = 'ß # no' # ok", "def g():\n    # in\n    return '''\n# no\n''' # z\n\n#end", "s = b'# no' r'\\' # y",
+        "v = rb\"\\\"# no\" # w\n", "a.b.c(d.e, (g()).g.h)#t", "if 1:\n\tx = 2 # tab\n# u v\n", "",
+    ]
+    n = 0
+    for source in [*SOURCES, *more]:
+        try:
+            A.ast.parse(source)
+        except SyntaxError:
+            continue
+        if not A._UNSURE.search(source):
+            n += 1
+            assert list(A._plain_comments(source)) == list(A._comments(source)), source
+    assert n >= len(more)
+    for unsure in ("f'{x!r:#>4}'", 'F"{d["a#b"]}" # c', "rf'#'", "fr'#'", "x = 1 # a\r\n"):
+        assert A._UNSURE.search(unsure)
+
+
+def test_sources_of_expressions():
+    for text in ("a.b.c", "a.b().c.d", "(a + b).c.d", "(1).real.imag", "a[0].b.c", "'x'.join.y", "(await x).y.z", "(lambda: 1).a.b"):
+        node = A.ast.parse(f"async def g():\n    {text}").body[0].body[0].value
+        assert A._source(node) == A.ast.unparse(node)
+
+
+def test_scripts_are_dealt(spark, tmp_path):
+    """One file of parts is one task's; the scripts of its rows are not."""
+    spark.range(4000).selectExpr(
+        "id AS p_partkey", "concat('n', id) AS p_name", "concat('Brand#', id % 9) AS p_brand", "'LARGE' AS p_type", "CAST(id % 50 AS INT) AS p_size"
+    ).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for made in (derived.scripts, derived.quoted_scripts):
+        plan = made(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(k" in plan
+    facts = A.config_facts(derived.scripts(spark, str(tmp_path)))
+    assert facts.count() == 5 * sum(k % 97 != 5 for k in range(4000))
