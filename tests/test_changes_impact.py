@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftmap.functions.keywords import steps_of_component
 from driftmap.operators import changes as C
+from driftmap.operators import dictionary
 from driftmap.operators import impact as I
 from driftmap.sources import changesets as S
 from test_diagram import PRESS, diagrams
@@ -182,3 +183,15 @@ def test_null_is_a_value(spark, rows):
     h = spark.createDataFrame([("k", 0, 1, None), ("k", 1, 2, "a"), ("k", 70, 3, None), ("k", 71, 4, None)], "key string, sec long, event_id long, value string")
     got = C.value_changes(h.withColumn("ts", F.timestamp_seconds("sec")), ["key"]).select("event_id", "old_value", "new_value")
     assert rows(got) == [(1, "N/A", None), (2, None, "a"), (3, "a", None)]
+
+
+def test_large_index_is_not_sent(spark, rows, monkeypatch):
+    """Beyond so many rows no join of names, ids and their index goes through the driver, and names of several changes are found for each."""
+    monkeypatch.setattr(dictionary, "SENT_ROWS", 0, raising=False)
+    changes = spark.createDataFrame(
+        [("c1", "d", ["P1", "lone"]), ("c2", "d", ["p1", None]), ("c3", "e", ["P1"]), ("c4", "d", []), ("c5", None, ["P1"])], "change_id string, diagram_id string, affected_nodes array<string>"
+    )
+    nodes = spark.createDataFrame([("d", "P12"), ("d", "P"), ("d", "LONE"), ("e", "X"), ("d", "P12"), (None, "P1")], "diagram_id string, node_id string")
+    found = I.map_suggested_indexed(changes, nodes)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == [("c1", "d", "LONE"), ("c1", "d", "P"), ("c1", "d", "P12"), ("c2", "d", "P"), ("c2", "d", "P12")]
