@@ -11,6 +11,7 @@ import io
 import re
 import tokenize
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -32,116 +33,157 @@ _ARROW = pa.schema(
 _BATCH_ROWS = 10_000
 _KEEP_COMMENT = 100
 
+#: Signs of comparisons, as the unparser writes them.
+_SIGNS = {
+    ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=",
+    ast.Is: "is", ast.IsNot: "is not", ast.In: "in", ast.NotIn: "not in",
+}
+#: Fields that never hold a node to visit: names, contexts and operators.
+_BARE = {"ctx", "op", "ops", "id", "attr", "arg", "asname", "module", "level", "kind", "type_comment", "type_ignores", "conversion", "is_async", "simple"}
+
+
+def _leaf(node: ast.expr) -> str | None:
+    """Source text of a name, a plain constant or a dotted name, and nothing for all else."""
+    kind = type(node)
+    if kind is ast.Name:
+        return node.id
+    if kind is ast.Constant:
+        return repr(node.value) if node.kind is None and isinstance(node.value, (str, int, type(None))) else None
+    if kind is ast.Attribute and type(node.value) in (ast.Name, ast.Attribute):
+        base = _leaf(node.value)
+        return None if base is None else f"{base}.{node.attr}"
+    return None
+
 
 def _source(node: ast.expr) -> str:
-    """Source text of an expression; the common leaves need no unparser."""
-    match node:
-        case ast.Name():
-            return node.id
-        case ast.Constant(value=str() | int(), kind=None):
-            return repr(node.value)
-        case ast.Attribute(value=ast.Name() | ast.Attribute()):
-            return f"{_source(node.value)}.{node.attr}"
-    return ast.unparse(node)
-
-
-def _call_parts(call: ast.Call) -> dict:
-    return {
-        "callee": _source(call.func),
-        "args": [_source(a) for a in call.args],
-        "kwargs": [f"{k.arg}={_source(k.value)}" for k in call.keywords],
-    }
-
-
-def _value_parts(value: ast.expr) -> dict:
-    match value:
-        case ast.Call():
-            return {"value_kind": "call", **_call_parts(value)}
-        case ast.Dict():
-            return {"value_kind": "dict", "args": [_source(k) for k in value.keys if k]}
-        case ast.Constant(value=str() as text):
-            return {"value_kind": "str", "value": text}
-    return {"value_kind": "other"}
-
-
-def _statements(tree: ast.AST, indent: int = 0) -> Iterator[dict]:
-    """Branches, definitions, assignments and calls in visiting order.
+    """Source text of an expression; the common leaves, and comparisons of them, need no unparser."""
+    told = _leaf(node)
+    if told is None and type(node) is ast.Compare:
+        sides = [_leaf(n) for n in (node.left, *node.comparators)]
+        if None not in sides:
+            told = sides[0] + "".join(f" {_SIGNS[type(op)]} {side}" for op, side in zip(node.ops, sides[1:]))
+    return ast.unparse(node) if told is None else told
+
+
+def _call_parts(call: ast.Call) -> tuple[str, list[str], list[str]]:
+    return _source(call.func), [_source(a) for a in call.args], [f"{k.arg}={_source(k.value)}" for k in call.keywords]
+
+
+def _value_parts(value: ast.expr) -> tuple:
+    """(callee, args, kwargs, value_kind, value) of an assigned value."""
+    kind = type(value)
+    if kind is ast.Call:
+        return *_call_parts(value), "call", None
+    if kind is ast.Dict:
+        return None, [_source(k) for k in value.keys if k], None, "dict", None
+    if kind is ast.Constant and isinstance(value.value, str):
+        return None, None, None, "str", value.value
+    return None, None, None, "other", None
+
+
+@cache
+def _fields(kind: type) -> tuple[str, ...]:
+    return tuple(f for f in kind._fields if f not in _BARE)
+
+
+def _statements(tree: ast.AST, indent: int, found: list[tuple]) -> None:
+    """Branches, definitions, assignments and calls in visiting order, as the columns from ``line`` on.
 
     Nothing below an assignment, a call or an import is looked at.
     """
-    for child in ast.iter_child_nodes(tree):
-        here = {"line": getattr(child, "lineno", None), "indent": indent}
-        match child:
-            case ast.Import() | ast.ImportFrom():
-                continue
-            case ast.Assign():
-                yield here | {"node": "assign", "target": "=".join(map(_source, child.targets))} | _value_parts(child.value)
-            case ast.Call():
+    for field in _fields(type(tree)):
+        part = getattr(tree, field, None)
+        for child in part if type(part) is list else (part,):
+            kind = type(child)
+            if kind is ast.Assign:
+                target = "=".join(map(_source, child.targets))
+                found.append((child.lineno, indent, "assign", target, *_value_parts(child.value)))
+            elif kind is ast.Call:
                 first = child.args[0] if child.args else None
-                told = str(first.value) if isinstance(first, ast.Constant) else None
-                yield here | {"node": "call", "value": told} | _call_parts(child)
-            case ast.If():
-                yield here | {"node": "if", "value": ast.unparse(child.test)}
-                yield from _statements(child, indent + 1)
-            case ast.FunctionDef():
-                yield here | {"node": "def", "target": child.name}
-                yield from _statements(child, indent + 1)
-            case _:
-                yield from _statements(child, indent)
-
-
-def _comments(source: str) -> Iterator[dict]:
+                told = str(first.value) if type(first) is ast.Constant else None
+                found.append((child.lineno, indent, "call", None, *_call_parts(child), None, told))
+            elif kind is ast.If:
+                found.append((child.lineno, indent, "if", None, None, None, None, None, _source(child.test)))
+                _statements(child, indent + 1, found)
+            elif kind is ast.FunctionDef:
+                found.append((child.lineno, indent, "def", child.name, None, None, None, None, None))
+                _statements(child, indent + 1, found)
+            elif kind is not ast.Name and kind is not ast.Constant and kind is not ast.Import and kind is not ast.ImportFrom:
+                if isinstance(child, ast.AST):
+                    _statements(child, indent, found)
+
+
+def _comments(source: str) -> Iterator[tuple[int, str]]:
+    """(line, text) of each comment."""
     if "#" not in source:
         return
     try:
         for token in tokenize.generate_tokens(io.StringIO(source).readline):
             if token.type == tokenize.COMMENT:
-                yield {"node": "comment", "line": token.start[0], "value": token.string}
+                yield token.start[0], token.string
     except (tokenize.TokenError, SyntaxError):
         return  # what was read before the fault still counts
 
 
 #: Strings and comments of a source without fault, and where quotes alone don't tell strings: formatted ones, odd line ends.
+#: Each choice begins with one sign, and what precedes a quote is looked at behind it, so both skip fast to the next such sign.
 _QUOTED = re.compile(
-    r"""(?s)#[^\n]*+|"{3}(?:[^"\\]++|\\.|"(?!""))*+"{3}|'{3}(?:[^'\\]++|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'"""
+    r"""(?s)#[^\n]*+|""{2}(?:[^"\\]++|\\.|"(?!""))*+"{3}|''{2}(?:[^'\\]++|\\.|'(?!''))*+'{3}|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'"""
 )
-_UNSURE = re.compile(r"""(?i)[ft]r?["']|r[ft]["']|[\r\f]""")
+_UNSURE = re.compile(r"""["'\r\f](?:(?<=[\r\f])|(?<=[fFtT].)|(?<=[fFtT][rR].))""")
 
 
-def _plain_comments(source: str) -> Iterator[dict]:
+def _plain_comments(source: str) -> Iterator[tuple[int, str]]:
     """The same for a source that was parsed and holds nothing ``_UNSURE``, in a tenth of the time."""
     line, at = 1, 0
     for found in _QUOTED.finditer(source):
-        if found[0].startswith("#"):
+        text = found[0]
+        if text[0] == "#":
             line, at = line + source.count("\n", at, found.start()), found.start()
-            yield {"node": "comment", "line": line, "value": found[0]}
+            yield line, text
 
 
-def _file_rows(source: str | None) -> Iterator[dict]:
-    yield {"node": "file"}
+def _file_rows(source: str | None) -> list[tuple]:
+    """Rows of a file: what ``PARSED_SCHEMA`` has behind the file's key."""
+    rows = [_row("file")]
     if source is None:
-        yield {"node": "error", "value": "unreadable text"}
-        return
+        return [*rows, _row("error", "unreadable text")]
+    found: list[tuple] = []
     try:
-        found = list(_statements(ast.parse(source)))
+        _statements(ast.parse(source), 0, found)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as fault:
-        yield from _comments(source)
-        yield {"node": "error", "value": str(fault)}
-        return
-    yield from (_comments if _UNSURE.search(source) else _plain_comments)(source)
-    yield from (row | {"seq": i} for i, row in enumerate(found))
+        noted, found, error = _comments(source), [], [_row("error", str(fault))]
+    else:
+        noted, error = (_comments if _UNSURE.search(source) else _plain_comments)(source), []
+    rows += [_row("comment", text, line) for line, text in noted]
+    rows += error
+    rows += [(seq, *row) for seq, row in enumerate(found)]
+    return rows
+
+
+def _row(node: str, value: str | None = None, line: int | None = None) -> tuple:
+    """A row that is no statement."""
+    return None, line, None, node, None, None, None, None, None, value
+
+
+def _batch(repos: list, paths: list, rows: list[tuple]) -> pa.RecordBatch:
+    columns = [repos, paths, *zip(*rows)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
+    repos, paths, rows = [], [], []
     for batch in batches:
         for repo_id, path, content in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "path", "content"))):
-            rows += [{"repo_id": repo_id, "path": path} | r for r in _file_rows(content)]
+            more = _file_rows(content)
+            repos += [repo_id] * len(more)
+            paths += [path] * len(more)
+            rows += more
             if len(rows) >= _BATCH_ROWS:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                rows = []
+                yield _batch(repos, paths, rows)
+                repos, paths, rows = [], [], []
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        yield _batch(repos, paths, rows)
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -150,9 +192,11 @@ def parse_files(files: DataFrame) -> DataFrame:
     ``files`` is (repo_id, path, content), already filtered: this is the only
     Python stage. Parsing costs far more than moving a file, so files are
     spread by path first: sizes differ, and one repository may hold a large
-    part of all files.
+    part of all files. Their number of tasks is given, since Spark would
+    otherwise merge tasks by bytes, of which sources have few for the time they take.
     """
-    spread = files.select("repo_id", "path", "content").repartition("repo_id", "path")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.select("repo_id", "path", "content").repartition(tasks, "repo_id", "path")
     return spread.mapInArrow(_parse_batches, PARSED_SCHEMA)
 
 
@@ -284,55 +328,49 @@ def fact_errors(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("node") == "error").select("repo_id", "path", F.col("value").alias("error"))
 
 
-def _by_line(parsed: DataFrame, arg_chars: int | None = None) -> DataFrame:
-    """Per file line: its statements, and the comments that may belong to them.
+def _with_notes(parsed: DataFrame, note: Column, arg_chars: int | None = None) -> DataFrame:
+    """(repo_id, path, seq, line, node, text, after, notes): files, faults and statements, and the comments that may belong to them.
 
-    A comment reaches its own line and the two after it, so attachment is a
-    grouping by line. The bound "after the previous branch or assignment" is a
-    running value over the file. One shuffle by file serves all steps. Files
-    and faults take part as line 0.
+    ``note`` is a comment's struct, made of its ``line``, ``ctext`` and ``ctype``. A comment reaches
+    its own line and the two after it, so a statement's notes are a frame of three lines. The bound
+    "after the previous branch or assignment" is a running value over the file. One shuffle by
+    file serves both, and what is grouped by file behind them. Files and faults take part as line 0.
     """
     file = ["repo_id", "path"]
-    note, fault = F.col("node") == "comment", F.col("node") == "error"
-    said = comment_text(F.col("value"))
+    is_note, fault = F.col("node") == "comment", F.col("node") == "error"
     before = (
         Window.partitionBy(*file).orderBy(F.col("seq").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     )
     bound = F.last(F.when(F.col("node").isin("if", "assign"), F.col("line")), ignorenulls=True).over(before)
-    reach = F.when(note, F.sequence(F.col("line"), F.col("line") + 2)).otherwise(
-        F.array(F.coalesce("line", F.lit(0)))
-    )
+    near = Window.partitionBy(*file).orderBy("line").rangeBetween(-2, 0)
+    # no filter on comments: it would be tested below the columns it reads, and make each of them several times
+    kept = is_note & (F.col("ctext") != "") & (F.col("ctype") != "todo")
+    text = F.when(is_note, F.col("value")).when(fault, F.concat(F.lit("Error parsing script: "), "value")).otherwise(F.col("text"))
     return (
         _told(parsed, arg_chars)
-        .withColumn("ctext", F.when(note, said))
-        .withColumn("ctype", F.when(note, comment_class(F.col("ctext"))))
-        .filter(~note | ((F.col("ctext") != "") & (F.col("ctype") != "todo")))
-        .withColumn("text", F.when(fault, F.concat(F.lit("Error parsing script: "), "value")).otherwise(F.col("text")))
-        .select(*file, "seq", "line", "node", "text", "ctext", "ctype")
+        .select(*file, "seq", F.coalesce("line", F.lit(0)).alias("line"), "node", text.alias("text"))
         .withColumn("after", F.coalesce(bound, F.lit(0)))
-        .withColumn("cline", F.col("line"))
-        .withColumn("line", F.explode(reach))
-        .groupBy(*file, "line")
-        .agg(
-            F.collect_list(F.when(F.col("node") != "comment", F.struct("seq", "node", "after", "text"))).alias("stated"),
-            F.collect_list(F.when(F.col("node") == "comment", F.struct("cline", "ctext", "ctype"))).alias("noted"),
-        )
+        .withColumn("ctext", comment_text(F.col("text")))
+        .withColumn("ctype", comment_class(F.col("ctext")))
+        .withColumn("notes", F.collect_list(F.when(kept, note)).over(near))
+        .filter(~is_note)
+        .select(*file, "seq", "line", "node", "text", "after", "notes")
     )
 
 
-def _takes(s: Column, c: Column) -> Column:
-    return s["node"].isin("if", "assign", "call") & (c["cline"] > s["after"])
+def _takes(c: Column) -> Column:
+    """Whether the statement of the row takes one of its notes."""
+    return F.col("node").isin("if", "assign", "call") & (c["cline"] > F.col("after"))
 
 
 def attach_comments(parsed: DataFrame) -> DataFrame:
     """(repo_id, path, seq, line, comment_line, text, type) for each comment of each statement."""
     return (
-        _by_line(parsed)
-        .select("repo_id", "path", "line", "noted", F.explode("stated").alias("s"))
-        .select("repo_id", "path", "line", "s", F.explode("noted").alias("c"))
-        .filter(_takes(F.col("s"), F.col("c")))
+        _with_notes(parsed, F.struct(F.col("line").alias("cline"), "ctext", "ctype"))
+        .select("repo_id", "path", "seq", "line", "node", "after", F.explode("notes").alias("c"))
+        .filter(_takes(F.col("c")))
         .select(
-            "repo_id", "path", F.col("s.seq").alias("seq"), "line", F.col("c.cline").alias("comment_line"),
+            "repo_id", "path", "seq", "line", F.col("c.cline").alias("comment_line"),
             F.col("c.ctext").alias("text"), F.col("c.ctype").alias("type"),
         )
     )
@@ -355,20 +393,19 @@ def render_skeleton(
 
     The group is one file, so it is no larger than what that file holds.
     """
-    s = F.col("s")
-    own = F.struct(s["seq"].alias("seq"), F.lit(2**31 - 1).alias("at"), s["text"].alias("text"))
+    formed = format_comment(F.col("ctext"), F.col("ctype"), comment_chars)
+    own = F.struct("seq", F.lit(2**31 - 1).alias("at"), "text")
     comments_first = F.transform(
-        F.filter("noted", lambda c: _takes(s, c)),
-        lambda c: F.struct(s["seq"].alias("seq"), c["cline"].alias("at"), format_comment(c["ctext"], c["ctype"], comment_chars).alias("text")),
+        F.filter("notes", _takes),
+        lambda c: F.struct(F.col("seq").alias("seq"), c["cline"].alias("at"), c["formed"].alias("text")),
     )
-    rows = F.concat(comments_first, F.array(own)) if include_comments else F.array(own)
+    said = F.array_compact(F.array(F.when(F.col("text").isNotNull(), own)))
     return (
-        _by_line(parsed, arg_chars)
-        .select("repo_id", "path", "noted", F.explode("stated").alias("s"))
-        .select("repo_id", "path", F.explode(rows).alias("p"))
+        _with_notes(parsed, F.struct(F.col("line").alias("cline"), formed.alias("formed")), arg_chars)
+        .select("repo_id", "path", (F.concat(comments_first, said) if include_comments else said).alias("rows"))
         .groupBy("repo_id", "path")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("p.text").isNotNull(), F.col("p")))).alias("rows"))
-        .select("repo_id", "path", F.array_join(F.transform("rows", lambda p: p["text"]), "\n").alias("skeleton"))
+        .agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"))
+        .select("repo_id", "path", F.array_join("rows.text", "\n").alias("skeleton"))
     )
 
 

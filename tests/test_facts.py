@@ -167,3 +167,28 @@ def test_scripts_are_dealt(spark, tmp_path):
         assert "Exchange hashpartitioning(k" in plan
     facts = A.config_facts(derived.scripts(spark, str(tmp_path)))
     assert facts.count() == 5 * sum(k % 97 != 5 for k in range(4000))
+
+
+def test_sources_of_comparisons_need_no_unparser(monkeypatch):
+    texts = ("a > 10", "a.b is not None", "1 <= x < y.z != 'q'", "k not in d", "True == x")
+    nodes = [A.ast.parse(text, mode="eval").body for text in (*texts, "u'x' == b", "-1 < x", "x == (y == z)", "f(a) in b", "x < 1.5")]
+    assert [A._source(n) for n in nodes] == [A.ast.unparse(n) for n in nodes]
+    monkeypatch.setattr(A.ast, "unparse", None)
+    assert [A._source(n) for n in nodes[: len(texts)]] == list(texts)
+
+
+def test_rendering_explodes_no_lines(spark):
+    """Statements take comments from a frame of lines: no row is exploded, and files are not grouped by line before."""
+    plan = A.render_skeleton(parse(spark, a=TRAPS))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning(repo_id") == 2
+    assert "REPARTITION_BY_NUM" in plan, "few bytes of sources must not become few tasks"
+
+
+def test_copies_of_a_file_share_their_lines(spark):
+    source = "# one\na(); b()\nx = 1 # two\nc()\n"
+    files = spark.createDataFrame([("r", "p", source)] * 2, "repo_id string, path string, content string")
+    got = A.attach_comments(A.parse_files(files)).groupBy("seq", "comment_line").count().collect()
+    # an assignment bounds what follows it, a copy of it too: of both copies of x one takes both comments, one none
+    assert sorted(map(tuple, got)) == [(0, 1, 4), (1, 1, 4), (2, 1, 2), (2, 3, 2)]
+    told = A.render_skeleton(A.parse_files(files)).first()["skeleton"].split("\n")
+    assert told == ["  # one"] * 4 + ["ACTION: a()"] * 2 + ["  # one"] * 4 + ["ACTION: b()"] * 2 + ["  # one"] * 2 + ["  # two"] * 2 + ["ACTION: c()"] * 2
