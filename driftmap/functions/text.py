@@ -69,7 +69,8 @@ def count_numbered_steps(c: Column) -> Column:
 
 def count_bracket_nodes(c: Column) -> Column:
     """Heuristic: identifiers followed by a bracket pair. Over-counts mark-up inside labels."""
-    return F.regexp_count(c, F.lit(r"(?dU)\w+\s*[\[\(\{\<].*?[\]\)\}\>]"))
+    # from the start of a word and without going back: a word before no bracket is read once, not once from each of its signs
+    return F.regexp_count(c, F.lit(r"(?dU)(?<!\w)\w++\s*+[\[\(\{\<][^\]\)\}\>\n]*+[\]\)\}\>]"))
 
 
 # Fixed values: (pattern, replacement) in the order they are applied.

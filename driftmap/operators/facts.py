@@ -7,6 +7,7 @@ comment attachment and rendering are ordinary Spark steps on those rows.
 from __future__ import annotations
 
 import ast
+import gc
 import io
 import re
 import tokenize
@@ -66,7 +67,8 @@ def _source(node: ast.expr) -> str:
 
 
 def _call_parts(call: ast.Call) -> tuple[str, list[str], list[str]]:
-    return _source(call.func), [_source(a) for a in call.args], [f"{k.arg}={_source(k.value)}" for k in call.keywords]
+    args, kwargs = call.args, call.keywords
+    return _source(call.func), args and [_source(a) for a in args], kwargs and [f"{k.arg}={_source(k.value)}" for k in kwargs]
 
 
 def _value_parts(value: ast.expr) -> tuple:
@@ -86,8 +88,12 @@ def _fields(kind: type) -> tuple[str, ...]:
     return tuple(f for f in kind._fields if f not in _BARE)
 
 
+#: Nodes with nothing below them to look for.
+_ENDS = {ast.Name, ast.Constant, ast.Import, ast.ImportFrom}
+
+
 def _statements(tree: ast.AST, indent: int, found: list[tuple]) -> None:
-    """Branches, definitions, assignments and calls in visiting order, as the columns from ``line`` on.
+    """Branches, definitions, assignments and calls in visiting order, as the columns from ``seq`` on.
 
     Nothing below an assignment, a call or an import is looked at.
     """
@@ -95,22 +101,43 @@ def _statements(tree: ast.AST, indent: int, found: list[tuple]) -> None:
         part = getattr(tree, field, None)
         for child in part if type(part) is list else (part,):
             kind = type(child)
-            if kind is ast.Assign:
-                target = "=".join(map(_source, child.targets))
-                found.append((child.lineno, indent, "assign", target, *_value_parts(child.value)))
-            elif kind is ast.Call:
+            if kind is ast.Expr:
+                child = child.value
+                kind = type(child)
+            if kind is ast.Call:
                 first = child.args[0] if child.args else None
                 told = str(first.value) if type(first) is ast.Constant else None
-                found.append((child.lineno, indent, "call", None, *_call_parts(child), None, told))
+                callee, args, kwargs = _call_parts(child)
+                found.append((len(found), child.lineno, indent, "call", None, callee, args, kwargs, None, told))
+            elif kind is ast.Assign:
+                target = "=".join([_source(t) for t in child.targets])
+                callee, args, kwargs, value_kind, value = _value_parts(child.value)
+                found.append((len(found), child.lineno, indent, "assign", target, callee, args, kwargs, value_kind, value))
             elif kind is ast.If:
-                found.append((child.lineno, indent, "if", None, None, None, None, None, _source(child.test)))
+                found.append((len(found), child.lineno, indent, "if", None, None, None, None, None, _source(child.test)))
                 _statements(child, indent + 1, found)
             elif kind is ast.FunctionDef:
-                found.append((child.lineno, indent, "def", child.name, None, None, None, None, None))
+                found.append((len(found), child.lineno, indent, "def", child.name, None, None, None, None, None))
                 _statements(child, indent + 1, found)
-            elif kind is not ast.Name and kind is not ast.Constant and kind is not ast.Import and kind is not ast.ImportFrom:
-                if isinstance(child, ast.AST):
-                    _statements(child, indent, found)
+            elif kind not in _ENDS and isinstance(child, ast.AST):
+                _statements(child, indent, found)
+
+
+def _told_by(source: str) -> list[tuple]:
+    """Statements of a source.
+
+    A tree is many objects without a cycle, gone before the next one is built: the collector, which
+    would start by their number and pass through them in vain, waits for that long.
+    """
+    found: list[tuple] = []
+    collects = gc.isenabled()
+    gc.disable()
+    try:
+        _statements(ast.parse(source), 0, found)
+    finally:
+        if collects:
+            gc.enable()
+    return found
 
 
 def _comments(source: str) -> Iterator[tuple[int, str]]:
@@ -148,17 +175,14 @@ def _file_rows(source: str | None) -> list[tuple]:
     rows = [_row("file")]
     if source is None:
         return [*rows, _row("error", "unreadable text")]
-    found: list[tuple] = []
     try:
-        _statements(ast.parse(source), 0, found)
+        found = _told_by(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as fault:
         noted, found, error = _comments(source), [], [_row("error", str(fault))]
     else:
         noted, error = (_comments if _UNSURE.search(source) else _plain_comments)(source), []
     rows += [_row("comment", text, line) for line, text in noted]
-    rows += error
-    rows += [(seq, *row) for seq, row in enumerate(found)]
-    return rows
+    return rows + error + found
 
 
 def _row(node: str, value: str | None = None, line: int | None = None) -> tuple:
@@ -186,6 +210,12 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _batch(repos, paths, rows)
 
 
+def _by_file(rows: DataFrame) -> DataFrame:
+    """The rows, dealt by file to as many tasks as a shuffle has, which are not merged by their few bytes."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "repo_id", "path")
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """Syntax rows of each Python file: the file, its comments, its statements in visiting order, or its fault.
 
@@ -195,14 +225,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     part of all files. Their number of tasks is given, since Spark would
     otherwise merge tasks by bytes, of which sources have few for the time they take.
     """
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = files.select("repo_id", "path", "content").repartition(tasks, "repo_id", "path")
-    return spread.mapInArrow(_parse_batches, PARSED_SCHEMA)
+    return _by_file(files.select("repo_id", "path", "content")).mapInArrow(_parse_batches, PARSED_SCHEMA)
 
 
 def comment_class(text: Column) -> Column:
     """First class that fits a comment text."""
-    up = F.upper(text)
+    up = F.upper(F.substring(text, 1, 20))  # all that is asked of it; signs only get more by it
     todo = up.startswith("TODO") | up.startswith("FIXME") | up.startswith("HACK") | up.startswith("XXX")
     return (
         F.when(text.startswith("=") | text.startswith("-"), "section_header")
@@ -346,11 +374,11 @@ def _with_notes(parsed: DataFrame, note: Column, arg_chars: int | None = None) -
     # no filter on comments: it would be tested below the columns it reads, and make each of them several times
     kept = is_note & (F.col("ctext") != "") & (F.col("ctype") != "todo")
     text = F.when(is_note, F.col("value")).when(fault, F.concat(F.lit("Error parsing script: "), "value")).otherwise(F.col("text"))
+    told = _told(parsed, arg_chars).select(*file, "seq", F.coalesce("line", F.lit(0)).alias("line"), "node", text.alias("text"))
     return (
-        _told(parsed, arg_chars)
-        .select(*file, "seq", F.coalesce("line", F.lit(0)).alias("line"), "node", text.alias("text"))
+        _by_file(told)
         .withColumn("after", F.coalesce(bound, F.lit(0)))
-        .withColumn("ctext", comment_text(F.col("text")))
+        .withColumn("ctext", comment_text(F.when(is_note, F.col("text"))))
         .withColumn("ctype", comment_class(F.col("ctext")))
         .withColumn("notes", F.collect_list(F.when(kept, note)).over(near))
         .filter(~is_note)

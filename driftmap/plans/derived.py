@@ -101,7 +101,7 @@ def diagrams(spark: SparkSession, sf: str) -> DataFrame:
     return (
         placed.selectExpr("diagram_id", f"explode(array_compact(array({rows}))) AS r")
         .groupBy("diagram_id")
-        .agg(F.expr("array_join(transform(array_sort(collect_list(r)), r -> r.text), '\n')").alias("code"))
+        .agg(F.expr("array_join(transform(sort_array(collect_list(r)), r -> r.text), '\n')").alias("code"))
     )
 
 

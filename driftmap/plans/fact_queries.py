@@ -110,7 +110,7 @@ FAULTS = f"SELECT diagram_id AS repo_id, 'src/p' || k || '.py' AS path, '{FAULT}
 
 
 def without_fault_text(c):
-    return F.regexp_replace(c, f"{FAULT}: [^\n]*", FAULT)
+    return F.when(c.contains(FAULT), F.regexp_replace(c, f"{FAULT}: [^\n]*", FAULT)).otherwise(c)
 
 
 @query("fct7_skeletons", sql(f"SELECT repo_id, path, skeleton FROM skeletons UNION ALL {FAULTS}"))

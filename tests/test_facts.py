@@ -192,3 +192,49 @@ def test_copies_of_a_file_share_their_lines(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 4), (1, 1, 4), (2, 1, 2), (2, 3, 2)]
     told = A.render_skeleton(A.parse_files(files)).first()["skeleton"].split("\n")
     assert told == ["  # one"] * 4 + ["ACTION: a()"] * 2 + ["  # one"] * 4 + ["ACTION: b()"] * 2 + ["  # one"] * 2 + ["  # two"] * 2 + ["ACTION: c()"] * 2
+
+
+def test_collector_waits_for_the_tree():
+    """A tree of many nodes is built and read without a pass of the collector, which goes on behind it, faults or not."""
+    seen = []
+    note = lambda phase, info: seen.append(phase)
+    source = "\n".join(f"x{i} = f(a.b, {i}, k=[{i}, g(c)])" for i in range(3000))
+    A.gc.callbacks.append(note)
+    try:
+        told = A._told_by(source)
+        during = len(seen)
+    finally:
+        A.gc.callbacks.remove(note)
+    assert len(told) == 3000 and told[7] == (7, 8, 0, "assign", "x7", "f", ["a.b", "7"], ["k=[7, g(c)]"], "call", None)
+    assert during == 0 and A.gc.isenabled()
+    assert A._file_rows("def f(:")[-1][3] == "error" and A.gc.isenabled()
+
+
+def test_only_comments_are_read_as_comments(spark):
+    plan = A.render_skeleton(parse(spark, a=TRAPS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(trim(text#" not in plan and "trim(trim(CASE WHEN (node#" in plan
+
+
+def test_class_by_the_first_signs(spark):
+    texts = {"ß" * 17 + "step": "explanation", "ß" * 8 + "step": "step_marker", "a" * 16 + "step": "step_marker", "a" * 17 + "step": "explanation",
+             "ﬁxme": "todo", "\U0001f600" * 16 + "step": "step_marker", None: "explanation"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["k"] for r in df.select("t", A.comment_class(F.col("t")).alias("k")).collect()} == texts
+
+
+def test_bracket_nodes_of_a_long_word(spark):
+    from driftmap.functions.text import count_bracket_nodes
+
+    texts = {"w" * 400_000: 0, "P1[\"a\"] --> P2(b [c])\nÄ1 {d}": 3, "a[x]b[y]": 2, "a(b(c\nd) e< f>": 1, "a.b[c": 0, "1 \t\n[z]": 1, "": 0}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", count_bracket_nodes(F.col("t")).alias("n")).collect()} == texts
+
+
+def test_rendering_keeps_its_tasks(spark):
+    plan = A.render_skeleton(parse(spark, a=TRAPS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_lines_of_diagrams_are_sorted_without_a_comparator(spark):
+    plan = derived.diagrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
