@@ -92,8 +92,13 @@ def steps_in_diff(diff_text: Column) -> Column:
     return _present([F.when(diff_text.rlike("(?i)" + p), F.lit(step)) for p, step in DIFF_STEP_PATTERNS])
 
 
+def has_config_word(low: Column) -> Column:
+    """Whether a text in small letters names a setting. It is looked at once per word, so hand in a column, not an expression."""
+    return contains_any(low, CONFIG_WORDS)
+
+
 def is_config_call(arg_text: Column) -> Column:
-    return contains_any(F.lower(arg_text), CONFIG_WORDS)
+    return has_config_word(F.lower(arg_text))
 
 
 def is_log_call(callee: Column) -> Column:

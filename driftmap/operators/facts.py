@@ -12,13 +12,12 @@ import io
 import re
 import tokenize
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmap.functions.keywords import is_config_call, is_log_call
+from driftmap.functions.keywords import has_config_word, is_log_call
 from driftmap.functions.text import start_of, strip
 
 PARSED_SCHEMA = (
@@ -43,26 +42,39 @@ _SIGNS = {
 _BARE = {"ctx", "op", "ops", "id", "attr", "arg", "asname", "module", "level", "kind", "type_comment", "type_ignores", "conversion", "is_async", "simple"}
 
 
+#: Kinds of nodes, which are asked for at every node.
+_NAME, _CONSTANT, _ATTRIBUTE, _COMPARE = ast.Name, ast.Constant, ast.Attribute, ast.Compare
+_CALL, _DICT, _EXPR, _ASSIGN, _IF, _DEF = ast.Call, ast.Dict, ast.Expr, ast.Assign, ast.If, ast.FunctionDef
+_PLAIN = (str, int, type(None))
+
+
 def _leaf(node: ast.expr) -> str | None:
     """Source text of a name, a plain constant or a dotted name, and nothing for all else."""
     kind = type(node)
-    if kind is ast.Name:
+    if kind is _NAME:
         return node.id
-    if kind is ast.Constant:
-        return repr(node.value) if node.kind is None and isinstance(node.value, (str, int, type(None))) else None
-    if kind is ast.Attribute and type(node.value) in (ast.Name, ast.Attribute):
-        base = _leaf(node.value)
-        return None if base is None else f"{base}.{node.attr}"
+    if kind is _CONSTANT:
+        value = node.value
+        return repr(value) if isinstance(value, _PLAIN) and node.kind is None else None
+    if kind is _ATTRIBUTE:
+        base = node.value
+        if type(base) is _NAME:
+            return f"{base.id}.{node.attr}"
+        if type(base) is _ATTRIBUTE:
+            told = _leaf(base)
+            return None if told is None else f"{told}.{node.attr}"
     return None
 
 
 def _source(node: ast.expr) -> str:
     """Source text of an expression; the common leaves, and comparisons of them, need no unparser."""
+    if type(node) is _NAME:
+        return node.id
     told = _leaf(node)
-    if told is None and type(node) is ast.Compare:
+    if told is None and type(node) is _COMPARE:
         sides = [_leaf(n) for n in (node.left, *node.comparators)]
         if None not in sides:
-            told = sides[0] + "".join(f" {_SIGNS[type(op)]} {side}" for op, side in zip(node.ops, sides[1:]))
+            told = sides[0] + "".join([f" {_SIGNS[type(op)]} {side}" for op, side in zip(node.ops, sides[1:])])
     return ast.unparse(node) if told is None else told
 
 
@@ -71,25 +83,17 @@ def _call_parts(call: ast.Call) -> tuple[str, list[str], list[str]]:
     return _source(call.func), args and [_source(a) for a in args], kwargs and [f"{k.arg}={_source(k.value)}" for k in kwargs]
 
 
-def _value_parts(value: ast.expr) -> tuple:
-    """(callee, args, kwargs, value_kind, value) of an assigned value."""
-    kind = type(value)
-    if kind is ast.Call:
-        return *_call_parts(value), "call", None
-    if kind is ast.Dict:
-        return None, [_source(k) for k in value.keys if k], None, "dict", None
-    if kind is ast.Constant and isinstance(value.value, str):
-        return None, None, None, "str", value.value
-    return None, None, None, "other", None
+class _Fields(dict):
+    """Fields of each kind of node that may hold nodes to visit, found once."""
 
+    def __missing__(self, kind: type) -> tuple[str, ...]:
+        self[kind] = tuple(f for f in kind._fields if f not in _BARE)
+        return self[kind]
 
-@cache
-def _fields(kind: type) -> tuple[str, ...]:
-    return tuple(f for f in kind._fields if f not in _BARE)
 
-
-#: Nodes with nothing below them to look for.
-_ENDS = {ast.Name, ast.Constant, ast.Import, ast.ImportFrom}
+_FIELDS = _Fields()
+#: What has nothing below it to look for, nodes or not.
+_ENDS = {ast.Name, ast.Constant, ast.Import, ast.ImportFrom, *_PLAIN}
 
 
 def _statements(tree: ast.AST, indent: int, found: list[tuple]) -> None:
@@ -97,29 +101,44 @@ def _statements(tree: ast.AST, indent: int, found: list[tuple]) -> None:
 
     Nothing below an assignment, a call or an import is looked at.
     """
-    for field in _fields(type(tree)):
+    for field in _FIELDS[type(tree)]:
         part = getattr(tree, field, None)
+        if not part:
+            continue
         for child in part if type(part) is list else (part,):
             kind = type(child)
-            if kind is ast.Expr:
+            if kind is _EXPR:
                 child = child.value
                 kind = type(child)
-            if kind is ast.Call:
-                first = child.args[0] if child.args else None
-                told = str(first.value) if type(first) is ast.Constant else None
+            if kind is _CALL:
                 callee, args, kwargs = _call_parts(child)
+                first = child.args[0] if args else None
+                told = str(first.value) if type(first) is _CONSTANT else None
                 found.append((len(found), child.lineno, indent, "call", None, callee, args, kwargs, None, told))
-            elif kind is ast.Assign:
-                target = "=".join([_source(t) for t in child.targets])
-                callee, args, kwargs, value_kind, value = _value_parts(child.value)
-                found.append((len(found), child.lineno, indent, "assign", target, callee, args, kwargs, value_kind, value))
-            elif kind is ast.If:
+            elif kind is _ASSIGN:
+                targets, value = child.targets, child.value
+                target = _source(targets[0]) if len(targets) == 1 else "=".join([_source(t) for t in targets])
+                kind = type(value)
+                callee = args = kwargs = told = None
+                if kind is _CALL:
+                    callee, args, kwargs = _call_parts(value)
+                    value_kind = "call"
+                elif kind is _DICT:
+                    args, value_kind = [_source(k) for k in value.keys if k], "dict"
+                elif kind is _CONSTANT and isinstance(value.value, str):
+                    value_kind, told = "str", value.value
+                else:
+                    value_kind = "other"
+                found.append((len(found), child.lineno, indent, "assign", target, callee, args, kwargs, value_kind, told))
+            elif kind in _ENDS:
+                continue
+            elif kind is _IF:
                 found.append((len(found), child.lineno, indent, "if", None, None, None, None, None, _source(child.test)))
                 _statements(child, indent + 1, found)
-            elif kind is ast.FunctionDef:
+            elif kind is _DEF:
                 found.append((len(found), child.lineno, indent, "def", child.name, None, None, None, None, None))
                 _statements(child, indent + 1, found)
-            elif kind not in _ENDS and isinstance(child, ast.AST):
+            elif isinstance(child, ast.AST):
                 _statements(child, indent, found)
 
 
@@ -164,10 +183,10 @@ def _plain_comments(source: str) -> Iterator[tuple[int, str]]:
     """The same for a source that was parsed and holds nothing ``_UNSURE``, in a tenth of the time."""
     line, at = 1, 0
     for found in _QUOTED.finditer(source):
-        text = found[0]
-        if text[0] == "#":
-            line, at = line + source.count("\n", at, found.start()), found.start()
-            yield line, text
+        start = found.start()
+        if source[start] == "#":
+            line, at = line + source.count("\n", at, start), start
+            yield line, found[0]
 
 
 def _file_rows(source: str | None) -> list[tuple]:
@@ -181,13 +200,13 @@ def _file_rows(source: str | None) -> list[tuple]:
         noted, found, error = _comments(source), [], [_row("error", str(fault))]
     else:
         noted, error = (_comments if _UNSURE.search(source) else _plain_comments)(source), []
-    rows += [_row("comment", text, line) for line, text in noted]
+    rows += [(None, line, None, "comment", None, None, None, None, None, text) for line, text in noted]
     return rows + error + found
 
 
-def _row(node: str, value: str | None = None, line: int | None = None) -> tuple:
-    """A row that is no statement."""
-    return None, line, None, node, None, None, None, None, None, value
+def _row(node: str, value: str | None = None) -> tuple:
+    """A row that is no statement, of the whole file."""
+    return None, None, None, node, None, None, None, None, None, value
 
 
 def _batch(repos: list, paths: list, rows: list[tuple]) -> pa.RecordBatch:
@@ -228,9 +247,14 @@ def parse_files(files: DataFrame) -> DataFrame:
     return _by_file(files.select("repo_id", "path", "content")).mapInArrow(_parse_batches, PARSED_SCHEMA)
 
 
-def comment_class(text: Column) -> Column:
-    """First class that fits a comment text."""
-    up = F.upper(F.substring(text, 1, 20))  # all that is asked of it; signs only get more by it
+def comment_start(text: Column) -> Column:
+    """The first signs in capitals: all that a class asks of them; signs only get more by it."""
+    return F.upper(F.substring(text, 1, 20))
+
+
+def comment_class(text: Column, start: Column | None = None) -> Column:
+    """First class that fits a comment text; ``start`` is its ``comment_start``, if that is a column already."""
+    up = comment_start(text) if start is None else start
     todo = up.startswith("TODO") | up.startswith("FIXME") | up.startswith("HACK") | up.startswith("XXX")
     return (
         F.when(text.startswith("=") | text.startswith("-"), "section_header")
@@ -307,11 +331,11 @@ def _arg_text() -> Column:
 
 def _told(parsed: DataFrame, arg_chars: int | None) -> DataFrame:
     """Syntax rows with the kind, arguments and text of statements."""
-    node, vk, arg = F.col("node"), F.col("value_kind"), F.col("arg_text")
+    node, vk, arg, low = F.col("node"), F.col("value_kind"), F.col("arg_text"), F.col("low")
     kind = (
         F.when(node == "if", "IF CHECK")
         .when(node == "def", "DEF FUNCTION")
-        .when((node == "assign") & (vk == "call") & is_config_call(arg), "CONFIG")
+        .when((node == "assign") & (vk == "call") & has_config_word(low), "CONFIG")
         .when((node == "assign") & (vk == "call"), "ASSIGN")
         .when((node == "assign") & (vk == "dict"), "DATA_STRUCT")
         .when((node == "assign") & (vk == "str"), "CONSTANT")
@@ -335,6 +359,7 @@ def _told(parsed: DataFrame, arg_chars: int | None) -> DataFrame:
     return (
         parsed.withColumns({"args": F.coalesce("args", none), "kwargs": F.coalesce("kwargs", none)})
         .withColumn("arg_text", _arg_text())
+        .withColumn("low", F.when((node == "assign") & (vk == "call"), F.lower(arg)))  # once, not once for each word
         .withColumn("kind", kind)
         .withColumn("text", F.concat(F.repeat(F.lit("  "), F.col("indent")), said))
     )
@@ -379,7 +404,8 @@ def _with_notes(parsed: DataFrame, note: Column, arg_chars: int | None = None) -
         _by_file(told)
         .withColumn("after", F.coalesce(bound, F.lit(0)))
         .withColumn("ctext", comment_text(F.when(is_note, F.col("text"))))
-        .withColumn("ctype", comment_class(F.col("ctext")))
+        .withColumn("start", comment_start(F.col("ctext")))
+        .withColumn("ctype", comment_class(F.col("ctext"), F.col("start")))
         .withColumn("notes", F.collect_list(F.when(kept, note)).over(near))
         .filter(~is_note)
         .select(*file, "seq", "line", "node", "text", "after", "notes")

@@ -143,8 +143,8 @@ def fleet(spark, sf):
 def context(spark, sf):
     files = fleet(spark, sf)
     blocks = A.project_context(files, A.parse_files(files.filter(F.col("ext") == ".py")))
-    told = without_fault_text(F.col("block"))
-    return blocks.withColumn("block", told).withColumn("block_chars", F.length(told).cast("long"))
+    told = blocks.withColumn("block", without_fault_text(F.col("block")))
+    return told.withColumn("block_chars", F.length("block").cast("long"))
 
 
 CONTEXT = f"""

@@ -238,3 +238,42 @@ def test_rendering_keeps_its_tasks(spark):
 def test_lines_of_diagrams_are_sorted_without_a_comparator(spark):
     plan = derived.diagrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+def test_a_leaf_is_one_call():
+    """Names, dotted names and constants are most of what a tree is asked for: each takes one call, or two."""
+    import sys
+
+    calls = []
+    tree = A.ast.parse("x = f(a, b, c)\n" * 100)
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        found = []
+        A._statements(tree, 0, found)
+    finally:
+        sys.setprofile(None)
+    assert found[99] == (99, 100, 0, "assign", "x", "f", ["a", "b", "c"], [], "call", None)
+    assert len(calls) <= 7 * 100
+
+
+def test_letters_are_raised_and_lowered_once(spark):
+    plan = A.render_skeleton(parse(spark, a=TRAPS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("upper(") == 1
+
+
+def test_blocks_are_searched_for_faults_once(spark, tmp_path):
+    from driftmap.plans.fact_queries import context
+
+    spark.createDataFrame(
+        [(5, "n", "Brand#1", "LARGE", 3), (6, "m", "Brand#1", "LARGE", 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    said = "Error parsing script: a: Error parsing script: b\nError parsing script: c"
+    spark.createDataFrame([(1, said, "s"), (9, "x = 1", "s"), (2, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    blocks = context(spark, str(tmp_path))
+    plan = blocks.groupBy("repo_id").agg(F.sum("block_chars"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2  # for texts and for skeletons
+    got = {r["path"]: (r["block"], r["block_chars"]) for r in blocks.collect()}
+    assert set(got) == {"src/.cache/f1.js", "src/.cache/f9.py", "src/p5.py", "src/p6.py"}
+    block = "\n--- FILE: src/.cache/f1.js ---\nError parsing script\nError parsing script\n"
+    assert got["src/.cache/f1.js"] == (block, len(block))
+    assert all(len(b) == n for b, n in got.values())
